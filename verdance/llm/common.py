@@ -1,4 +1,4 @@
-"""What the operators share: table reading, the shared folder, text conventions."""
+"""What the operators share: table reading, the shared folder, text conventions, connected components."""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
-#: ASCII capitals only are folded; other letters stay as they are.
-FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of an UTF-8 text with A-Z folded: bytes.lower and bytes.split know ASCII alone, as WORD does."""
+    return text.lower().split() if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +51,28 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def components(edges: DataFrame, label: str, max_rounds: int = 50) -> DataFrame:
+    """(node, component): the smallest node reachable over ``edges`` (a, b), for every node with an edge to another.
+
+    Alternating large-star and small-star steps: each node hands its larger neighbours to its smallest one, then
+    its smaller ones. Every round is an aggregation and a join on the node, is written to the shared folder, and ends
+    when a round changes nothing; the result is a forest of stars whose centres are the components' minima.
+    """
+    at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{label}-edges")
+    mark = None
+    for _ in range(max_rounds):
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # (u, m) for each node, and (v, m) for its other smaller neighbours
+        rest = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        at = stored(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), f"{label}-round")
+        new = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if new == mark:
+            break
+        mark = new
+    centres = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

@@ -1,11 +1,14 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdance.llm import lines, mixing
+from verdance.llm import lines, mixing, neardup, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_mixing": mixing.op4_mixing,
+        "op7_packing": packing.op7_packing,
+        "op9_near_dedup": neardup.op9_near_dedup,
         "op10_line_dedup": lines.op10_line_dedup,
     }
 
