@@ -185,6 +185,8 @@ def met(cosine: float):
     """A block with itself (no row on the right), or two blocks: (rep, links, root) of their linked members."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not (right.num_rows or key[-1].as_py() == key[-2].as_py()):  # an empty block
+            return pa.table({c: np.empty(0, np.int64) for c in ("rep", "links", "root")})
         sides = []
         for t in (left, right):
             for r in t.to_pylist():
