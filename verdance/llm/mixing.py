@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.llm.common import table, word_count
+from verdance.llm.common import light, stored, table, word_count
 
 #: Leading bits of the key that make a range: 1024 ranges a source.
 RANGE_BITS = 10
@@ -82,13 +82,19 @@ def keep_mixed(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tu
     """The rows of ``docs`` that the mix takes, with all their columns.
 
     A document is repeated once for each epoch that takes at least half of its words, so the text of the one that
-    straddles a source's cut is never torn. Documents without words are not taken.
+    straddles a source's cut is never torn. Documents without words are not taken. Since the last epoch is a prefix of the
+    source's order, it is told by its last row, and texts are not shuffled: each row is held against its source's last one.
     """
-    taken = mix(docs, seed, max_epochs, weights).select("doc_id", F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("times"))
-    counted = taken.filter("times > 0").withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.drop("_mixed_id", "times", "_copy")
+    place = lambda size: F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(size).alias("size"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    rows = mix(docs, seed, max_epochs, weights).withColumn("epochs", epochs)
+    in_last = (F.col("size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size"))
+    plan = rows.groupBy(F.col("source").alias("_m_source")).agg(F.max("epochs").alias("_m_epochs"), F.max(F.when(in_last, place("size"))).alias("_m_last"))
+    sized = docs.withColumn("_m_size", word_count(F.col("text"))).withColumn("_m_place", place("_m_size"))
+    joined = sized.join(light(stored(plan, "mix-plan")), F.col("source").eqNullSafe(F.col("_m_source")))
+    times = F.when(F.col("_m_size") == 0, 0).otherwise(F.col("_m_epochs") + F.coalesce((F.col("_m_place") <= F.col("_m_last")).cast("int"), F.lit(0)))
+    copies = joined.withColumn("_m_times", times).filter("_m_times > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_times"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
