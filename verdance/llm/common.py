@@ -43,6 +43,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a few narrow columns that are already written, to be broadcast if it has at most ``most`` rows.
+
+    Its rows are counted first; beyond the bound the join shuffles both sides as usual.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null counting as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,15 +2,18 @@
 
 A document's set is that of its distinct 5-word shingles, held as 64-bit hashes. One permutation deals the hashes to
 ``REGISTERS`` buckets; of each bucket's least value only the number of leading zeros (6 bits) and the next 10 bits
-(mantissa) are kept, two bytes a bucket. Bands of compressed registers bring likely pairs together, a Jaccard estimate
-corrected for chance collisions of registers drops the hopeless ones, and the pairs left are confirmed on full sets.
+(mantissa) are kept, two bytes a bucket. A bucket without a value takes the least value of the whole set under a hash of its
+own, so that small sets have full registers too. Bands of compressed registers bring likely pairs together, a Jaccard
+estimate corrected for chance collisions drops the hopeless ones, and the pairs left are confirmed on full sets.
 
 Documents with equal sets are one class from the start; only class representatives are banded. In a band's group
-every member meets up to ``CENTRES`` centres of the group, not each other member: a group of near copies of any size
-gives rows in proportion. After the confirmed links are joined to components, members of one group that are still in
-different components meet each other, so that no pair that any band brings together is left undecided.
+every member first meets up to ``CENTRES`` centres of the group, and the confirmed links are joined to components: a
+group of near copies of any size gives rows in proportion. Then members of one group that are still in different
+components meet each other, so that no pair that any band brings together is left undecided: small groups by a join, large
+ones (groups with common members as one cluster) block by block inside tasks, which return only links that join components.
 
-With 48 bands of 5 registers, a pair at Jaccard 0.75 shares no band with a probability of about 2e-6.
+With 48 bands of 5 registers, a pair at Jaccard 0.75 shares no band with a probability of about 2e-6, and the estimate
+drops it with one of about 3e-5.
 
 Edge cases: null or blank texts have empty sets and link with nothing; texts of one to four words are a single
 shingle; null ids are kept as rows but take no part in links; repeated rows form one class; other columns are ignored.
@@ -27,23 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import components, stored, table, words_of
+from verdance.llm.common import components, light, stored, table, words_of
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: No register value: leading zeros never reach 63.
-EMPTY = 0xFFFF
 #: Centres that the members of a band's group meet; the choice of centre depends on the band.
 CENTRES = 2
 #: Standard deviations below the threshold at which an estimate drops a pair.
-SLACK = 5.0
-#: With fewer registers in common use than this an estimate says little: the pair is confirmed on full sets at once.
-LEAST_REGISTERS = 24
+SLACK = 4.0
+#: Members of a group up to which all of its pairs across components are listed; larger ones are compared in blocks of
+#: about so many shingles.
+SMALL_GROUP, BLOCK = 64, 500_000
 #: Words whose hashes a task keeps at once.
 KEPT_WORDS = 300_000
 
 _A, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -79,46 +82,46 @@ class Shingler:
         return np.unique(mixed(h))
 
 
+#: What the own hash of each bucket is mixed with.
+SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _A)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """Compressed registers of a set: leading zeros and mantissa of each bucket's least value.
+    """Compressed registers of a set that isn't empty: leading zeros and mantissa of each bucket's least value.
 
     Values are scaled so that the bucket is their integer part; sorted hashes have sorted buckets, so a bucket's least
     value is its first.
     """
-    out = np.full(REGISTERS, EMPTY, np.uint16)
-    if len(hashes):
-        m, low, half = np.uint64(REGISTERS), np.uint64(0xFFFFFFFF), np.uint64(32)
-        scaled = (hashes >> half) * m + (((hashes & low) * m) >> half)
-        bucket = (scaled >> half).astype(np.int64)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        part = (scaled[first] & low).astype(np.int64)
-        length = np.frexp(part.astype(np.float64))[1]  # bits in use
-        mantissa = ((part << (33 - length)) & 0xFFFFFFFF) >> (32 - MANTISSA)
-        out[bucket[first]] = ((32 - length) << MANTISSA) | mantissa
-    return out
+    m = np.uint64(REGISTERS)
+    scaled = (hashes >> _HALF) * m + (((hashes & _LOW) * m) >> _HALF)
+    bucket = (scaled >> _HALF).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    part, full = np.zeros(REGISTERS, np.int64), np.zeros(REGISTERS, bool)
+    part[bucket[first]], full[bucket[first]] = (scaled[first] & _LOW).astype(np.int64), True
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        own = (hashes[None, :] ^ SEEDS[empty][:, None]) * _M1
+        part[empty] = (own.min(axis=1) >> _HALF).astype(np.int64)
+    length = np.frexp(part.astype(np.float64))[1]  # bits in use
+    mantissa = ((part << (33 - length)) & 0xFFFFFFFF) >> (32 - MANTISSA)
+    return (((32 - length) << MANTISSA) | mantissa).astype(np.uint16)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each row of registers. Empty registers borrow from the next full one."""
-    rows, m = regs.shape
-    full = regs != EMPTY
-    place = np.where(full, np.arange(m), 2 * m)
-    twice = np.concatenate([place, place + m], axis=1)
-    nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :m]
-    filled = np.take_along_axis(regs, nearest % m, axis=1).astype(np.uint64) + (np.uint64(1 << 16) * (nearest - np.arange(m)).astype(np.uint64))
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (rows, BANDS)).copy()
+    """A 64-bit key for each band of each row of registers."""
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(regs), BANDS)).copy()
     for k in range(ROWS):
-        h = mixed(h * _A + filled[:, k::ROWS])
+        h = mixed(h * _A + regs[:, k::ROWS])
     return h.view(np.int64)
 
 
 def chance_collisions(n: float, m: float) -> float:
     """Share of registers that agree by chance, for disjoint sets of n and m values.
 
-    A bucket's least value lies in an interval of length d at x with probability exp(-n x) - exp(-n (x + d)), n being the
-    mean number of values in it; the sum over all (zeros, mantissa) intervals is the chance that two such agree.
+    A register's least of n values lies in an interval of length d at x with probability exp(-n x) - exp(-n (x + d)); the sum
+    over all (zeros, mantissa) intervals is the chance that two such agree. A register has at least one value.
     """
-    n, m = n / REGISTERS, m / REGISTERS
+    n, m = max(n / REGISTERS, 1.0), max(m / REGISTERS, 1.0)
     total = 0.0
     for zeros in range(24):
         d = 2.0 ** -(zeros + 1 + MANTISSA)
@@ -127,33 +130,86 @@ def chance_collisions(n: float, m: float) -> float:
     return total
 
 
-def estimate(a: np.ndarray, b: np.ndarray, chance: float) -> tuple[float, int]:
-    """Jaccard estimate corrected for chance collisions, and the number of registers that it rests on."""
-    used = (a != EMPTY) | (b != EMPTY)
-    k = int(used.sum())
-    agree = int((a[used] == b[used]).sum())
-    return (max(0.0, (agree - chance * k) / (k * (1 - chance))) if k else 0.0), k
+class Estimator:
+    """Tells which pairs can be linked: a Jaccard estimate from registers, corrected for chance collisions."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.known = threshold, {}
+        self.least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+    def possible(self, n: int, regs: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """For one set against many: False where sizes or the estimate rule a link out."""
+        agree = (others == regs).mean(axis=1)
+        chance = np.array([self._chance(n, x) for x in others_n.tolist()])
+        estimate = (agree - chance) / (1 - chance)
+        return (np.minimum(n, others_n) >= self.threshold * np.maximum(n, others_n)) & (estimate >= self.least)
+
+    def _chance(self, n: int, m: int) -> float:
+        key = (n.bit_length(), m.bit_length())  # it varies slowly with the sizes
+        if key not in self.known:
+            self.known[key] = chance_collisions(1.5 * 2 ** (key[0] - 1), 1.5 * 2 ** (key[1] - 1))
+        return self.known[key]
 
 
 def may_link(threshold: float):
     """Arrow batches of (x, y, n_x, n_y, r_x, r_y): keeps the pairs whose estimate doesn't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], float] = {}
+        estimator = Estimator(threshold)
         for batch in batches:
-            keep = []
-            for nx, ny, rx, ry in zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "r_x", "r_y")), strict=True):
-                key = (round(math.log2(nx) * 2), round(math.log2(ny) * 2))  # chance varies slowly with the sizes
-                if key not in known:
-                    known[key] = chance_collisions(2 ** (key[0] / 2), 2 ** (key[1] / 2))
-                j, k = estimate(np.frombuffer(rx, np.uint16), np.frombuffer(ry, np.uint16), known[key])
-                sized = min(nx, ny) >= threshold * max(nx, ny)  # a bound on Jaccard that needs no estimate
-                keep.append(sized and (k < LEAST_REGISTERS or j >= threshold - SLACK * math.sqrt(threshold * (1 - threshold) / k)))
+            keep = [
+                bool(estimator.possible(nx, np.frombuffer(rx, np.uint16), np.array([ny]), np.frombuffer(ry, np.uint16)[None, :])[0])
+                for nx, ny, rx, ry in zip(*(batch.column(c).to_pylist() for c in ("n_x", "n_y", "r_x", "r_y")), strict=True)
+            ]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def linked_in_blocks(percent: int):
+    """Two blocks of a cluster (or one, with itself): links (x, y) between members of different components.
+
+    A link that joins two components makes further links between them needless, so there are fewer rows than members.
+    """
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        alone = key[1].as_py() == key[2].as_py()
+        if not left.num_rows or not (alone or right.num_rows):  # no member fell to one of the blocks
+            return pa.table({c: np.empty(0, np.int64) for c in ("x", "y")})
+
+        def side(t: pa.Table) -> tuple:
+            sets = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()]
+            return t.column("rep").to_numpy(), t.column("component").to_numpy().copy(), np.array([len(h) for h in sets]), np.stack([registers(h) for h in sets]), sets
+
+        estimator, links = Estimator(percent / 100), []
+        a = side(left)
+        b = a if alone else side(right)
+        for k in range(len(a[0])):
+            rows = np.flatnonzero(b[1] != a[1][k])
+            if b is a:
+                rows = rows[rows > k]
+            if not len(rows):
+                continue
+            for y in rows[estimator.possible(int(a[2][k]), a[3][k], b[2][rows], b[3][rows])].tolist():
+                if a[1][k] != b[1][y]:
+                    both = len(np.intersect1d(a[4][k], b[4][y], assume_unique=True))
+                    if 100 * both >= percent * int(a[2][k] + b[2][y] - both):
+                        links.append((int(a[0][k]), int(b[0][y])))
+                        was, now = max(a[1][k], b[1][y]), min(a[1][k], b[1][y])
+                        a[1][a[1] == was] = now
+                        b[1][b[1] == was] = now
+        x, y = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return run
+
+
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingler()
+    for batch in batches:
+        yield pa.record_batch([batch.column("rep"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["rep", "hashes"])
+
+
 def confirm(percent: int):
     """Arrow batches of (x, y, t_x, t_y): keeps the pairs with 100 * intersection >= percent * union."""
 
@@ -198,38 +254,59 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
+def linked_in_clusters(docs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """(x, y): links between different components of large groups' members (band, members, rep, component)."""
+    firsts = apart.groupBy("band").agg(F.min("rep").alias("first"))
+    clusters = components(apart.join(firsts, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")), "clusters")
+    members = stored(apart.select("rep", "component").distinct().join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep"), "cluster-members")
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    texts = text.join(light(members.select("rep")), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    sets = stored(texts.mapInArrow(shingled, "rep long, hashes binary").join(members, "rep"), "cluster-sets")
+    size = F.octet_length("hashes") / 8
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(size) / BLOCK).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    held, keys = ["cluster", "i", "j", "rep", "component", "hashes"], ["cluster", "i", "j"]
+    left = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode(F.expr("sequence(block, blocks - 1)"))).select(*held)
+    right = dealt.filter("block > 0").withColumn("j", F.col("block")).withColumn("i", F.explode(F.expr("sequence(0, block - 1)"))).select(*held).toDF(*held)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(linked_in_blocks(percent), "x long, y long")
+
+
 def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, digest, component_id) of every row of ``docs`` (doc_id, text)."""
     seen = stored(sketches(docs), "sketches")
     full = seen.filter("digest is not null and doc_id is not null")
     reps = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "set-classes")
     placed = reps.select("rep", "registers").mapInArrow(banded, "band long, rep long")
-    # Groups of two or more; the order among members, and so the centre, varies with the band.
-    order = F.xxhash64("rep", F.pmod("band", F.lit(CENTRES)))
-    groups = placed.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct(order, "rep")).getField("rep").alias("centre")).filter("members > 1")
-    met = stored(placed.join(groups.select("band", "centre"), "band"), "band-groups")
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-        .join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "band-texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+    # Most keys stand alone: only their number is asked for before the groups are put together.
+    groups = placed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stored(placed.join(groups, "band"), "band-groups")
+    # The order among members, and so the centre, varies with the band.
+    order = F.struct(F.xxhash64("rep", F.pmod("band", F.lit(CENTRES))), "rep")
+    centres = met.groupBy("band").agg(F.min(order).getField("rep").alias("centre"))
+    stars = stored(met.join(centres, "band").filter("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct(), "stars")
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
         sized = reps.select("rep", "n", "registers")
         side = lambda c: sized.toDF(c, f"n_{c}", f"r_{c}")
-        likely = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(may_link(percent / 100), "x long, y long")
+        likely = stored(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(may_link(percent / 100), "x long, y long"), f"{label}-likely")
+        ids = stored(likely.select(F.col("x").alias("rep")).unionByName(likely.select(F.col("y").alias("rep"))).distinct(), f"{label}-ids")
+        text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+        # an id that stands for several rows is compared by one of them
+        texts = stored(text.join(light(ids), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), f"{label}-texts")
         read = lambda c: texts.toDF(c, f"t_{c}")
         # the second join leaves the rows of one centre side by side
-        return likely.join(read("y"), "y").join(read("x"), "x").select("x", "y", "t_x", "t_y").mapInArrow(confirm(percent), "x long, y long")
+        both = likely.join(read("y"), "y").join(read("x"), "x").select("x", "y", "t_x", "t_y")
+        return stored(both.mapInArrow(confirm(percent), "x long, y long"), f"{label}-links")
 
-    stars = met.filter("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct()
-    links = stored(linked(stars), "star-links")
+    links = linked(stars, "stars")
     found = components(links.toDF("a", "b"), "stars")
-    named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_bands = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    apart = stored(named.join(mixed_bands, "band"), "apart")
-    left, right = apart.toDF("band", "x", "c_x"), apart.toDF("band", "y", "c_y")
-    cross = left.join(right, "band").filter("c_x < c_y").select("x", "y").distinct()
-    tried = stars.unionByName(stars.toDF("y", "x"))
-    more = linked(cross.join(tried, ["x", "y"], "left_anti"))
+    named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    apart = stored(named.join(split, "band"), "apart")
+    few = apart.filter(F.col("members") <= SMALL_GROUP).drop("members")
+    listed = few.toDF("band", "x", "c_x").join(few.toDF("band", "y", "c_y"), "band").filter("c_x <> c_y and x < y").select("x", "y")
+    tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = linked(listed.distinct().join(tried, ["x", "y"], "left_anti"), "apart").unionByName(linked_in_clusters(docs, apart.filter(F.col("members") > SMALL_GROUP), percent))
     classes = components(links.unionByName(more).toDF("a", "b"), "links")
     named_sets = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
@@ -240,8 +317,8 @@ def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each class of near copies, the one with the smallest id; empty texts all stay."""
-    gone = near_classes(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stored(near_classes(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
+    return docs.join(light(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
