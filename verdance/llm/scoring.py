@@ -5,7 +5,7 @@ P_0 = 1 / (V + 1). The weight l_n depends on the bucket b of the context's frequ
 unseen context, whose weight is 0). The weights are learned by expectation-maximisation on held-out counts: a part of the
 training documents is deleted from the counts, and its tokens show how far the counts of the rest can be trusted.
 
-Counting and looking up go together. Each task turns its documents into chunks of about ``CHUNK_TOKENS`` tokens; a chunk
+Counting and looking up go together. Each task turns its documents into chunks of about ``CHUNK_TOKENS`` coded tokens; a chunk
 asks once for each of its distinct n-grams (sorted 64-bit hashes, packed by hash range) and adds its own counts to the
 question. Grouped by range, the questions are summed up and answered; grouped by chunk again, the answers score the
 chunk's documents. So a frequent n-gram crosses the network once per chunk rather than once per token, no range
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import crc_mod, stored, table, words_of
 
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 #: Characters of text for each hash range: about 1.5 million tokens.
 RANGE_CHARS = 8_000_000
 #: Of the training documents, one in this many is deleted from the counts to learn the weights.
@@ -89,62 +89,76 @@ class Grams:
             begin = joined(np.array([begin], np.uint64), hashes[-1:])[0] if level + 1 < order else begin
 
 
-def asked(order: int, n_ranges: int):
-    """Arrow batches of (doc_id, text, role) to questions and codes. role: 0 scored only, 1 learned from, 2 deleted.
+#: Stands for a null id inside a chunk's codes.
+NO_ID = -(1 << 63)
+
+#: vocabulary: hashes of the chunk's words by local number, the start mark's last; tokens: local numbers, document after
+#: document; docs: ids, numbers of tokens and roles.
+CODES = "chunk long, deleted boolean, vocabulary binary, tokens binary, docs binary"
+QUESTION = "chunk long, deleted boolean, level int, range int, keys binary, counts binary"
+
+
+def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (doc_id, text, role) to chunks. role: 0 scored only, 1 learned from, 2 deleted, in chunks of its own."""
+    base, made = TaskContext.get().partitionId() << 32, 0
+
+    def fresh() -> dict:
+        return {"known": {END: 0}, "tokens": [], "docs": [], "size": 0}
+
+    def flushed(held: dict, deleted: bool) -> pa.RecordBatch:
+        nonlocal made
+        chunk, made = base + made, made + 1
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in [*held["known"], START]), np.uint64, len(held["known"]) + 1)
+        docs = np.array(held["docs"], np.int64).T.ravel()
+        row = [[chunk], [deleted], [packed(hashes)], [packed(np.concatenate(held["tokens"]))], [packed(docs)]]
+        return pa.record_batch([pa.array(c) for c in row], [x.split()[0] for x in CODES.split(", ")])
+
+    held = {False: fresh(), True: fresh()}
+    for batch in batches:
+        for doc_id, text, role in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("role").to_pylist(), strict=True):
+            at = held[role == 2]
+            known, words = at["known"], words_of(text.as_py())
+            at["tokens"].append(np.fromiter([*(known.setdefault(w, len(known)) for w in words), 0], np.int32, len(words) + 1))
+            at["docs"].append((NO_ID if doc_id is None else doc_id, len(words) + 1, role))
+            at["size"] += len(words) + 1
+            if at["size"] >= CHUNK_TOKENS:
+                yield flushed(at, role == 2)
+                at = held[role == 2] = fresh()
+    for deleted, at in held.items():
+        if at["docs"]:
+            yield flushed(at, deleted)
+
+
+def decoded(vocabulary: bytes, tokens: bytes, docs: bytes, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's n-grams, and its documents' ids, lengths and roles."""
+    ids, lengths, roles = unpacked(docs).astype(np.int64).reshape(3, -1)
+    return Grams(unpacked(tokens).astype(np.int64), lengths, unpacked(vocabulary), order), ids, lengths, roles
 
-    A question: (chunk, deleted, level, range, n, keys, counts); a chunk's own row has level 0 and its documents' codes.
-    """
-    names = ["chunk", "deleted", "level", "range", "n", "keys", "counts", "codes", "docs"]
-    types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+def asked(order: int, n_ranges: int):
+    """Chunks to their questions: distinct n-grams by level and hash range, with the chunk's own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
-
-        def fresh() -> dict:
-            return {"known": {END: 0}, "tokens": [], "docs": [], "size": 0}
-
-        def flushed(held: dict, deleted: bool) -> pa.RecordBatch:
-            nonlocal made
-            chunk, made = base + made, made + 1
-            tokens = np.concatenate(held["tokens"])
-            ids, lengths, roles = (np.array(x, np.int64) for x in zip(*held["docs"], strict=True))
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in [*held["known"], START]), np.uint64, len(held["known"]) + 1)
-            grams = Grams(tokens, lengths, hashes, order)
-            learned = np.repeat(roles > 0, lengths)
-            rows = [(chunk, deleted, 0, None, None, packed(hashes), None, packed(tokens), packed(np.concatenate([ids, lengths, roles])))]
-            for level, (number, keys) in enumerate(zip(grams.number, grams.hashes, strict=True), 1):
-                counts = np.bincount(number[learned], minlength=len(keys))
-                by_hash = np.argsort(keys)
-                keys, counts = keys[by_hash], counts[by_hash]
-                place = ranges(keys, n_ranges)
-                edges = [0, *(np.flatnonzero(np.diff(place)) + 1), len(keys)]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    if a < b:
-                        rows.append((chunk, deleted, level, int(place[a]), int(b - a), packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(counts[a:b]), None, None))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        held = {False: fresh(), True: fresh()}
+        names = [x.split()[0] for x in QUESTION.split(", ")]
+        types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            for doc_id, text, role in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("role").to_pylist(), strict=True):
-                at = held[role == 2]
-                known, words = at["known"], words_of(text.as_py())
-                at["tokens"].append(np.fromiter([*(known.setdefault(w, len(known)) for w in words), 0], np.int32, len(words) + 1))
-                at["docs"].append((NO_ID if doc_id is None else doc_id, len(words) + 1, role))
-                at["size"] += len(words) + 1
-                if at["size"] >= CHUNK_TOKENS:
-                    yield flushed(at, role == 2)
-                    held[role == 2] = fresh()
-        for deleted, at in held.items():
-            if at["docs"]:
-                yield flushed(at, deleted)
+            for k in range(batch.num_rows):
+                chunk, deleted, vocabulary, tokens, docs = (batch.column(c)[k].as_py() for c in ("chunk", "deleted", "vocabulary", "tokens", "docs"))
+                grams, _, lengths, roles = decoded(vocabulary, tokens, docs, order)
+                learned, rows = np.repeat(roles > 0, lengths), []
+                for level, (number, keys) in enumerate(zip(grams.number, grams.hashes, strict=True), 1):
+                    counts = np.bincount(number[learned], minlength=len(keys))
+                    by_hash = np.argsort(keys)
+                    keys, counts = keys[by_hash], counts[by_hash]
+                    place = ranges(keys, n_ranges)
+                    edges = [0, *(np.flatnonzero(np.diff(place)) + 1), len(keys)]
+                    for a, b in zip(edges, edges[1:], strict=False):
+                        rows.append((chunk, deleted, level, int(place[a]), packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(counts[a:b])))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
-#: Stands for a null id inside a chunk's codes.
-NO_ID = -(1 << 63)
-
-QUESTION = "chunk long, deleted boolean, level int, range int, n long, keys binary, counts binary, codes binary, docs binary"
 ANSWER = "chunk long, deleted boolean, level int, range int, counts binary, rest binary, types long, tokens long, rest_types long, rest_tokens long"
 
 
@@ -174,9 +188,7 @@ class Chunk:
     """A chunk with its answers: for each token and level the n-gram's count and its context's."""
 
     def __init__(self, codes: pa.Table, answers: pa.Table, order: int, column: str, n_docs: int):
-        hashes, tokens = unpacked(codes.column("keys")[0].as_py()), unpacked(codes.column("codes")[0].as_py()).astype(np.int64)
-        self.ids, self.lengths, self.roles = unpacked(codes.column("docs")[0].as_py()).astype(np.int64).reshape(3, -1)
-        grams = Grams(tokens, self.lengths, hashes, order)
+        grams, self.ids, self.lengths, self.roles = decoded(*(codes.column(c)[0].as_py() for c in ("vocabulary", "tokens", "docs")), order)
         self.doc, self.count, self.context = grams.doc, [], []
         for level, (number, keys) in enumerate(zip(grams.number, grams.hashes, strict=True), 1):
             mine = sorted((w, c) for n, w, c in zip(*(answers.column(x).to_pylist() for x in ("level", "range", column)), strict=True) if n == level)
@@ -270,11 +282,11 @@ def interpolated_scores(docs: DataFrame, held_out: Column, order: int = 2) -> Da
     role = F.when(held_out, 0).when(gone, 2).otherwise(1)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), role.alias("role"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    questions = stored(rows.mapInArrow(asked(order, max(8, size // RANGE_CHARS)), QUESTION), "lm-questions")
-    answers = stored(questions.filter("level > 0").drop("codes", "docs").groupBy("level", "range").applyInArrow(answered, ANSWER), "lm-answers")
+    codes = stored(rows.mapInArrow(coded, CODES), "lm-codes")
+    questions = codes.mapInArrow(asked(order, max(8, size // RANGE_CHARS)), QUESTION)
+    answers = stored(questions.groupBy("level", "range").applyInArrow(answered, ANSWER), "lm-answers")
     totals = answers.filter("chunk is null and level = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "rest_types", "rest_tokens")]).first().asDict()
     totals |= rows.agg(F.coalesce(F.sum((F.col("role") > 0).cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum((F.col("role") == 1).cast("long")), F.lit(0)).alias("rest_docs")).first().asDict()
-    codes = questions.filter("level = 0").select("chunk", "deleted", "keys", "codes", "docs")
     given = answers.filter("chunk is not null")
     # Bounded whatever the input: codes are (bucket, rounded ratio) at each level.
     deleted = codes.filter("deleted").groupBy("chunk").cogroup(given.filter("deleted").select("chunk", "level", "range", "rest").groupBy("chunk"))
