@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from verdance.plans import index_queries, object_queries, space_queries, table_queries
+
+_PARTS = (table_queries, space_queries, object_queries, index_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

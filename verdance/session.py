@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,18 @@ def local_spark(cores: int | None = None, **conf: str) -> SparkSession:
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     small = {"spark.sql.shuffle.partitions": str(n), "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     return get_spark("verdance-local", f"local[{n}]", **{**small, **conf})
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder of its own; a cluster is refused.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
