@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import crc_mod, stored, table, words_of
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Characters of text for each hash range: about 1.5 million tokens.
 RANGE_CHARS = 8_000_000
 #: Of the training documents, one in this many is deleted from the counts to learn the weights.
