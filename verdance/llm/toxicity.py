@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the words of a text and their first letters (so that inflected and compound forms of a slur count
-as one). Features are the ones that tell the classes apart in a bounded sample of labelled rows. Sentences of that sample
+A logistic model over the words of a text and their first letters, by how many words share them (so that inflected and
+compound forms of a slur count together). Features are the ones that tell the classes apart in a bounded sample of labelled rows. Sentences of that sample
 that name a group are rewritten with another group's name; the loss adds the squared change of the model's logit over
 these rewritings, which takes weight off the names themselves: a neutral mention of a group is not held against a text.
 
@@ -44,7 +44,9 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("frauen", "männer"),
     ("muslime", "christen", "juden"),
 )
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6)
+#: First letters are features by how many different words of the text share them.
+LEVELS = (1, 2, 4)
 #: Labelled rows that the model learns from at most.
 MAX_ROWS = 16_384
 #: Features at most, and texts that a feature must stand in.
@@ -58,9 +60,13 @@ MARKS = b".,;:!?\"'()[]{}*_"
 
 
 def features(words: set[bytes]) -> set[bytes]:
-    """Words without surrounding marks, and their first letters marked by a star."""
+    """Words without surrounding marks, and their first letters with each number of words that share them at least."""
     bare = {w.strip(MARKS) for w in words}
-    return bare | {w[:k] + b"*" for w in bare for k in PREFIXES if len(w) > k}
+    found = set(bare)
+    for k in PREFIXES:
+        for start, n in Counter([w[:k] for w in bare if len(w) > k]).items():
+            found.update(start + b"\0%d" % level for level in LEVELS if n >= level)
+    return found
 
 
 def swaps(text: bytes | None, others: dict[bytes, tuple[bytes, ...]]) -> Counter:
@@ -200,15 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 
 def scorer(weights: dict[bytes, float], bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = {f: w for f, w in weights.items() if not f.endswith(b"*")}
-        starts = [(k, {f[:-1]: w for f, w in weights.items() if f.endswith(b"*") and len(f) == k + 1}) for k in PREFIXES]
+        whole = {f: w for f, w in weights.items() if b"\0" not in f}
+        # by first letters: the weight of one word, of two, of three, ... that share them
+        starts: dict[int, dict[bytes, list[float]]] = {k: {} for k in PREFIXES}
+        for f, w in weights.items():
+            start, mark, level = f.partition(b"\0")
+            if mark:
+                totals = starts[len(start)].setdefault(start, [0.0] * (max(LEVELS) + 1))
+                for n in range(int(level), max(LEVELS) + 1):
+                    totals[n] += w
         for batch in batches:
             z = []
             for text in batch.column("text"):
                 words = {w.strip(MARKS) for w in set(words_of(text.as_py()))}
                 total = bias + sum(map(whole.__getitem__, words & whole.keys()))
-                for k, known in starts:
-                    total += sum(map(known.__getitem__, {w[:k] for w in words if len(w) > k} & known.keys()))
+                for k, known in starts.items():
+                    for start, n in Counter([w[:k] for w in words if len(w) > k and w[:k] in known]).items():
+                        total += known[start][min(n, max(LEVELS))]
                 z.append(total)
             score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
             kept = [batch.column(c) for c in batch.schema.names if c != "text"]
