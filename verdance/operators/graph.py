@@ -17,13 +17,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, label: str = "graph", max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node with an edge to another.
 
-    Alternating large-star and small-star rounds (an aggregation and a join on the node each), every one written to the
-    shared folder, until a round changes nothing.
+    Alternating large-star and small-star steps: each node hands its larger neighbours to its smallest one, then its smaller
+    ones. Every round is an aggregation and a join on the node, is written to the shared folder, and the rounds end when
+    one changes nothing; the result is a forest of stars whose centres are the components' minima.
     """
-    at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{label}-edges")
     mark = None
     for _ in range(max_rounds):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = stored(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "round")
+        at = stored(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), f"{label}-round")
         new = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
