@@ -1,13 +1,15 @@
-"""What the operators share: table reading, the shared folder, text conventions, connected components."""
+"""What the operators share: table reading, text conventions, checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.operators.graph import components, stored
+from verdance.session import shared_dir
+
+__all__ = ["WORD", "components", "crc_mod", "light", "shared_dir", "stored", "table", "word_count", "words_of"]
+
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder of its own; a cluster is refused.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def light(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, a few narrow columns that are already written, to be broadcast if it has at most ``most`` rows.
 
@@ -59,28 +39,3 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def components(edges: DataFrame, label: str, max_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (a, b), for every node with an edge to another.
-
-    Alternating large-star and small-star steps: each node hands its larger neighbours to its smallest one, then
-    its smaller ones. Every round is an aggregation and a join on the node, is written to the shared folder, and ends
-    when a round changes nothing; the result is a forest of stars whose centres are the components' minima.
-    """
-    at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{label}-edges")
-    mark = None
-    for _ in range(max_rounds):
-        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        # (u, m) for each node, and (v, m) for its other smaller neighbours
-        rest = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = stored(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), f"{label}-round")
-        new = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    centres = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
