@@ -94,6 +94,14 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int |
     return sample_rows(sample_by_group(df, stratum, -(-n // max(1, levels)), key, seed), n, key, seed)
 
 
+def sample_features(df: DataFrame, n: int, key: str, ignore: str | None = None, include: str | None = None, quants: Iterable[float] = (0, 0.3, 0.45, 0.55, 0.7, 1), seed: int | None = 0) -> DataFrame:
+    """A sample of objects, spread evenly over the strata of the chosen columns, with all their attributes."""
+    chosen = [c for c in select_columns(df, ignore, include) if c != key]
+    texts = [c for c in chosen if dict(df.dtypes)[c] == "string"]
+    found = strata(df, [c for c in chosen if c not in texts], texts, quants).dropna(subset=["stratum"])
+    return df.join(stratified_sample(found, "stratum", n, key, seed).select(key), key, "left_semi")
+
+
 def select_columns(df: DataFrame, ignore: str | None = None, include: str | None = None) -> list[str]:
     """Column names that match ``include`` (all without it) and not ``ignore``."""
     return [c for c in df.columns if (include is None or re.search(include, c)) and not (ignore and re.search(ignore, c))]

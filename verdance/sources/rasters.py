@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.functions.indices import index_column
+
 # ENVI's numbers for data types, and the band centres (nm) of two sensors.
 ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 SENSOR_BANDS = {"terrabella": (482.5, 555.0, 650.0, 820.0)}
@@ -111,6 +113,19 @@ def tile_code(path: Column, start: int = 1, length: int = 16) -> Column:
     return F.regexp_replace(F.substring(F.substring_index(path, "/", -1), start, length), "[-.]", "_")
 
 
+def write_indices(pixels: DataFrame, names: list[str], folder: str, key: str = "pixel_id", overwrite: bool = True) -> list[str]:
+    """Each index as a dataset of its own, named after it; without ``overwrite`` those that are there stay. Returns what was written."""
+    done = []
+    for name in names:
+        path = f"{folder}/{name}"
+        jvm = pixels.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if overwrite or not at.getFileSystem(pixels.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            pixels.select(key, index_column(pixels, name).alias(name)).write.mode("overwrite").parquet(path)
+            done.append(path)
+    return done
+
+
 def copy_dataset(spark: SparkSession, source: str, target: str, overwrite: bool = True) -> bool:
     """Copies all part files of a dataset directory through the cluster's file system; False if there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
