@@ -207,6 +207,15 @@ def test_polygon_measures(spark):
     assert df.filter("fid = 1").select(vector.keep_part_with(F.col("rings"), F.lit(99.0), F.lit(0.0))).first()[0] is None
 
 
+def test_seeds_of_polygons(spark):
+    meta = RasterMeta(10, 10, 0.0, 10.0, 0.0, 10.0)
+    df = polygons(spark, [square(5, 5, 3)], [square(50, 50, 1)])
+    pixels = spark.createDataFrame([(12 + 10 * k, 1.5 + k, 8.5 - k, float(-abs(k - 4))) for k in range(9)], "cell long, x double, y double, v double")
+    assert {r.fid: (r.x, r.y) for r in vector.polygons_to_seeds(df).collect()} == {0: (5.0, 5.0), 1: (50.0, 50.0)}
+    top = vector.polygons_to_seeds(df, pixels.withColumn("cell", F.floor(10 - F.col("y")) * 10 + F.floor(F.col("x")) + 1), "v", meta).collect()
+    assert [(r.fid, r.x, r.y) for r in top] == [(0, 5.5, 4.5)]
+
+
 def test_clipping_and_cell_shares(spark):
     df = polygons(spark, [square(5, 5, 3), square(5, 5, 1, hole=True)])
     meta = RasterMeta(10, 10, 0.0, 10.0, 0.0, 10.0)
@@ -363,6 +372,8 @@ def test_scene_names_tiles_and_copies(spark, tmp_path):
     sensor, day = rasters.scene_parts(F.col("p"))
     got = df.select(sensor.alias("s"), day.cast("string").alias("d"), rasters.tile_code(F.col("p"), 1, 6).alias("t")).collect()
     assert [tuple(r) for r in got] == [("s02", "2015-05-25", "s02_20"), ("s01", None, "s01_no")]
+    (tmp_path / "names.txt").write_text('"pt599000-4413000.aspect.tif"\npt599000-4413000.slope.tif\n\n')
+    assert rasters.predictor_names(spark, str(tmp_path / "names.txt")) == ["l.aspect", "l.slope"]
     df.write.parquet(str(tmp_path / "a"))
     assert rasters.copy_dataset(spark, str(tmp_path / "a"), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2

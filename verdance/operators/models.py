@@ -25,6 +25,12 @@ def classes_of(df: DataFrame, field: str, classes: Iterable[str | Iterable[str]]
     return df.filter(F.col(field).isin(*names)).withColumn("class", case)
 
 
+def usable_tiles(tiles: DataFrame, points: DataFrame, layers: int = 23, least_points: int = 2, tile: str = "tile") -> DataFrame:
+    """Tiles (tile, layers) with exactly so many predictor layers and at least ``least_points`` points."""
+    counts = points.groupBy(tile).agg(F.count("*").alias("points")).filter(F.col("points") >= least_points)
+    return tiles.filter(F.col("layers") == layers).join(counts, tile).select(tile, "points")
+
+
 def systematic_cells(cells: DataFrame, zone: str, n: int) -> DataFrame:
     """About ``n`` cells of each zone, evenly spaced in the order of the cells, each once."""
     each = cells.select(zone, "cell").distinct()

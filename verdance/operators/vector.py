@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.operators.grid import RasterMeta
+from verdance.operators.zonal import zone_extreme
 
 RINGS = "array<struct<part:int,hole:boolean,pts:array<struct<x:double,y:double>>>>"
 
@@ -167,6 +168,17 @@ def polygon_cells(polygons: DataFrame, meta: RasterMeta, key: str = "fid") -> Da
     return cells.filter(in_polygon(F.col("rings"), x, y)).select(key, (F.col("row") * meta.ncol + F.col("col") + 1).alias("cell"))
 
 
+def polygons_to_seeds(polygons: DataFrame, pixels: DataFrame | None = None, value: str | None = None, meta: RasterMeta | None = None, key: str = "fid") -> DataFrame:
+    """(key, x, y): a seed for each polygon: its centroid, or with pixels the cell with the highest value inside.
+
+    Polygons without a finite value have no seed then.
+    """
+    if pixels is None:
+        return polygons.select(key, centroid(F.col("rings")).alias("c")).select(key, "c.x", "c.y")
+    inside = polygon_cells(polygons, meta, key).join(pixels.select("cell", "x", "y", value), "cell")
+    return zone_extreme(inside, key, value).select(key, "x", "y")
+
+
 def outlines(polygons: DataFrame, key: str = "fid") -> DataFrame:
     """(key, ring, place, x, y): the rings' points in drawing order, for an overlay on a map."""
     rings = polygons.select(key, F.posexplode("rings").alias("ring", "r"))

@@ -173,12 +173,24 @@ def overlay_outline(spark, sf_dir: str) -> DataFrame:
     return vector.outlines(fixtures.squares(spark, sf_dir)).select("fid", F.col("ring").cast("long").alias("ring"), F.col("place").cast("long").alias("place"), "x", "y")
 
 
+def seeds_at_maximum(spark, sf_dir: str) -> DataFrame:
+    """The cell with the highest value in each square."""
+    return vector.polygons_to_seeds(fixtures.squares(spark, sf_dir), fixtures.grid(spark, sf_dir), "v", META)
+
+
+def usable_tiles(spark, sf_dir: str) -> DataFrame:
+    """Tiles with all layers and more than one point."""
+    tile = grid.tile_of(META, 300)
+    tiles = fixtures.grid(spark, sf_dir).select(tile.alias("tile")).distinct().withColumn("layers", F.when(F.col("tile") % 4 == 0, 22).otherwise(23))
+    return models.usable_tiles(tiles, fixtures.points_b(spark, sf_dir).select(tile.alias("tile")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tile_extents, tile_members, proximity, neighbours8, neighbours4, odd_grid, n_neighbours, nearest_target, presence_within_radius, error_observations, error_rates, false_positive_far, false_positive_random,
         training_frame, calibration_cells, shadow_quantile, shadow_filter, focal_mean3, clump_filter, remoteness, remoteness_narrow, mask_zone, mask_zone_cropped, zonal_weighted, zonal_points, polygon_area_filter,
-        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline,
+        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles,
     )
 }
 
@@ -253,6 +265,9 @@ SELECT fid, k.cell, v FROM k LEFT JOIN grid ON grid.cell = k.cell""",
     "clip_to_extents": f"""WITH {_SQ}, e AS (SELECT i + 2 * j AS box, 100 + i * 400 AS x0, 500 + i * 400 AS x1, 100 + j * 400 AS y0, 500 + j * 400 AS y1 FROM range(2) a(i), range(2) c(j)),
 o AS (SELECT fid, box, round((least(x + s / 2, x1) - greatest(x - s / 2, x0)) * (least(y + s / 2, y1) - greatest(y - s / 2, y0)), 6) AS area
       FROM sq, e WHERE least(x + s / 2, x1) > greatest(x - s / 2, x0) AND least(y + s / 2, y1) > greatest(y - s / 2, y0)) SELECT * FROM o""",
+    "seeds_at_maximum": f"WITH {GRID}, {_SQ} SELECT q.fid, g.x, g.y FROM sq q JOIN grid g ON {_IN} QUALIFY row_number() OVER (PARTITION BY q.fid ORDER BY g.v DESC, g.cell) = 1",
+    "usable_tiles": f"""WITH {POINTS_B}, t AS (SELECT CAST(least(floor(x / (1000 / 3.0::DOUBLE)), 2) + 3 * least(floor(y / (1000 / 3.0::DOUBLE)), 2) AS BIGINT) AS tile FROM b)
+SELECT tile, count(*) AS points FROM t WHERE tile % 4 <> 0 GROUP BY tile HAVING count(*) >= 2""",
     "overlay_outline": f"""WITH {_SQ}, k AS (SELECT * FROM (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) t(place, dx, dy)),
 r AS (SELECT fid, 0 AS ring, x AS cx, y AS cy, s / 2 AS h FROM sq UNION ALL SELECT fid, 1, x, y, s / 4 FROM sq WHERE hole UNION ALL SELECT fid, CASE WHEN hole THEN 2 ELSE 1 END, x + 2 * s, y, s / 4 FROM sq WHERE two)
 SELECT fid, CAST(ring AS BIGINT) AS ring, CAST(place AS BIGINT) AS place, cx + dx * h AS x, cy + dy * h AS y FROM r, k""",

@@ -124,6 +124,11 @@ def sample_rows(spark, sf_dir: str) -> DataFrame:
     return stats.sample_rows(fixtures.attributes(spark, sf_dir), 100, "id", seed=None)
 
 
+def sampled_features(spark, sf_dir: str) -> DataFrame:
+    """Objects spread over the strata of their numeric attributes."""
+    return stats.sample_features(fixtures.attributes(spark, sf_dir), 60, "id", ignore="brand", seed=None)
+
+
 def pairs_corr(spark, sf_dir: str) -> DataFrame:
     df = fixtures.attributes(spark, sf_dir)
     return stats.pair_correlations(df, stats.select_columns(df, ignore="brand"))
@@ -181,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         crown_ndvi, crown_indices_all, crown_band_mean_sd, crown_mean_sd_packed, max_point, max_point_box, merge_by_attributes, crown_db_merge, indiv_bands_union, drop_all_na, control_median,
-        crown_quantile, crown_quantile_trim, crown_quantile_mosaic, strata_nd, stratified_sample, stratified_sample_random, sample_rows, pairs_corr, growing_ecdf, scene_dates, batch_index, crown_chips,
+        crown_quantile, crown_quantile_trim, crown_quantile_mosaic, strata_nd, stratified_sample, stratified_sample_random, sampled_features, sample_rows, pairs_corr, growing_ecdf, scene_dates, batch_index, crown_chips,
     )
 }
 
@@ -215,6 +220,12 @@ FROM dn LEFT JOIN m a ON a.ID = IDneighb_1 AND a.dfname = dn.dfname AND a.band =
     "stratified_sample": f"""WITH {_STRATA}, n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) AS rn, (SELECT ceil(300 / count(DISTINCT stratum)) FROM s) AS most FROM s)
 SELECT id, stratum FROM n WHERE rn <= most ORDER BY id LIMIT 300""",
     "sample_rows": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice, p_brand FROM part ORDER BY id LIMIT 100",
+    "sampled_features": """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice, p_brand FROM part),
+c AS (SELECT quantile_cont(p_size, [0.3, 0.45, 0.55, 0.7]) AS a, quantile_cont(p_retailprice, [0.3, 0.45, 0.55, 0.7]) AS b FROM p),
+s AS (SELECT p.*, CASE WHEN p_size <= a[1] THEN 1 WHEN p_size <= a[2] THEN 2 WHEN p_size <= a[3] THEN 3 WHEN p_size <= a[4] THEN 4 ELSE 5 END * 10
+           + CASE WHEN p_retailprice <= b[1] THEN 1 WHEN p_retailprice <= b[2] THEN 2 WHEN p_retailprice <= b[3] THEN 3 WHEN p_retailprice <= b[4] THEN 4 ELSE 5 END AS stratum FROM p, c),
+n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) AS rn, (SELECT ceil(60 / count(DISTINCT stratum)) FROM s) AS most FROM s)
+SELECT id, p_size, p_retailprice, p_brand FROM n WHERE rn <= most ORDER BY id LIMIT 60""",
     "pairs_corr": """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part)
 SELECT 'id' AS a, 'p_size' AS b, round(corr(id, p_size), 6) AS r FROM p UNION ALL SELECT 'id', 'p_retailprice', round(corr(id, p_retailprice), 6) FROM p
 UNION ALL SELECT 'p_size', 'p_retailprice', round(corr(p_size, p_retailprice), 6) FROM p""",

@@ -113,6 +113,12 @@ def tile_code(path: Column, start: int = 1, length: int = 16) -> Column:
     return F.regexp_replace(F.substring(F.substring_index(path, "/", -1), start, length), "[-.]", "_")
 
 
+def predictor_names(spark: SparkSession, path: str, start: int = 17) -> list[str]:
+    """A tile's predictors in the order of a text file, one a line: ``l`` and what follows the tile's code in each name."""
+    lines = [r.value for r in spark.read.text(path, wholetext=True).collect()]  # a list of a few dozen names
+    return ["l" + re.sub(r"\.[A-Za-z]+$", "", line.strip().strip('"'))[start - 1 :] for text in lines for line in text.splitlines() if line.strip()]
+
+
 def write_indices(pixels: DataFrame, names: list[str], folder: str, key: str = "pixel_id", overwrite: bool = True) -> list[str]:
     """Each index as a dataset of its own, named after it; without ``overwrite`` those that are there stay. Returns what was written."""
     done = []
