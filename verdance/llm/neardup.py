@@ -16,7 +16,9 @@ With 48 bands of 5 registers, a pair at Jaccard 0.75 shares no band with a proba
 drops it with one of about 3e-5.
 
 Edge cases: null or blank texts have empty sets and link with nothing; texts of one to four words are a single
-shingle; null ids are kept as rows but take no part in links; repeated rows form one class; other columns are ignored.
+shingle; null ids are kept as rows but take no part in links; repeated rows form one class, and where a document of a class
+stays, all rows of its id stay; rows of one id with different texts are one node, compared by one of the texts; other columns
+are ignored.
 """
 
 from __future__ import annotations
