@@ -19,7 +19,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts boilerplate lines; n_chars follows the text."""
-    cut = lines.drop_spread_lines(docs)
+    cut = lines.drop_spread_lines(docs, max_share=1.0)
     chars = F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.select(*[chars.alias(c) if c == "n_chars" else c for c in docs.columns])
 

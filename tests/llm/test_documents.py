@@ -1,5 +1,6 @@
 """Operators on documents: results on small tables, and the edge cases that their docstrings define."""
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from verdance.llm import lines, mixing, neardup, packing, scoring, sharding, toxicity
 from verdance.llm.common import components, crc_mod
 
@@ -239,6 +241,16 @@ def test_line_dedup_edge_cases(spark):
     assert lines.drop_spread_lines(docs(spark, [])).count() == 0
 
 
+def test_queries_cut_boilerplate_of_any_share(spark, tmp_path):
+    rows = [(k, f"own text number {k} that is long enough to stay\nshare this page", f"site{k}") for k in range(12)] + [(50, "short\nshare this page", "site3"), (51, "share this page", "x")]
+    want = {k: t.removesuffix("share this page").removesuffix("\n") for k, t, _ in rows}
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.clean_md5) for r in lines.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: (1, hashlib.md5(t.encode()).hexdigest()) for k, t in want.items()}
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert {r.doc_id: r.text for r in stage(spark, docs(spark, rows), str(tmp_path)).collect()} == want
+
+
 # language model
 
 

@@ -4,8 +4,8 @@ A line (a text's part between line feeds, trimmed of blanks) is boilerplate when
 distinct sites. Sites are counted by a HyperLogLog sketch per line hash, merged by aggregation; where the estimate is
 so near to the threshold that the sketch could err, the distinct sites are counted exactly. Texts that are copied
 whole count once, at the least site that has them: otherwise a document with many mirrors would lose all its
-lines. For the same reason a document of which boilerplate would take more than ``max_share`` of the characters is
-a (near) copy of another document, not a page with furniture, and is left to document dedup.
+lines. op10 and the pipeline cut every boilerplate line, whatever its share of the document; a caller who wants documents
+that are mostly boilerplate left whole passes a ``max_share`` of the characters below 1.
 
 Edge cases: a null text stays null and has no lines; blank lines are never boilerplate and stay where they are; a
 null site counts as one site; repeated rows are copies; very long texts only make more lines; columns of other names
@@ -70,7 +70,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0
     kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_cut"), line_hash(x)), F.lit(False)))
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     cut = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    # What goes is at most max_share of the characters, else the document is left whole.
+    # Below a share of 1, a document that would lose more of its characters is left whole.
     allowed = (chars(F.col("_lines")) - chars(F.col("_kept"))) <= max_share * chars(F.col("_lines"))
     final = F.when(F.col("_cut").isNotNull() & allowed, F.col("_kept"))
     out = cut.withColumn("_final", final).select(
@@ -83,7 +83,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, clean_chars, clean_md5) for every document."""
-    return drop_spread_lines(table(spark, sf_dir, "documents")).select(
+    return drop_spread_lines(table(spark, sf_dir, "documents"), max_share=1.0).select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),
