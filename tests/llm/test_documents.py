@@ -251,6 +251,15 @@ def test_queries_cut_boilerplate_of_any_share(spark, tmp_path):
     assert {r.doc_id: r.text for r in stage(spark, docs(spark, rows), str(tmp_path)).collect()} == want
 
 
+def test_sites_of_a_line_are_all_its_sites(spark):
+    """One site, or a null one, that mirrors the pages of others does not hide their spread; mirrors alone make none."""
+    rows = [(k, f"page {k}\ncommon footer", f"site{k:02}") for k in range(12)] + [(100 + k, f"page {k}\ncommon footer", None if k % 2 else "a hub") for k in range(12)]
+    rows += [(200 + k, f"text {k % 9}\nseldom line", f"site{k:02}") for k in range(14)]  # 14 sites, 9 texts
+    rows += [(300 + k, f"text {k} of one site\nits line", f"site{k % 9:02}") for k in range(14)]  # 9 sites, 14 texts
+    got = {r.doc_id: r.text for r in lines.drop_spread_lines(docs(spark, rows), max_share=1.0).collect()}
+    assert got == {k: t.removesuffix("\ncommon footer") for k, t, _ in rows}
+
+
 # language model
 
 

@@ -1,10 +1,11 @@
 """Line dedup by distinct-site spread, with DataFrame operations only.
 
 A line (a text's part between line feeds, trimmed of blanks) is boilerplate when it stands on at least ``min_sites``
-distinct sites. Sites are counted by a HyperLogLog sketch per line hash, merged by aggregation; where the estimate is
-so near to the threshold that the sketch could err, the distinct sites are counted exactly. Texts that are copied
-whole count once, at the least site that has them: otherwise a document with many mirrors would lose all its
-lines. op10 and the pipeline cut every boilerplate line, whatever its share of the document; a caller who wants documents
+distinct sites and in at least as many different texts. Both are counted by HyperLogLog sketches per line hash, merged by
+aggregation; where an estimate is so near to the threshold that the sketch could err, the distinct values are counted
+exactly. Texts that are copied whole are one text, on all the sites that have them: without the second count a document
+with many mirrors would lose all its lines.
+op10 and the pipeline cut every boilerplate line, whatever its share of the document; a caller who wants documents
 that are mostly boilerplate left whole passes a ``max_share`` of the characters below 1.
 
 Edge cases: a null text stays null and has no lines; blank lines are never boilerplate and stay where they are; a
@@ -34,24 +35,25 @@ def line_hashes(text: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, min_sites: int = 10, margin: float = 0.25) -> DataFrame:
-    """(line): hashes of the lines that stand on at least ``min_sites`` distinct sites.
+    """(line): hashes of the lines that stand on at least ``min_sites`` distinct sites and in as many different texts.
 
     ``margin``: share of the threshold within which an estimate isn't trusted; over seven standard errors of the
     sketch. Lines farther off, nearly all of them, end with the sketch.
     """
     copied = F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy")
-    texts = docs.filter("text is not null")
-    sites = texts.select(copied, F.coalesce("source", F.lit("")).alias("site")).groupBy("copy").agg(F.min("site").alias("site"))
-    lines = texts.select(copied, F.explode(line_hashes(F.col("text"))).alias("line")).distinct()
-    # Once a copy group counts as one text, a line has as many rows as there are different texts with it.
-    placed = stored(lines.join(sites, "copy").select("line", "site"), "line-sites")
-    sketched = placed.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
-    likely = stored(sketched.filter(F.col("estimate") >= min_sites * (1 - margin)), "line-spread")
-    sure = likely.filter(F.col("estimate") > min_sites * (1 + margin)).select("line")
-    near = likely.filter(F.col("estimate") <= min_sites * (1 + margin)).select("line")
-    # distinct first: a common line's rows are merged before the shuffle that counts them
-    counted = placed.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites"))
-    return sure.unionByName(counted.filter(F.col("sites") >= min_sites).select("line"))
+    site = F.coalesce("source", F.lit("")).alias("site")
+    placed = docs.filter("text is not null").select(copied, site, F.explode(line_hashes(F.col("text"))).alias("line"))
+    placed = stored(placed, "line-sites")
+    both = ("site", "copy")
+    sketched = placed.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))).alias(f"{c}_n") for c in both])
+    likely = stored(sketched.filter(F.least(*[f"{c}_n" for c in both]) >= min_sites * (1 - margin)), "line-spread")
+    spread = likely.select("line")
+    for c in both:
+        near = likely.filter(F.col(f"{c}_n") <= min_sites * (1 + margin)).select("line")
+        # distinct first: a common line's rows are merged before the shuffle that counts them
+        counted = placed.select("line", c).join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n"))
+        spread = spread.join(counted.filter(F.col("n") < min_sites), "line", "left_anti")
+    return spread
 
 
 def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
