@@ -315,6 +315,20 @@ def test_scoring_edge_cases(spark):
     assert scoring.interpolated_scores(docs(spark, []), F.lit(False)).count() == 0
 
 
+def test_query_scores_by_two_words_of_context(spark, tmp_path):
+    """After two words the next one is certain here, after one it is a toss-up."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        bits = [*rng.integers(0, 2, 2)]
+        while len(bits) < 40:
+            bits.append(bits[-1] ^ bits[-2])
+        rows.append((k, " ".join(f"w{b}" for b in bits), "s"))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = [r for r in scoring.op5_lm_scoring(spark, str(tmp_path)).collect() if r.held_out]
+    assert out and sum(r.score for r in out) / sum(r.n_tokens for r in out) > math.log10(0.8)
+
+
 # toxicity
 
 

@@ -288,13 +288,15 @@ def interpolated_scores(docs: DataFrame, held_out: Column, order: int = 2) -> Da
     totals = answers.filter("chunk is null and level = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "rest_types", "rest_tokens")]).first().asDict()
     totals |= rows.agg(F.coalesce(F.sum((F.col("role") > 0).cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum((F.col("role") == 1).cast("long")), F.lit(0)).alias("rest_docs")).first().asDict()
     given = answers.filter("chunk is not null")
-    # Bounded whatever the input: codes are (bucket, rounded ratio) at each level.
+    # Few next to the tokens: codes are (bucket, rounded ratio) at each level. They come as Arrow columns, not as row objects.
     deleted = codes.filter("deleted").groupBy("chunk").cogroup(given.filter("deleted").select("chunk", "level", "range", "rest").groupBy("chunk"))
-    events = deleted.applyInArrow(grouped(order, totals), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
-    weights = learned_weights(np.array([e.code for e in events], np.int64), np.array([e.n for e in events], float), order)
+    events = deleted.applyInArrow(grouped(order, totals), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found, n = (events.column(c).to_numpy() for c in ("code", "n"))
+    by_code = np.argsort(found)
+    weights = learned_weights(found[by_code], n[by_code].astype(float), order)
     return codes.drop("deleted").groupBy("chunk").cogroup(given.select("chunk", "level", "range", "counts").groupBy("chunk")).applyInArrow(rated(order, totals, weights), SCORED)
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents under a bigram model of those outside the held-out fifth."""
-    return interpolated_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1)
+    """Scores of all documents under a trigram model of those outside the held-out fifth."""
+    return interpolated_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1, order=3)
