@@ -208,23 +208,14 @@ def test_kept_rows_follow_the_mix(spark):
 
 
 def brute_lines(rows, least=10):
-    site = {}
+    """Texts without the lines that stand on ``least`` distinct sites and in as many distinct texts, over all rows."""
+    sites, texts = {}, {}
     for _, t, s in rows:
-        if t is not None:
-            site[t] = min(site.get(t, "￿"), s or "")
-    seen = {}
-    for t, s in site.items():
-        for line in t.split("\n"):
-            if line.strip(" "):
-                seen.setdefault(line.strip(" "), set()).add(s)
-    bad = {k for k, v in seen.items() if len(v) >= least}
-    out = {}
-    for i, t, _ in rows:
-        parts = [] if t is None else t.split("\n")
-        kept = [p for p in parts if p.strip(" ") not in bad]
-        gone = sum(map(len, parts)) - sum(map(len, kept))
-        out[i] = t if t is None or len(kept) == len(parts) or gone > 0.5 * sum(map(len, parts)) else "\n".join(kept)
-    return out
+        for line in {p.strip(" ") for p in (t or "").split("\n")} - {""}:
+            sites.setdefault(line, set()).add(s or "")
+            texts.setdefault(line, set()).add(t)
+    bad = {k for k in sites if min(len(sites[k]), len(texts[k])) >= least}
+    return {i: t if t is None else "\n".join(p for p in t.split("\n") if p.strip(" ") not in bad) for i, t, _ in rows}
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -235,12 +226,20 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_edge_cases(spark):
-    df = docs(spark, odd_rows()).withColumn("line", F.lit(1)).withColumn("copy", F.lit(2))
+    clashing = ["line", "copy", "row", "id", "_id", "cut", "_cut", "lines", "_lines", "kept", "_n_lines", "_n_removed"]
+    df = docs(spark, odd_rows()).select("*", *[F.lit(k).alias(c) for k, c in enumerate(clashing)])
     out = lines.drop_spread_lines(df).collect()
+    assert {tuple(r[c] for c in clashing[:-2]) for r in out} == {tuple(range(len(clashing) - 2))} and {r._n_removed for r in out} == {0}
     assert len(out) == len(odd_rows()) and sorted((r.text or "") for r in out) == sorted((t or "") for _, t, _ in odd_rows())
     assert lines.drop_spread_lines(docs(spark, [])).count() == 0
 
 
+def test_documents_of_mostly_boilerplate_may_be_left_whole(spark):
+    rows = [(k, f"own text number {k}\nshare this", f"site{k}") for k in range(12)] + [(50, "share this", "x")]
+    got = {r.doc_id: r.text for r in lines.drop_spread_lines(docs(spark, rows), max_share=0.5).collect()}
+    assert got == {k: f"own text number {k}" for k in range(12)} | {50: "share this"}
+
+
 def test_queries_cut_boilerplate_of_any_share(spark, tmp_path):
     rows = [(k, f"own text number {k} that is long enough to stay\nshare this page", f"site{k}") for k in range(12)] + [(50, "short\nshare this page", "site3"), (51, "share this page", "x")]
     want = {k: t.removesuffix("share this page").removesuffix("\n") for k, t, _ in rows}
@@ -256,7 +255,7 @@ def test_sites_of_a_line_are_all_its_sites(spark):
     rows = [(k, f"page {k}\ncommon footer", f"site{k:02}") for k in range(12)] + [(100 + k, f"page {k}\ncommon footer", None if k % 2 else "a hub") for k in range(12)]
     rows += [(200 + k, f"text {k % 9}\nseldom line", f"site{k:02}") for k in range(14)]  # 14 sites, 9 texts
     rows += [(300 + k, f"text {k} of one site\nits line", f"site{k % 9:02}") for k in range(14)]  # 9 sites, 14 texts
-    got = {r.doc_id: r.text for r in lines.drop_spread_lines(docs(spark, rows), max_share=1.0).collect()}
+    got = {r.doc_id: r.text for r in lines.drop_spread_lines(docs(spark, rows)).collect()}
     assert got == {k: t.removesuffix("\ncommon footer") for k, t, _ in rows}
 
 

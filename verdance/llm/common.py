@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdance.operators.graph import components, stored
 from verdance.session import shared_dir
 
-__all__ = ["WORD", "components", "crc_mod", "light", "shared_dir", "stored", "table", "word_count", "words_of"]
+__all__ = ["WORD", "components", "crc_mod", "free", "held", "light", "released", "shared_dir", "stored", "table", "word_count", "words_of"]
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +39,25 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def held(df: DataFrame, *names: str) -> DataFrame:
+    """``names`` as columns and all others in one column ``row``: whatever these are called, none clashes."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), *names)
+
+
+def released(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` as held(df, *names) has them."""
+    return [F.col(c) if c in names else F.col(f"row.`{c}`").alias(c) for c in df.columns]

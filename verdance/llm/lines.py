@@ -5,12 +5,13 @@ distinct sites and in at least as many different texts. Both are counted by Hype
 aggregation; where an estimate is so near to the threshold that the sketch could err, the distinct values are counted
 exactly. Texts that are copied whole are one text, on all the sites that have them: without the second count a document
 with many mirrors would lose all its lines.
-op10 and the pipeline cut every boilerplate line, whatever its share of the document; a caller who wants documents
-that are mostly boilerplate left whole passes a ``max_share`` of the characters below 1.
+Every boilerplate line is cut, whatever its share of the document; a caller who wants documents that are mostly
+boilerplate left whole passes a ``max_share`` of the characters below 1.
 
 Edge cases: a null text stays null and has no lines; blank lines are never boilerplate and stay where they are; a
-null site counts as one site; repeated rows are copies; very long texts only make more lines; columns of other names
-pass through; an empty table gives an empty result.
+null site counts as one site, the same as an empty name; repeated rows are copies; very long texts only make more
+lines; other columns pass through whatever their names, but for those that ``counts`` names, which are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import stored, table
+from verdance.llm.common import held, released, stored, table
 
 #: Standard error of a sketch with 2**LG_K registers is about 1.04 / 2**(LG_K / 2).
 LG_K = 10
@@ -56,36 +57,35 @@ def spread_lines(docs: DataFrame, min_sites: int = 10, margin: float = 0.25) ->
     return spread
 
 
-def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``; adds _n_lines and _n_removed."""
+def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 1.0, counts: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``; adds ``counts``, the numbers of lines and of lines cut."""
     spread = stored(spread_lines(docs, min_sites), "spread-lines")
     found = (
         docs.filter("text is not null")
         .select("doc_id", F.xxhash64("text").alias("copy"), F.explode(line_hashes(F.col("text"))).alias("line"))
         .join(spread, "line")
         .groupBy("doc_id", "copy")
-        .agg(F.collect_set("line").alias("_cut"))
-        .select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_cut")
+        .agg(F.collect_set("line").alias("cut"))
+        .withColumnRenamed("doc_id", "id")
     )
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_copy")), "left")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_cut"), line_hash(x)), F.lit(False)))
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    cut = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    # Below a share of 1, a document that would lose more of its characters is left whole.
-    allowed = (chars(F.col("_lines")) - chars(F.col("_kept"))) <= max_share * chars(F.col("_lines"))
-    final = F.when(F.col("_cut").isNotNull() & allowed, F.col("_kept"))
-    out = cut.withColumn("_final", final).select(
-        *[F.coalesce(F.array_join("_final", "\n"), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_final"), F.lit(0)).cast("long").alias("_n_removed"),
+    joined = held(docs, "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("copy")), "left")
+    joined = joined.withColumn("lines", F.split("text", "\n"))
+    kept = F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("cut"), line_hash(x)), F.lit(False))))
+    if max_share < 1:  # a document that would lose more of its characters is left whole
+        chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+        kept = F.when(chars(F.col("lines")) - chars(kept) <= max_share * chars(F.col("lines")), kept)
+    final = joined.withColumn("kept", kept)
+    out = final.withColumn("text", F.coalesce(F.array_join("kept", "\n"), F.col("text")))
+    return out.select(
+        *[c for c, name in zip(released(docs, "doc_id", "text"), docs.columns, strict=True) if name not in counts],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias(counts[1]),
     )
-    return out
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, clean_chars, clean_md5) for every document."""
-    return drop_spread_lines(table(spark, sf_dir, "documents"), max_share=1.0).select(
+    return drop_spread_lines(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),
@@ -94,17 +94,20 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: Written from the definition above: every row is split, every line judged by exact distinct counts over all rows.
 ORACLE = r"""
-WITH t AS (SELECT text, min(coalesce(source, '')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
-l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line, site FROM t),
-b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
-e AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
-k AS (
-  SELECT e.text, count(*) AS n_lines, count(b.line) AS n_removed, coalesce(sum(length(e.line)) FILTER (WHERE b.line IS NOT NULL), 0) AS gone,
-         sum(length(e.line)) AS chars, coalesce(string_agg(e.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS kept
-  FROM e LEFT JOIN b ON trim(e.line) = b.line GROUP BY e.text),
-c AS (SELECT text, n_lines, CASE WHEN gone <= 0.5 * chars THEN n_removed ELSE 0 END AS n_removed,
-             CASE WHEN n_removed > 0 AND gone <= 0.5 * chars THEN kept ELSE text END AS clean FROM k)
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
+parts AS (
+  SELECT r, md5(text) AS content, coalesce(source, '') AS site,
+         unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM rows WHERE text IS NOT NULL),
+boilerplate AS (
+  SELECT trim(part) AS line FROM parts WHERE trim(part) <> ''
+  GROUP BY trim(part) HAVING count(DISTINCT site) >= 10 AND count(DISTINCT content) >= 10),
+cleaned AS (
+  SELECT r, count(*) AS n_lines, count(line) AS n_removed,
+         coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE line IS NULL), '') AS clean
+  FROM parts LEFT JOIN boilerplate ON trim(part) = line GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(clean) AS clean_chars, md5(clean) AS clean_md5
-FROM documents d LEFT JOIN c ON d.text = c.text
+FROM rows LEFT JOIN cleaned USING (r)
 """
