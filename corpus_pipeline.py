@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import lines, mixing, neardup, packing, toxicity
-from verdance.llm.common import shared_dir, table
+from verdance.llm.common import free, shared_dir, table
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,10 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts boilerplate lines; n_chars follows the text."""
-    cut = lines.drop_spread_lines(docs, max_share=1.0)
-    chars = F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*[chars.alias(c) if c == "n_chars" else c for c in docs.columns])
+    n_lines, n_removed = free(docs, "n_lines", "n_removed")
+    cut = lines.drop_spread_lines(docs, counts=(n_lines, n_removed))
+    chars = F.when(F.col(n_removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
