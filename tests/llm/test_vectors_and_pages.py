@@ -89,12 +89,14 @@ def test_vector_edge_cases(spark):
     assert vectordup.vector_classes(vectors(spark, [])).count() == 0
 
 
-def brute_top(rows, queries, k=5):
+def brute_top(rows, every, k=5):
+    """Places in the table tell rows apart, so that rows of one id meet each other."""
     out = []
-    q = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows}
-    for i in queries:
-        scored = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i and len(q[j]) == len(q[i])))[:k]
-        out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1)]
+    q = [[math.floor(256 * float(np.float32(x))) for x in v] for _, v, _ in rows]
+    for i, (query, _, _) in enumerate(rows):
+        if query % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), rows[j][0]) for j in range(len(rows)) if j != i and len(q[j]) == len(q[i]))[:k]
+            out += [(query, rank, j, -s) for rank, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
 
@@ -103,9 +105,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
     monkeypatch.setattr(topk, "MEMBERS", 8)
     rows = some_vectors(seed=3)
+    rows += [(i, np.float32(v * (2 + k)), label) for k, (i, v, label) in enumerate(rows[:40])]  # ids with several vectors
     v = topk.floored(vectors(spark, rows))
     got = sorted(tuple(r) for r in topk.top_k(v, v.filter("vec_id % 5 = 0")).collect())
-    assert [(a, b, c, d) for a, b, c, d in got] == brute_top(rows, [r[0] for r in rows if r[0] % 5 == 0])
+    assert [(a, b, c, d) for a, b, c, d in got] == brute_top(rows, 5)
 
 
 def test_top_k_stops_early_and_stays_exact():
@@ -113,7 +116,7 @@ def test_top_k_stops_early_and_stays_exact():
     q = np.floor(rng.normal(size=(400, 8)) ** 5 * 40).astype(np.int64)
     order, ends = topk.segments(q)
     ids = np.arange(400) * 3
-    who, found, score = topk.best(ids, q, order, ends, ids[:50], q[:50], 5)
+    who, found, score = topk.best((ids, ids), q, order, ends, ids[:50], q[:50], 5)
     true = q[:50] @ q.T
     for i in range(50):
         best = [j for j in np.lexsort((ids, -true[i])) if j != i][:5]
@@ -122,10 +125,13 @@ def test_top_k_stops_early_and_stays_exact():
 
 
 def test_top_k_edge_cases(spark):
-    v = topk.floored(vectors(spark, odd_vectors() + [(50, [1, 0], 1), (50, [1, 0], 1), (100, [1, 0, 0, 0], 1)]))
+    v = topk.floored(vectors(spark, odd_vectors() + [(50, [1, 0], 1), (50, [3, 0], 1), (100, [1, 0, 0, 0], 1)]).withColumn("row", F.lit(1)))
     got = sorted(tuple(r) for r in topk.top_k(v, v.filter("vec_id % 50 = 0")).collect())
-    # ties go to the smaller id; zero vectors take part; other lengths don't; a query alone in its length has no rows
-    assert [(r[1], r[2], r[3]) for r in got] == [(1, 3, 131072), (2, 1, 65536), (3, 2, 65536), (4, 4, 65536), (5, 12, 65536)]
+    # ties go to the smaller id; zero vectors take part; other lengths don't; a query alone in its length has no rows;
+    # of two rows with one id each finds the other
+    one = [(50, 196608), (3, 131072), (1, 65536), (2, 65536), (4, 65536)]
+    three = [(3, 393216), (1, 196608), (2, 196608), (4, 196608), (12, 196608)]
+    assert got == sorted((50, rank, i, score) for best in (one, three) for rank, (i, score) in enumerate(best, 1))
     empty = topk.floored(vectors(spark, []))
     assert topk.top_k(empty, empty).count() == 0
 

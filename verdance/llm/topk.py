@@ -9,9 +9,12 @@ exactly; so the result is the one of a full search.
 Index blocks meet query blocks by an equi-join on the block number; of each meeting only the best k are kept. Queries are a
 stated part of the rows; every other row is a candidate.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; of rows
-with the same id one (the least vector) takes part; vectors meet only those of their own length; ties go to the smaller
-id; a query with fewer than k candidates gets them all; other columns are ignored.
+Rows are told apart by a number of their own, not by their id: of rows with one id each is a candidate for the others
+and, as a query, has its own k rows.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id
+(the result could not name them); vectors meet only those of their own length; ties go to the smaller id; a query with
+fewer than k candidates gets them all; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ def usable(vector: str | Column) -> Column:
 
 
 def floored(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, q): integer components of the usable vectors."""
+    """(row, vec_id, q): integer components of the usable vectors, written so that a row's number stays the same."""
     q = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    return vectors.filter(F.col("vec_id").isNotNull() & usable("embedding")).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(q).alias("q"))
+    kept = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding"))
+    return stored(kept.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), q.alias("q")), "floored")
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -59,19 +63,22 @@ def segments(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def indexed(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block: its ids, components and posting segments."""
-    rows = rows.sort_by("vec_id")
+    """One row for a block: its rows' numbers and ids, components and posting segments."""
     q = matrix(rows.column("q"))
     order, ends = segments(q)
     return pa.table({
         "dim": pa.array([q.shape[1]], pa.int32()), "block": pa.array([rows.column("block")[0].as_py()], pa.int32()),
-        "ids": [rows.column("vec_id").to_numpy().tobytes()], "q": [q.astype(np.int64).tobytes()],
+        "rows": [rows.column("row").to_numpy().tobytes()], "ids": [rows.column("vec_id").to_numpy().tobytes()], "q": [q.astype(np.int64).tobytes()],
         "postings": [order.astype(np.uint32).tobytes()], "ends": [ends.astype(np.int64).tolist()],
     })
 
 
-def best(ids: np.ndarray, q: np.ndarray, postings: np.ndarray, ends: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best k of a block for each query: see the module's text."""
+def best(names: tuple[np.ndarray, np.ndarray], q: np.ndarray, postings: np.ndarray, ends: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the best k of a block for each query: see the module's text.
+
+    names: row numbers and ids of the block; asking: row numbers of the queries.
+    """
+    own, ids = names
     n, d = q.shape
     # Sums of products are exact in doubles below 2**53, and slower but exact in 64-bit integers above.
     exact = d * float(np.abs(q).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2**53
@@ -81,19 +88,19 @@ def best(ids: np.ndarray, q: np.ndarray, postings: np.ndarray, ends: np.ndarray,
 
     def finish(who: np.ndarray, rows: np.ndarray, score: np.ndarray) -> None:
         """Ranks (query, row, score) triples and keeps the first k of each query."""
-        mine = ids[rows] != query_ids[who]
-        who, rows, score = who[mine], rows[mine], score[mine]
+        others = own[rows] != asking[who]
+        who, rows, score = who[others], rows[others], score[others]
         order = np.lexsort((ids[rows], -score, who))
         who, rows, score = who[order], rows[order], score[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         keep = rank < k
-        out.append((query_ids[who[keep]], ids[rows[keep]], score[keep].astype(np.int64)))
+        out.append((asking[who[keep]], ids[rows[keep]], score[keep].astype(np.int64)))
 
     def proven(who: np.ndarray, got: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that can still be among each query's best k, and whether they are few."""
         slack = norm[who, None] * missing * (1 + 1e-9)
         low = got - slack
-        low[ids[None, :] == query_ids[who, None]] = -np.inf
+        low[own[None, :] == asking[who, None]] = -np.inf
         bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(who), -np.inf)
         can = got + slack >= bar[:, None]
         return can, can.sum(axis=1) <= MEMBERS
@@ -125,7 +132,7 @@ def best(ids: np.ndarray, q: np.ndarray, postings: np.ndarray, ends: np.ndarray,
                 break
     if len(active):
         # Every posting is in: the scores are final. Only those at least as high as the k-th are ranked.
-        mine = ids[None, :] == query_ids[active, None]
+        mine = own[None, :] == asking[active, None]
         final = np.where(mine, np.iinfo(np.int64).min if kind is np.int64 else -np.inf, got)
         bar = np.partition(final, n - k, axis=1)[:, n - k] if n > k else final.min(axis=1, initial=0)
         who, rows = np.nonzero((final >= bar[:, None]) & ~mine)
@@ -137,10 +144,10 @@ def searched(k: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         found = []
         for r in rows.to_pylist():
-            ids, d = np.frombuffer(r["ids"], np.int64), r["dim"]
-            found.append(best(ids, np.frombuffer(r["q"], np.int64).reshape(-1, d), np.frombuffer(r["postings"], np.uint32), np.array(r["ends"], np.int64),
-                              np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"], np.int64).reshape(-1, d), k))
-        return pa.table({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+            names, d = (np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)), r["dim"]
+            found.append(best(names, np.frombuffer(r["q"], np.int64).reshape(-1, d), np.frombuffer(r["postings"], np.uint32), np.array(r["ends"], np.int64),
+                              np.frombuffer(r["asking"], np.int64), np.frombuffer(r["queries"], np.int64).reshape(-1, d), k))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("query_row", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     return run
 
@@ -149,45 +156,47 @@ def question(key: tuple, rows: pa.Table) -> pa.Table:
     """One row for a block of queries."""
     return pa.table({
         "dim": pa.array([rows.column("dim")[0].as_py()], pa.int32()), "query_block": pa.array([rows.column("query_block")[0].as_py()], pa.int32()),
-        "query_ids": [rows.column("vec_id").to_numpy().tobytes()], "queries": [matrix(rows.column("q")).astype(np.int64).tobytes()],
+        "asking": [rows.column("row").to_numpy().tobytes()], "queries": [matrix(rows.column("q")).astype(np.int64).tobytes()],
     })
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows of ``vectors`` for each row of ``queries`` (both vec_id, q)."""
+    """(query_id, rank, vec_id, score) of the k best rows of ``vectors`` for each row of ``queries``, some of its rows; as floored() has them."""
     sized = vectors.withColumn("dim", F.size("q"))
     counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("blocks")).toPandas()  # a row per length of vectors
     many = dict(zip(counts.dim.tolist(), counts.blocks.tolist(), strict=True))
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("dim")) if many else F.lit(1)
-    # ids spread over the blocks evenly, whatever their order
+    # rows spread over the blocks evenly, whatever their order
     index = (
-        sized.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).groupBy("dim", "block")
-        .applyInArrow(indexed, "dim int, block int, ids binary, q binary, postings binary, ends array<long>")
+        sized.withColumn("block", F.pmod(F.xxhash64("row"), n_blocks).cast("int")).groupBy("dim", "block")
+        .applyInArrow(indexed, "dim int, block int, rows binary, ids binary, q binary, postings binary, ends array<long>")
     )
     n_queries = queries.count()
     asked = (
-        queries.withColumn("dim", F.size("q")).withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")).groupBy("dim", "query_block")
-        .applyInArrow(question, "dim int, query_block int, query_ids binary, queries binary")
+        queries.withColumn("dim", F.size("q")).withColumn("query_block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")).groupBy("dim", "query_block")
+        .applyInArrow(question, "dim int, query_block int, asking binary, queries binary")
         .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     )
-    met = index.join(asked, ["dim", "block"]).groupBy("dim", "block", "query_block").applyInArrow(searched(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = index.join(asked, ["dim", "block"]).groupBy("dim", "block", "query_block").applyInArrow(searched(k), "query_row long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    named = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return ranked.join(named, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:
     """The five best rows for each row of embeddings whose id is divisible by 50."""
-    vectors = stored(floored(table(spark, sf_dir, "embeddings")), "floored")
+    vectors = floored(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
 ORACLE = r"""
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
