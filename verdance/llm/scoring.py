@@ -6,14 +6,19 @@ unseen context, whose weight is 0). The weights are learned by expectation-maxim
 training documents is deleted from the counts, and its tokens show how far the counts of the rest can be trusted.
 
 Counting and looking up go together. Each task turns its documents into chunks of about ``CHUNK_TOKENS`` coded tokens; a chunk
-asks once for each of its distinct n-grams (sorted 64-bit hashes, packed by hash range) and adds its own counts to the
+asks once for each of its distinct n-grams (sorted hashes, packed by hash range) and adds its own counts to the
 question. Grouped by range, the questions are summed up and answered; grouped by chunk again, the answers score the
 chunk's documents. So a frequent n-gram crosses the network once per chunk rather than once per token, no range
 holds more than its share of the distinct n-grams, and neither texts nor single tokens are ever shuffled.
 
+Words are told apart by 64-bit hashes, longer n-grams by as many bits as leave one in a million with a hash that is not its
+own. The weights are learned from the deleted tokens' counts by (bucket, rounded ratio of the estimate to the probability
+below it), a table of bounded size at every level.
+
 A token is a word with A-Z folded, or the end of a text, which counts as a token; the context before a text's first token
 is a start mark. Edge cases: null texts are empty and have the end token alone; repeated rows are counted and scored one
-by one; without training documents V = N = 0 and every token has probability 1; other columns are ignored.
+by one, and ties need no order; very long texts make long chunks; without training documents V = N = 0 and every token has
+probability 1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +40,14 @@ CHUNK_TOKENS = 1_000_000
 RANGE_CHARS = 8_000_000
 #: Of the training documents, one in this many is deleted from the counts to learn the weights.
 DELETED_OF = 10
-#: Longest context frequency bucket, in bits; steps of the logarithm to which ratios of estimates are rounded for EM.
-MOST_BITS, STEPS = 24, 4
-START, END = b"\x00start", b"\x00end"
+#: Steps an octave to which estimates, and their ratios to the probability below them, are rounded for EM.
+STEPS = 32
+#: Bits of an n-gram's hash beyond those that number all tokens: one n-gram in 2**SPARE_BITS shares its hash, at any size.
+SPARE_BITS = 20
+#: Shuffle partitions at most.
+MOST_PARTITIONS = 100_000
+#: Marks with a blank in them, as no word has one.
+START, END = b" start", b" end"
 
 _A, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -135,8 +145,11 @@ def decoded(vocabulary: bytes, tokens: bytes, docs: bytes, order: int) -> tuple[
     return Grams(unpacked(tokens).astype(np.int64), lengths, unpacked(vocabulary), order), ids, lengths, roles
 
 
-def asked(order: int, n_ranges: int):
-    """Chunks to their questions: distinct n-grams by level and hash range, with the chunk's own counts."""
+def asked(order: int, n_ranges: int, bits: int = 64):
+    """Chunks to their questions: distinct n-grams by level and hash range, with the chunk's own counts.
+
+    bits: of the hashes of n-grams longer than a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in QUESTION.split(", ")]
@@ -152,6 +165,7 @@ def asked(order: int, n_ranges: int):
                     keys, counts = keys[by_hash], counts[by_hash]
                     place = ranges(keys, n_ranges)
                     edges = [0, *(np.flatnonzero(np.diff(place)) + 1), len(keys)]
+                    keys = keys >> np.uint64(64 - bits if level > 1 else 0)
                     for a, b in zip(edges, edges[1:], strict=False):
                         rows.append((chunk, deleted, level, int(place[a]), packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(counts[a:b])))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -203,51 +217,71 @@ class Chunk:
         """Maximum-likelihood estimates by level, and the buckets of the contexts' frequencies."""
         contexts = [np.full(len(self.doc), tokens), *self.context[:-1]]
         ratio = [c / np.maximum(h, 1) for c, h in zip(self.count, contexts, strict=True)]
-        return ratio, [np.minimum(np.frexp(h.astype(float))[1], MOST_BITS) for h in contexts]
+        return ratio, [np.frexp(h.astype(float))[1] for h in contexts]
+
+
+def steps(ratio: np.ndarray) -> np.ndarray:
+    """Rounded logarithms of ratios as numbers of 12 bits; 0 for a ratio of 0."""
+    with np.errstate(divide="ignore"):
+        return np.where(ratio > 0, np.clip(np.round(np.log2(ratio) * STEPS) + 2048, 1, 4095), 0).astype(np.int64)
+
+
+def unstepped(step: np.ndarray) -> np.ndarray:
+    return np.where(step > 0, 2.0 ** ((step - 2048) / STEPS), 0.0)
+
+
+#: An event has 18 bits for each level: 6 for the bucket, 12 for the rounded ratio of the estimate to P_0.
+LEVEL_BITS = 18
 
 
 def grouped(order: int, totals: dict):
-    """Of a deleted chunk, how many tokens have each (bucket, rounded ratio of estimate to P_0) at every level."""
+    """Of a deleted chunk, how many tokens are alike in the events of all levels."""
 
     def run(key: tuple, codes: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(codes, answers, order, "rest", totals["rest_docs"])
-        ratios, buckets = chunk.estimates(totals["rest_tokens"])
         code = np.zeros(len(chunk.doc), np.int64)
-        for ratio, bucket in zip(ratios, buckets, strict=True):
-            with np.errstate(divide="ignore"):
-                log = np.log2(ratio * (totals["rest_types"] + 1))
-            step = np.where(ratio > 0, np.clip(np.round(log * STEPS) + 512, 1, 1023), 0).astype(np.int64)
-            code = (code << 15) | (bucket.astype(np.int64) << 10) | step
+        for ratio, bucket in zip(*chunk.estimates(totals["rest_tokens"]), strict=True):
+            code = (code << LEVEL_BITS) | (bucket.astype(np.int64) << 12) | steps(ratio * (totals["rest_types"] + 1))
         found, n = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(found), "n": pa.array(n)})
 
     return run
 
 
-def learned_weights(codes: np.ndarray, n: np.ndarray, order: int, rounds: int = 60) -> list[list[float]]:
-    """Weights by level and bucket, by expectation-maximisation on the grouped held-out tokens, level after level."""
-    weights: list[list[float]] = []
-    below = np.ones(len(codes))  # P_0 in units of itself
-    for level in range(order):
-        part = codes >> (15 * (order - 1 - level)) & 0x7FFF
-        bucket, step = part >> 10, part & 1023
-        ratio = np.where(step > 0, 2.0 ** ((step - 512) / STEPS), 0.0)
-        size = np.bincount(bucket, n, MOST_BITS + 1)
-        w = np.where(size > 0, 0.5, 0.0)
-        w[0] = 0.0  # an unseen context has no estimate
-        for _ in range(rounds):
-            up = w[bucket] * ratio
-            share = up / np.maximum(up + (1 - w[bucket]) * below, 1e-300)
-            w = np.bincount(bucket, n * share, MOST_BITS + 1) / np.maximum(size, 1)
-            w[0] = 0.0
-        # Buckets without held-out tokens take the weight of the next lower one; P_0 keeps a share everywhere.
-        for b in range(1, MOST_BITS + 1):
-            if size[b] == 0:
-                w[b] = w[b - 1]
-        w = np.minimum(w, 1 - 1e-6)
-        weights.append(w.tolist())
-        below = w[bucket] * ratio + (1 - w[bucket]) * below
-    return weights
+def standing(order: int, weights: list[list[float]]):
+    """Batches of events (code, n) to (bucket, step, n) of the level after those of ``weights``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            below = np.ones(len(code))  # P_0 in units of itself
+            for level in range(len(weights) + 1):
+                part = code >> (LEVEL_BITS * (order - 1 - level)) & ((1 << LEVEL_BITS) - 1)
+                bucket, ratio = part >> 12, unstepped(part & 4095)
+                if level < len(weights):
+                    w = np.array(weights[level])[bucket]
+                    below = w * ratio + (1 - w) * below
+            found, at = np.unique(bucket << 12 | steps(ratio / below), return_inverse=True)
+            counts = np.bincount(at, n, len(found)).astype(np.int64)
+            yield pa.record_batch([pa.array(found >> 12), pa.array(found & 4095), pa.array(counts)], ["bucket", "step", "n"])
+
+    return run
+
+
+def learned_weights(bucket: np.ndarray, step: np.ndarray, n: np.ndarray, rounds: int = 60) -> list[float]:
+    """Weights of a level by bucket, by expectation-maximisation on held-out tokens grouped by (bucket, step)."""
+    ratio, size = unstepped(step), np.bincount(bucket, n, 64)
+    w = np.where(size > 0, 0.5, 0.0)
+    w[0] = 0.0  # an unseen context has no estimate
+    for _ in range(rounds):
+        up = w[bucket] * ratio
+        w = np.bincount(bucket, n * up / np.maximum(up + 1 - w[bucket], 1e-300), 64) / np.maximum(size, 1)
+        w[0] = 0.0
+    # Buckets without held-out tokens take the weight of the next lower one; the level below keeps a share everywhere.
+    for b in range(1, 64):
+        if size[b] == 0:
+            w[b] = w[b - 1]
+    return np.minimum(w, 1 - 1e-6).tolist()
 
 
 def rated(order: int, totals: dict, weights: list[list[float]]):
@@ -277,23 +311,30 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def interpolated_scores(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     """log10 probabilities of the texts of ``docs`` under a model of those where ``held_out`` is false."""
+    if not 1 <= order <= 64 // LEVEL_BITS:
+        raise ValueError(f"order must be 1 to {64 // LEVEL_BITS}")
     # A document's part in the weights depends on its id alone, so that reruns agree.
     gone = F.pmod(F.xxhash64("doc_id"), F.lit(DELETED_OF)) == 0
     role = F.when(held_out, 0).when(gone, 2).otherwise(1)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), role.alias("role"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    seen = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("size", F.octet_length("text") + 1), ("docs", (F.col("role") > 0).cast("long")), ("rest_docs", (F.col("role") == 1).cast("long")))]).first()
     codes = stored(rows.mapInArrow(coded, CODES), "lm-codes")
-    questions = codes.mapInArrow(asked(order, max(8, size // RANGE_CHARS)), QUESTION)
+    n_ranges = max(8, seen.size // RANGE_CHARS)
+    bits = min(64, SPARE_BITS + max(1, seen.size).bit_length())  # a token has one character at least
+    questions = codes.mapInArrow(asked(order, n_ranges, bits), QUESTION).repartition(min(MOST_PARTITIONS, -(-order * n_ranges // 4)), "level", "range")
     answers = stored(questions.groupBy("level", "range").applyInArrow(answered, ANSWER), "lm-answers")
     totals = answers.filter("chunk is null and level = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "rest_types", "rest_tokens")]).first().asDict()
-    totals |= rows.agg(F.coalesce(F.sum((F.col("role") > 0).cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum((F.col("role") == 1).cast("long")), F.lit(0)).alias("rest_docs")).first().asDict()
+    totals |= {"docs": seen.docs, "rest_docs": seen.rest_docs}
     given = answers.filter("chunk is not null")
-    # Few next to the tokens: codes are (bucket, rounded ratio) at each level. They come as Arrow columns, not as row objects.
     deleted = codes.filter("deleted").groupBy("chunk").cogroup(given.filter("deleted").select("chunk", "level", "range", "rest").groupBy("chunk"))
-    events = deleted.applyInArrow(grouped(order, totals), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    found, n = (events.column(c).to_numpy() for c in ("code", "n"))
-    by_code = np.argsort(found)
-    weights = learned_weights(found[by_code], n[by_code].astype(float), order)
+    events = stored(deleted.applyInArrow(grouped(order, totals), "code long, n long"), "lm-events")
+    weights: list[list[float]] = []
+    for _ in range(order):
+        # 64 buckets by 4,096 steps at most, whatever the input
+        level = events.mapInArrow(standing(order, weights), "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).toArrow()
+        bucket, step, n = (level.column(c).to_numpy() for c in ("bucket", "step", "n"))
+        by_key = np.lexsort((step, bucket))
+        weights.append(learned_weights(bucket[by_key], step[by_key], n[by_key].astype(float)))
     return codes.drop("deleted").groupBy("chunk").cogroup(given.select("chunk", "level", "range", "counts").groupBy("chunk")).applyInArrow(rated(order, totals, weights), SCORED)
 
 
