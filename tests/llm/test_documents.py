@@ -39,6 +39,17 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def test_components_fail_rather_than_end_early(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long").repartition(4)
+        with pytest.raises(RuntimeError):
+            components(edges, "t", max_rounds=1)
+        assert {r.component for r in components(edges, "t").collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components_are_the_smallest_nodes(spark):
     edges = [(5, 4), (4, 3), (10, 11), (11, 12), (3, 3), (20, 21), (21, 20), *[(100 + k, 101 + k) for k in range(30)]]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -50,16 +61,16 @@ def test_components_are_the_smallest_nodes(spark):
 
 
 def brute_classes(rows):
-    sets = {i: shingles(t) for i, t, _ in rows if i is not None}
-    at = {i: i for i in sets}
+    """(set size, component) by id; an id with several texts has the size of its last one and is one node."""
+    every = [(i, shingles(t)) for i, t, _ in rows if i is not None]
+    at = {i: i for i, _ in every}
     while True:
         new = dict(at)
-        for a, b in itertools.combinations(sets, 2):
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 75 * len(sets[a] | sets[b]):
+        for (a, s), (b, t) in itertools.combinations(every, 2):
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
                 new[a] = new[b] = min(new[a], new[b])
         if new == at:
-            return {i: (len(sets[i]), at[i]) for i in sets}
+            return {i: (len(s), at[i]) for i, s in every}
         at = new
 
 
@@ -95,6 +106,15 @@ def test_near_dedup_large_group_in_blocks(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_links_every_text_of_an_id(spark):
+    """Documents 7 and 8 are near copies of different texts of document 5, and so is 3 of a third one."""
+    rng = np.random.default_rng(7)
+    bases = [[f"{c}{j}" for j in rng.integers(0, 90, 60)] for c in "abc"]
+    rows = [(5, " ".join(b), "s") for b in bases] + [(i, " ".join([*b[:-1], "end"]), "s") for i, b in zip((7, 8, 3), bases, strict=True)] + [(9, "something else here and there", "s")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_classes(docs(spark, rows)).collect()}
+    assert {(i, c) for i, _, c in got} == {(i, c) for i, (_, c) in brute_classes(rows).items()} == {(5, 3), (7, 3), (8, 3), (3, 3), (9, 9)}
+
+
 def test_near_dedup_edge_cases(spark):
     rows = neardup.near_classes(docs(spark, odd_rows())).collect()
     assert len(rows) == len(odd_rows())
@@ -102,7 +122,10 @@ def test_near_dedup_edge_cases(spark):
     assert got[1] == (3, 1) and got[9] == (3, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (0, 4)
     assert got[5][1] == got[6][1] == 5 and got[7] == (1, 7)
     assert neardup.near_classes(docs(spark, [])).count() == 0
-    kept = [r.doc_id for r in neardup.drop_near_copies(docs(spark, odd_rows())).collect()]
+    clashing = ["_gone", "id", "digest", "rep", "component_id", "text_hash"]
+    kept = neardup.drop_near_copies(docs(spark, odd_rows()).select("*", *[F.lit(k).alias(c) for k, c in enumerate(clashing)])).collect()
+    assert {tuple(r[c] for c in clashing) for r in kept} == {tuple(range(len(clashing)))}
+    kept = [r.doc_id for r in kept]
     assert sorted(i for i in kept if i is not None) == [1, 1, 2, 3, 4, 5, 7, 8] and kept.count(None) == 2
 
 

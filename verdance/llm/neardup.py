@@ -7,8 +7,8 @@ own, so that small sets have full registers too. Bands of compressed registers b
 estimate corrected for chance collisions drops the hopeless ones, and the pairs left are confirmed on full sets.
 
 Documents with equal sets are one class from the start; only class representatives are banded. In a band's group
-every member first meets up to ``CENTRES`` centres of the group, and the confirmed links are joined to components: a
-group of near copies of any size gives rows in proportion. Then members of one group that are still in different
+every member first meets the group's centre (its first member in every other band, its last one in the rest), and the
+confirmed links are joined to components: a group of near copies of any size gives rows in proportion. Then members of one group that are still in different
 components meet each other, so that no pair that any band brings together is left undecided: small groups by a join, large
 ones (groups with common members as one cluster) block by block inside tasks, which return only links that join components.
 
@@ -16,15 +16,17 @@ With 48 bands of 5 registers, a pair at Jaccard 0.75 shares no band with a proba
 drops it with one of about 3e-5.
 
 Edge cases: null or blank texts have empty sets and link with nothing; texts of one to four words are a single
-shingle; null ids are kept as rows but take no part in links; repeated rows form one class, and where a document of a class
-stays, all rows of its id stay; rows of one id with different texts are one node, compared by one of the texts; other columns
-are ignored.
+shingle; very long texts only have larger sets; null ids are kept as rows but take no part in links; repeated rows form one
+class, and where a document of a class stays, all rows of its id stay; rows of one id with different texts are one document,
+linked with whatever any of its texts is linked with; an empty table gives an empty result; other columns are ignored, and
+drop_near_copies returns them whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from verdance.llm.common import components, light, stored, table, words_of
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Centres that the members of a band's group meet; the choice of centre depends on the band.
-CENTRES = 2
 #: Standard deviations below the threshold at which an estimate drops a pair.
 SLACK = 4.0
 #: Members of a group up to which all of its pairs across components are listed; larger ones are compared in blocks of
@@ -239,7 +239,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(h))
             digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             regs.append(registers(h).tobytes() if len(h) else None)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+        yield pa.record_batch([batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "registers"])
 
 
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +250,28 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], ["band", "rep"])
 
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    """(id, text_hash, text) of ``docs``: what finds a text again."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, registers) of every row; digest and registers are null for empty sets."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, registers binary")
+    """(doc_id, text_hash, n_shingles, digest, registers) of every row; digest and registers are null for empty sets."""
+    return with_hash(docs).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, registers binary")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """(rep, text) of the classes in ``wanted`` (rep)."""
+    where = stored(reps.select("rep", "id", "text_hash").join(light(wanted), "rep", "left_semi"), f"{label}-places")
+    return stored(with_hash(docs).join(light(where), ["id", "text_hash"]).groupBy("rep").agg(F.min("text").alias("text")), f"{label}-texts")
 
 
-def linked_in_clusters(docs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+def linked_in_clusters(docs: DataFrame, reps: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
     """(x, y): links between different components of large groups' members (band, members, rep, component)."""
     firsts = apart.groupBy("band").agg(F.min("rep").alias("first"))
     clusters = components(apart.join(firsts, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")), "clusters")
-    members = stored(apart.select("rep", "component").distinct().join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep"), "cluster-members")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    texts = text.join(light(members.select("rep")), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    members = stored(apart.select("rep", "component").distinct().join(clusters.toDF("rep", "cluster"), "rep"), "cluster-members")
+    texts = texts_of(docs, reps, members.select("rep"), "cluster")
     sets = stored(texts.mapInArrow(shingled, "rep long, hashes binary").join(members, "rep"), "cluster-sets")
     size = F.octet_length("hashes") / 8
     blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(size) / BLOCK).cast("int").alias("blocks"))
@@ -277,50 +286,63 @@ def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, digest, component_id) of every row of ``docs`` (doc_id, text)."""
     seen = stored(sketches(docs), "sketches")
     full = seen.filter("digest is not null and doc_id is not null")
-    reps = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "set-classes")
+    # A class of equal sets is numbered, and found again by its smallest id and one of that id's texts.
+    first = F.min(F.struct("doc_id", "text_hash"))
+    classes = full.groupBy("digest").agg(first.alias("at"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    reps = stored(classes.select(F.monotonically_increasing_id().alias("rep"), F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("text_hash"), "n", "digest", "registers"), "set-classes")
     placed = reps.select("rep", "registers").mapInArrow(banded, "band long, rep long")
-    # Most keys stand alone: only their number is asked for before the groups are put together.
-    groups = placed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    met = stored(placed.join(groups, "band"), "band-groups")
-    # The order among members, and so the centre, varies with the band.
-    order = F.struct(F.xxhash64("rep", F.pmod("band", F.lit(CENTRES))), "rep")
-    centres = met.groupBy("band").agg(F.min(order).getField("rep").alias("centre"))
-    stars = stored(met.join(centres, "band").filter("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct(), "stars")
+    # Most keys stand alone: only their number and ends are asked for before the groups are put together.
+    groups = placed.groupBy("band").agg(F.count("*").alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("members > 1")
+    centre = F.when(F.col("band") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("centre")
+    met = stored(placed.join(groups.select("band", "members", centre), "band"), "band-groups")
+    stars = stored(met.filter("rep <> centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct(), "stars")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         sized = reps.select("rep", "n", "registers")
         side = lambda c: sized.toDF(c, f"n_{c}", f"r_{c}")
         likely = stored(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(may_link(percent / 100), "x long, y long"), f"{label}-likely")
         ids = stored(likely.select(F.col("x").alias("rep")).unionByName(likely.select(F.col("y").alias("rep"))).distinct(), f"{label}-ids")
-        text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-        # an id that stands for several rows is compared by one of them
-        texts = stored(text.join(light(ids), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), f"{label}-texts")
+        texts = texts_of(docs, reps, ids, label)
         read = lambda c: texts.toDF(c, f"t_{c}")
         # the second join leaves the rows of one centre side by side
         both = likely.join(read("y"), "y").join(read("x"), "x").select("x", "y", "t_x", "t_y")
         return stored(both.mapInArrow(confirm(percent), "x long, y long"), f"{label}-links")
 
-    links = linked(stars, "stars")
-    found = components(links.toDF("a", "b"), "stars")
-    named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    found = components(linked(stars, "stars").toDF("a", "b"), "stars")
+    named = met.join(found.toDF("rep", "component"), "rep", "left").select("band", "members", "rep", F.coalesce("component", "rep").alias("component"))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     apart = stored(named.join(split, "band"), "apart")
-    few = apart.filter(F.col("members") <= SMALL_GROUP).drop("members")
-    listed = few.toDF("band", "x", "c_x").join(few.toDF("band", "y", "c_y"), "band").filter("c_x <> c_y and x < y").select("x", "y")
-    tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = linked(listed.distinct().join(tried, ["x", "y"], "left_anti"), "apart").unionByName(linked_in_clusters(docs, apart.filter(F.col("members") > SMALL_GROUP), percent))
-    classes = components(links.unionByName(more).toDF("a", "b"), "links")
-    named_sets = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # What more links there are is put to the stars found so far, each node's edge to its component's centre.
+    edges = [found.toDF("a", "b")]
+    few, many = apart.filter(F.col("members") <= SMALL_GROUP).drop("members"), apart.filter(F.col("members") > SMALL_GROUP)
+    if not few.isEmpty():
+        listed = few.toDF("band", "x", "c_x").join(few.toDF("band", "y", "c_y"), "band").filter("c_x <> c_y and x < y").select("x", "y")
+        tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        edges.append(linked(listed.distinct().join(tried, ["x", "y"], "left_anti"), "apart").toDF("a", "b"))
+    if not many.isEmpty():
+        edges.append(linked_in_clusters(docs, reps, many, percent).toDF("a", "b"))
+    # Texts of one id belong together: ids with several sets, of which few tables have any.
+    several = stored(full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id"), "several-texts")
+    if not several.isEmpty():
+        own = full.join(light(several), "doc_id").select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
+        edges.append(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    if len(edges) > 1:
+        found = components(reduce(DataFrame.unionByName, edges), "links")
+    # The name of a component is its smallest id.
+    linked_ids = found.toDF("rep", "component").join(reps.select("rep", "id"), "rep")
+    names = linked_ids.groupBy("component").agg(F.min("id").alias("component_id"))
+    named_reps = linked_ids.join(names, "component").select("rep", "component_id")
+    named_sets = reps.join(named_reps, "rep", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     return (
-        seen.drop("registers").join(named_sets, "digest", "left")
-        .select("doc_id", "n_shingles", "digest", F.coalesce("component", "doc_id").alias("component_id"))
+        seen.join(named_sets, "digest", "left")
+        .select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each class of near copies, the one with the smallest id; empty texts all stay."""
-    gone = stored(near_classes(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
-    return docs.join(light(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = stored(near_classes(docs, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(light(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
