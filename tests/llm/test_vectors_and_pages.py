@@ -170,20 +170,23 @@ def test_revisits_equal_brute_force(spark):
 
 
 def test_revisit_edge_cases(spark):
-    rows = [(1, "u", 5, False, None), (2, "u", 5, True, {"ETag": "x"}), (3, None, 6, True, {}), (4, "u", None, True, None), (None, "u", 7, False, None), (5, "u", 8, None, None), (2, "u", 5, True, {"ETag": "x"}), (6, "U/", 9, True, {"a": "1", "A": "2"})]
-    df = spark.createDataFrame(rows, CAPTURES).withColumn("site", F.lit("kept"))
+    rows = [(1, "u", 5, False, None), (2, "u", 5, True, {"ETag": "x"}), (3, None, 6, True, {}), (4, "u", None, True, None), (None, "u", 7, False, None), (5, "u", 8, None, None), (2, "u", 5, True, {"ETag": "x"}), (6, "u/", 9, True, {"a": "1", "A": "2"})]
+    df = spark.createDataFrame(rows, CAPTURES).select("*", *[F.lit("kept").alias(c) for c in ("site", "row", "_r_range", "_r_headers", "_r_usable")])
     out = revisits.resolve(df).collect()
-    assert len(out) == len(rows) and {r.site for r in out} == {"kept"}
+    assert len(out) == len(rows) and {(r.site, r.row, r._r_range, r._r_headers, r._r_usable) for r in out} == {("kept",) * 5}
+    unplaced = next(r for r in out if r.capture_id is None)
+    assert (unplaced.status, unplaced.response_id, unplaced.merged_headers) == ("full", None, {})
     status = sorted((r.capture_id or 0, r.status) for r in out)
-    assert status == [(0, "orphan"), (1, "full"), (2, "mismatch"), (2, "mismatch"), (3, "orphan"), (4, "orphan"), (5, "orphan"), (6, "mismatch")]
+    assert status == [(0, "full"), (1, "full"), (2, "mismatch"), (2, "mismatch"), (3, "orphan"), (4, "orphan"), (5, "orphan"), (6, "mismatch")]
     assert revisits.resolve(spark.createDataFrame([], CAPTURES)).count() == 0
-    with pytest.raises(ValueError):
-        revisits.resolve(df.withColumn("status", F.lit(1)))
+    again = revisits.resolve(df.withColumn("status", F.lit(1)))
+    assert sorted((r.capture_id or 0, r.status) for r in again.collect()) == status and again.columns.count("status") == 1
 
 
 def test_canonical_urls(spark):
     urls = {
         "http://www.A.example:80/x/?utm_source=f#top": "a.example/x", "https://m.a.example/x?page=2&ref=y": "a.example/x?page=2", "a.example/x?ref=1&page=2": "a.example/x?page=2", " https://a.example:8080/ ": "a.example:8080",
+        "HTTP://A.Example/Page?Id=B": "a.example/Page?Id=B", "a.example/page?id=b": "a.example/page?id=b", "A.example": "a.example",
     }
     df = spark.createDataFrame([(u, w) for u, w in urls.items()], "u string, want string")
     assert [r.got for r in df.select(revisits.canonical_url(F.col("u")).alias("got"), "want").collect()] == list(urls.values())

@@ -267,9 +267,8 @@ def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, label: str) ->
 
 
 def linked_in_clusters(docs: DataFrame, reps: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """(x, y): links between different components of large groups' members (band, members, rep, component)."""
-    firsts = apart.groupBy("band").agg(F.min("rep").alias("first"))
-    clusters = components(apart.join(firsts, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")), "clusters")
+    """(x, y): links between different components of large groups' members (rep, component, first: of the group)."""
+    clusters = components(apart.select(F.col("rep").alias("a"), F.col("first").alias("b")), "clusters")
     members = stored(apart.select("rep", "component").distinct().join(clusters.toDF("rep", "cluster"), "rep"), "cluster-members")
     texts = texts_of(docs, reps, members.select("rep"), "cluster")
     sets = stored(texts.mapInArrow(shingled, "rep long, hashes binary").join(members, "rep"), "cluster-sets")
@@ -310,11 +309,11 @@ def near_classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     found = components(linked(stars, "stars").toDF("a", "b"), "stars")
     named = met.join(found.toDF("rep", "component"), "rep", "left").select("band", "members", "rep", F.coalesce("component", "rep").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("band", "first")
     apart = stored(named.join(split, "band"), "apart")
     # What more links there are is put to the stars found so far, each node's edge to its component's centre.
     edges = [found.toDF("a", "b")]
-    few, many = apart.filter(F.col("members") <= SMALL_GROUP).drop("members"), apart.filter(F.col("members") > SMALL_GROUP)
+    few, many = apart.filter(F.col("members") <= SMALL_GROUP).drop("members", "first"), apart.filter(F.col("members") > SMALL_GROUP)
     if not few.isEmpty():
         listed = few.toDF("band", "x", "c_x").join(few.toDF("band", "y", "c_y"), "band").filter("c_x <> c_y and x < y").select("x", "y")
         tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))

@@ -9,10 +9,11 @@ of their range, each (URL, range) finds its last full response, those summaries
 carry it over to the ranges that follow, and inside a range a window fills in the rest. A URL with a third of all captures
 so spreads over as many tasks as it has ranges.
 
-Edge cases: null URLs, times or ids take no part and come back unresolved; a full response at the revisit's own time
-counts as earlier if its id is smaller; repeated rows are resolved one by one; null header maps are empty; bodies are not
-moved (the result names the capture that has the body); columns of other names pass through, and names that start with
-``_r_`` are reserved; an empty table gives an empty result.
+Edge cases: captures with a null URL, time or id can't be placed: no revisit is resolved to them, revisits among them are
+orphans and full responses stay full, with their own headers; a null is_revisit is an orphan; a full response at the
+revisit's own time counts as earlier if its id is smaller; repeated rows are resolved one by one; null header maps are
+empty; bodies are not moved (the result names the capture that has the body); other columns pass through whatever their
+names, but for those that the result adds, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.llm.common import stored, table
+from verdance.llm.common import held, released, stored, table
 
 #: Headers of a revisit that don't touch the stored response: they describe the message or the connection, not the page.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
@@ -29,8 +30,12 @@ TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, www. and m., default ports, fragment, tracking parameters and a last slash don't make another page."""
-    bare = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
+    """Scheme, www. and m., default ports, fragment, tracking parameters and a last slash don't make another page.
+
+    The host is in lower case; path and query are as they were, since case tells pages apart there.
+    """
+    bare = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    bare = F.concat(F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_replace(bare, r"^[^/?#]*", ""))
     bare = F.regexp_replace(F.regexp_replace(bare, r"#.*$", ""), r"^(www\.|m\.)", "")
     bare = F.regexp_replace(bare, r"^([^/:?]+):(80|443)(?=/|\?|$)", "$1")
     bare = F.regexp_replace(bare, rf"(?<=[?&]){TRACKING}=[^&]*&?", "")
@@ -57,13 +62,14 @@ def resolve(captures: DataFrame) -> DataFrame:
     ``orphan`` (none). response_id and merged_headers are those of full and resolved records; the id names the capture
     with the body.
     """
-    own = captures.columns
-    if clash := [c for c in own if c.startswith("_r_") or c in ("canonical", "status", "response_id", "merged_headers")]:
-        raise ValueError(f"reserved column names: {clash}")
-    cols = [F.col(f"`{c}`") for c in own]
-    rows = captures.select(*cols, canonical_url(F.col("url")).alias("canonical"), lowered(F.col("headers")).alias("_r_headers"))
-    usable = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("capture_id").isNotNull() & F.col("is_revisit").isNotNull()
-    ranged = rows.filter(usable).repartitionByRange("canonical", "ts", "capture_id").withColumn("_r_range", F.spark_partition_id())
+    added = ("canonical", "status", "response_id", "merged_headers")
+    used = ("capture_id", "url", "ts", "is_revisit", "headers")
+    own = captures.drop(*added)
+    rows = held(own, *used).select("*", canonical_url(F.col("url")).alias("canonical"), lowered(F.col("headers")).alias("_r_headers"))
+    usable = F.coalesce(F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("capture_id").isNotNull() & F.col("is_revisit").isNotNull(), F.lit(False))
+    # Written before the ranges are sampled, so that URLs and headers are worked out once.
+    ready = stored(rows.withColumn("_r_usable", usable), "captures-read")
+    ranged = ready.filter("_r_usable").repartitionByRange("canonical", "ts", "capture_id").withColumn("_r_range", F.spark_partition_id())
     placed = stored(ranged, "captures")
     full = F.when(~F.col("is_revisit"), F.struct("ts", "capture_id", F.col("_r_headers").alias("headers")))
     when = F.struct("ts", "capture_id")
@@ -81,14 +87,15 @@ def resolve(captures: DataFrame) -> DataFrame:
     changed = F.map_filter(here, lambda k, _: ~k.isin(*KEPT_HEADERS))
     merged = F.map_concat(F.map_filter(there, lambda k, _: ~F.map_contains_key(changed, k)), changed)
     out = seen.withColumn("status", status).select(
-        *cols, "canonical", "status",
+        "row", *used, "canonical", "status",
         F.when(F.col("status") == "full", F.col("capture_id")).when(F.col("status") == "resolved", base["capture_id"]).alias("response_id"),
         F.when(F.col("status") == "full", here).when(F.col("status") == "resolved", merged).alias("merged_headers"),
     )
-    left_out = rows.filter(~usable).select(
-        *cols, "canonical", F.lit("orphan").alias("status"), F.lit(None).cast(captures.schema["capture_id"].dataType).alias("response_id"), F.lit(None).cast("map<string,string>").alias("merged_headers")
+    is_full = F.coalesce(~F.col("is_revisit"), F.lit(False))
+    left_out = ready.filter("not _r_usable").select(
+        "row", *used, "canonical", F.when(is_full, "full").otherwise("orphan").alias("status"), F.when(is_full, F.col("capture_id")).alias("response_id"), F.when(is_full, here).alias("merged_headers")
     )
-    return out.unionByName(left_out)
+    return out.unionByName(left_out).select(*released(own, *used), *added)
 
 
 def with_bodies(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -138,7 +145,7 @@ WITH v AS (
   SELECT page_id, url, html, visit FROM pages, range(4) r(visit) WHERE NOT (visit = 0 AND (page_id // 10) % 2 = 1 AND page_id % 3 = 0)),
 c AS (
   SELECT page_id * 4 + visit AS capture_id, visit * 1000000000 + page_id AS ts, visit > 0 AS is_revisit,
-         lower(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS u,
+         regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS w, regexp_extract(w, '^[^/?#]*') AS host, lower(host) || substr(w, length(host) + 1) AS u,
          CASE WHEN visit IN (0, 1) THEN substr(md5(html), 1, 12)
               WHEN visit = 3 THEN CASE WHEN page_id % 5 = 0 THEN 'W/other' ELSE 'W/' || substr(md5(html), 1, 12) END END AS etag,
          CASE WHEN visit = 0 OR (visit = 2 AND page_id % 7 <> 0) THEN strftime(DATE '2020-01-01' + CAST(page_id % 300 AS INTEGER), '%Y-%m-%d')
@@ -147,7 +154,7 @@ c AS (
          'max-age=' || visit * 60 AS cache, CASE WHEN visit = 0 THEN CAST(length(html) AS VARCHAR) END AS size
   FROM v),
 n AS (
-  SELECT * EXCLUDE u, regexp_replace(regexp_replace(regexp_replace(
+  SELECT * EXCLUDE (u, w, host), regexp_replace(regexp_replace(regexp_replace(
            regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '^(www\.|m\.)', ''), '^([^/:?]+):(80|443)(/|\?|$)', '\1\3'),
            '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') AS canonical
   FROM c),
