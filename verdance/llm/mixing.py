@@ -7,7 +7,8 @@ the order that holds the rest, cut at the exact word.
 
 Edge cases: a null text has size 0; null is a source of its own; a source without words has target 0 and nothing is
 taken; repeated rows are mixed one by one (rows alike in all columns used are interchangeable); rows with a null id
-share a key and are ordered by size; an empty table gives an empty result; other columns are ignored.
+share a key and are ordered by size; very long texts only count more; an empty table gives an empty result; other columns
+are ignored, and keep_mixed returns them whatever their names. Sources are ranked in one task, a narrow row each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.llm.common import light, stored, table, word_count
+from verdance.llm.common import held, light, released, stored, table, word_count
 
 #: Leading bits of the key that make a range: 1024 ranges a source.
 RANGE_BITS = 10
@@ -58,7 +59,8 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ..
 
 def mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row; see the module's text."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+    # Written once, so that texts are read and words counted once.
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")), "mix-rows")
     ranged = sized.withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS))
     # One shuffle of narrow rows serves both the range sums and the sort within ranges.
     dealt = ranged.repartition("source", "range")
@@ -89,12 +91,13 @@ def keep_mixed(docs: DataFrame, seed: int = 17, max_epochs: int = 3, weights: tu
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     rows = mix(docs, seed, max_epochs, weights).withColumn("epochs", epochs)
     in_last = (F.col("size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size"))
-    plan = rows.groupBy(F.col("source").alias("_m_source")).agg(F.max("epochs").alias("_m_epochs"), F.max(F.when(in_last, place("size"))).alias("_m_last"))
-    sized = docs.withColumn("_m_size", word_count(F.col("text"))).withColumn("_m_place", place("_m_size"))
-    joined = sized.join(light(stored(plan, "mix-plan")), F.col("source").eqNullSafe(F.col("_m_source")))
-    times = F.when(F.col("_m_size") == 0, 0).otherwise(F.col("_m_epochs") + F.coalesce((F.col("_m_place") <= F.col("_m_last")).cast("int"), F.lit(0)))
-    copies = joined.withColumn("_m_times", times).filter("_m_times > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_times"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = rows.groupBy(F.col("source").alias("mixed")).agg(F.max("epochs").alias("epochs"), F.max(F.when(in_last, place("size"))).alias("last"))
+    used = ("doc_id", "source", "text")
+    sized = held(docs, *used).withColumn("size", word_count(F.col("text"))).withColumn("place", place("size"))
+    joined = sized.join(light(stored(plan, "mix-plan")), F.col("source").eqNullSafe(F.col("mixed")))
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + F.coalesce((F.col("place") <= F.col("last")).cast("int"), F.lit(0)))
+    copies = joined.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*released(docs, *used))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
