@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +219,9 @@ def test_mixing_edge_cases(spark):
     assert len(out) == len(odd_rows()) and {r.taken for r in out if r.size == 0} == {0}
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.keep_mixed(docs(spark, [])).columns == docs(spark, []).columns
+    clashing = ["row", "size", "place", "mixed", "epochs", "last", "times", "copy", "_m_size", "_m_source"]
+    kept = mixing.keep_mixed(docs(spark, odd_rows()).select("*", *[F.lit(k).alias(c) for k, c in enumerate(clashing)])).collect()
+    assert kept and {tuple(r[c] for c in clashing) for r in kept} == {tuple(range(len(clashing)))}
 
 
 def test_kept_rows_follow_the_mix(spark):
@@ -448,6 +453,45 @@ def test_toxicity_learns_and_holds_names_harmless(spark):
     assert score[1] < 0.5 < score[3]
 
 
+def test_penalty_is_the_change_of_rewritten_sentences(spark):
+    """The loss against one that writes the sentences out and scores them as texts, and its gradient against differences."""
+    groups = (("women", "men"), ("muslims", "mushers", "jews"))
+    texts = ["Women and muslims met. Men too! mushroom mushers.", "no names here. at all", "jews, jews and women\nmuslims", "vile jews womens", None, ""]
+    data = spark.createDataFrame([(None if t is None else t.encode(), k % 2) for k, t in enumerate(texts)], "text binary, toxic int")
+    others = toxicity.alternatives(groups)
+    names = sorted({f for t in texts for f in toxicity.features(set((t or "").encode().lower().split()))} | {f for n in others for f in toxicity.features({n})})
+    index = {f: k for k, f in enumerate(names)}
+    rows = data.mapInArrow(toxicity.encode(index), "toxic int, idx array<int>").collect()
+    changes = data.mapInArrow(toxicity.moves(index, others), "gained array<int>, lost array<int>, n long").collect()
+    rng = np.random.default_rng(0)
+    wb = rng.normal(size=len(index) + 1)
+
+    def logit(text):
+        weights = {f: float(wb[k]) for f, k in index.items()}
+        p = toxicity.scorer(weights, float(wb[-1]))(iter([pa.record_batch([pa.array([text], pa.binary())], ["text"])]))
+        p = next(p).column("score")[0].as_py()
+        return math.log(p / (1 - p))
+
+    squares, losses = [], []
+    for k, t in enumerate(texts):
+        p = 1 / (1 + math.exp(-logit((t or "").encode())))
+        losses.append(-math.log(p if k % 2 else 1 - p))
+        for sentence in re.split(r"[.!?\n]+", (t or "").lower()):
+            bare = [w.strip(".,!") for w in sentence.split()]
+            for group in groups:
+                for name in set(group) & set(bare):
+                    for other in set(group) - {name}:
+                        new = " ".join(other if w == name else w for w in bare)
+                        squares.append((logit(new.encode()) - logit(" ".join(bare).encode())) ** 2)
+    value, grad = toxicity.objective(rows, changes, len(index), 0.01, 3.0)(wb)
+    assert math.isclose(value, np.mean(losses) + 0.005 * float(wb[:-1] @ wb[:-1]) + 3.0 * np.mean(squares), rel_tol=1e-9)
+    loss = toxicity.objective(rows, changes, len(index), 0.01, 3.0)
+    for k in range(0, len(wb), 7):
+        step = np.zeros(len(wb))
+        step[k] = 1e-5
+        assert math.isclose((loss(wb + step)[0] - loss(wb - step)[0]) / 2e-5, grad[k], rel_tol=1e-4, abs_tol=1e-7)
+
+
 def test_toxicity_edge_cases(spark):
     d = docs(spark, odd_rows()).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(9))
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (7, 0), (7, 0), (3, 0)], "doc_id long, toxic int")
@@ -455,8 +499,10 @@ def test_toxicity_edge_cases(spark):
     out = toxicity.score(d, model).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r.score <= 1 for r in out)
     assert len({r.score for r in out if r.doc_id in (2, 3, 4)}) == 1
-    flagged = toxicity.flag(d, model)
-    assert flagged.count() == len(odd_rows()) and flagged.columns == [*d.columns, "_toxic_score"]
+    wide = d.withColumn("_toxic_score", F.lit("clash"))
+    clean = toxicity.drop_toxic(wide, model, most=1.1)
+    assert clean.columns == wide.columns and {r._toxic_score for r in clean.collect()} == {"clash"} and clean.count() == len(odd_rows())
+    assert toxicity.drop_toxic(wide, model, most=0.0).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score < 1e-9 for r in toxicity.score(d, toxicity.fit(d, none)).collect()} == {True}
     ones = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")

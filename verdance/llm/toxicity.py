@@ -1,9 +1,11 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the words of a text and their first letters, by how many words share them (so that inflected and
-compound forms of a slur count together). Features are the ones that tell the classes apart in a bounded sample of labelled rows. Sentences of that sample
-that name a group are rewritten with another group's name; the loss adds the squared change of the model's logit over
-these rewritings, which takes weight off the names themselves: a neutral mention of a group is not held against a text.
+compound forms of a slur count together). Features are the ones that tell the classes apart in a bounded sample of
+labelled rows. Each sentence of that sample that names a group is rewritten with each name that can stand for it, and both
+forms are scored as texts of their own; the loss adds the mean squared change of the logit, which bounds the change of the
+score. That takes weight off the names and the letters they begin with, beside the other words of the sentence: a neutral
+mention of a group is not held against a text.
 
 The text is the only input of a score. Learning uses at most ``max_rows`` labelled rows, chosen by a hash of their id; the
 score is computed on every whole text, in one pass without a shuffle, with the weights (at most ``max_features``) in the
@@ -11,7 +13,8 @@ task's closure.
 
 Edge cases: null and empty texts get the score of a text without features; ids with several labels count as toxic if one
 of them says so; null labels are ignored; with no labels, or labels of one class, the score is their share (0 for none);
-repeated documents are scored one by one; very long texts only cost time; other columns are ignored.
+repeated documents are scored one by one; very long texts only cost time; an empty table gives an empty result; other columns
+are ignored, and drop_toxic returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -69,14 +72,14 @@ def features(words: set[bytes]) -> set[bytes]:
     return found
 
 
-def swaps(text: bytes | None, others: dict[bytes, tuple[bytes, ...]]) -> Counter:
-    """(name, other name) for each sentence that holds the name and each name that can stand for it."""
-    found: Counter = Counter()
+def rewritings(text: bytes | None, others: dict[bytes, tuple[bytes, ...]]) -> Iterator[tuple[set[bytes], set[bytes]]]:
+    """Words of each sentence that names a group, and of the sentence with another name in its place."""
     if text and others:
         for sentence in SENTENCE.split(text.lower()):
-            for name in others.keys() & {w.strip(MARKS) for w in sentence.split()}:
-                found.update((name, other) for other in others[name])
-    return found
+            bare = {w.strip(MARKS) for w in sentence.split()}
+            for name in others.keys() & bare:
+                for other in others[name]:
+                    yield bare, bare - {name} | {other}
 
 
 def alternatives(groups: tuple[tuple[str, ...], ...]) -> dict[bytes, tuple[bytes, ...]]:
@@ -93,22 +96,29 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(names, pa.binary()), *(pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))], ["feature", "toxic", "clean"])
 
 
-def encode(index: dict[bytes, int], others: dict[bytes, tuple[bytes, ...]]):
-    """Arrow batches of (text, toxic) to (toxic, idx, swap_from, swap_to, swap_n)."""
+def encode(index: dict[bytes, int]):
+    """Arrow batches of (text, toxic) to (toxic, idx)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx = [sorted(index[f] for f in features(set(words_of(text))) if f in index) for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("toxic"), pa.array(idx, pa.list_(pa.int32()))], ["toxic", "idx"])
+
+    return run
+
+
+def moves(index: dict[bytes, int], others: dict[bytes, tuple[bytes, ...]]):
+    """Arrow batches of (text, toxic) to (gained, lost, n): features that rewritings add to sentences and take from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = pa.list_(pa.int32())
         for batch in batches:
-            idx, sw = [], []
+            found: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                idx.append(sorted(index[f] for f in features(set(words_of(text))) if f in index))
-                sw.append(swaps(text, others))
-            pairs = [sorted(s) for s in sw]
-            names = sorted(others)
-            at = {n: i for i, n in enumerate(names)}
-            yield pa.record_batch(
-                [batch.column("toxic"), pa.array(idx, ints), pa.array([[at[a] for a, _ in p] for p in pairs], ints), pa.array([[at[b] for _, b in p] for p in pairs], ints),
-                 pa.array([[s[q] for q in p] for s, p in zip(sw, pairs, strict=True)], ints)], ["toxic", "idx", "swap_from", "swap_to", "swap_n"])
+                for old, new in rewritings(text, others):
+                    before, after = features(old) & index.keys(), features(new) & index.keys()
+                    found[tuple(sorted(index[f] for f in after - before)), tuple(sorted(index[f] for f in before - after))] += 1
+            ints, keys = pa.list_(pa.int32()), list(found)
+            yield pa.record_batch([pa.array([a for a, _ in keys], ints), pa.array([b for _, b in keys], ints), pa.array([found[k] for k in keys], pa.int64())], ["gained", "lost", "n"])
 
     return run
 
@@ -144,39 +154,35 @@ def lbfgs(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def fit_weights(rows: list, index: dict[bytes, int], others: dict[bytes, tuple[bytes, ...]], ridge: float, fairness: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of the bounded sample ``rows``."""
+def objective(rows: list, changes: list, d: int, ridge: float, fairness: float):
+    """The loss of weights and bias (last), and its gradient: log loss of ``rows`` (toxic, idx), ridge, counterfactual penalty."""
     y = np.array([r.toxic for r in rows], float)
-    share = float(y.mean()) if len(y) else 0.0
-    d = len(index)
-    if not 0 < share < 1:
-        return np.zeros(d), 40.0 if share else -40.0
-    counts = np.array([len(r.idx) for r in rows])
-    at, cols = np.repeat(np.arange(len(rows)), counts), np.concatenate([np.asarray(r.idx, int) for r in rows])
-    names, moves = sorted(others), Counter()
-    for r in rows:
-        for a, b, n in zip(r.swap_from, r.swap_to, r.swap_n, strict=True):
-            moves[a, b] += n
-    # One row of differences for each (name, other): what the rewriting adds to and takes from the text's features.
-    shift, weight = np.zeros((len(moves), d)), np.array([float(n) for n in moves.values()])
-    for k, (a, b) in enumerate(moves):
-        for sign, name in ((1, names[b]), (-1, names[a])):
-            for f in features({name}) & index.keys():
-                shift[k, index[f]] += sign
-    if len(moves):
-        weight /= weight.sum()
+    at, cols = np.repeat(np.arange(len(rows)), [len(r.idx) for r in rows]), np.concatenate([np.asarray(r.idx, int) for r in rows])
+    weight = np.array([c.n for c in changes], float)
+    weight = fairness * weight / max(weight.sum(), 1.0)
+    of = np.repeat(np.arange(len(changes)), [len(c.gained) + len(c.lost) for c in changes]).astype(int)
+    moved = np.array([f for c in changes for f in (*c.gained, *c.lost)], int)
+    sign = np.array([x for c in changes for x in ([1.0] * len(c.gained) + [-1.0] * len(c.lost))])
 
     def loss(wb: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = wb[:-1], wb[-1]
         z = np.bincount(at, w[cols], len(rows)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        change = shift @ w
-        value = float((np.logaddexp(0, z) - y * z).mean() + 0.5 * ridge * (w @ w) + fairness * (weight * change**2).sum())
+        change = np.bincount(of, sign * w[moved], len(changes))
+        value = float((np.logaddexp(0, z) - y * z).mean() + 0.5 * ridge * (w @ w) + (weight * change**2).sum())
         err = (p - y) / len(y)
-        grad = np.bincount(cols, err[at], d) + ridge * w + 2 * fairness * (shift.T @ (weight * change))
+        grad = np.bincount(cols, err[at], d) + ridge * w + np.bincount(moved, 2 * sign * (weight * change)[of], d)
         return value, np.append(grad, err.sum())
 
-    found = lbfgs(loss, np.append(np.zeros(d), np.log(share / (1 - share))))
+    return loss
+
+
+def fit_weights(rows: list, changes: list, d: int, ridge: float, fairness: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the bounded sample ``rows``."""
+    share = float(np.mean([r.toxic for r in rows])) if rows else 0.0
+    if not 0 < share < 1:
+        return np.zeros(d), 40.0 if share else -40.0
+    found = lbfgs(objective(rows, changes, d, ridge, fairness), np.append(np.zeros(d), np.log(share / (1 - share))))
     return found[:-1], float(found[-1])
 
 
@@ -199,8 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         chosen = {bytes(r.feature) for r in best.select("feature").collect()}
         chosen |= {f for name in others for f in features({name})}
         index = {f: i for i, f in enumerate(sorted(chosen))}
-    rows = train.mapInArrow(encode(index, others), "toxic int, idx array<int>, swap_from array<int>, swap_to array<int>, swap_n array<int>").collect()
-    weights, bias = fit_weights(rows, index, others, ridge, fairness)
+    # both at most as large as the bounded sample
+    rows = train.mapInArrow(encode(index), "toxic int, idx array<int>").collect()
+    changes = train.mapInArrow(moves(index, others), "gained array<int>, lost array<int>, n long").groupBy("gained", "lost").agg(F.sum("n").alias("n")).orderBy("gained", "lost").collect() if index else []
+    weights, bias = fit_weights(rows, changes, len(index), ridge, fairness)
     return {f: float(weights[i]) for f, i in index.items() if weights[i]}, bias
 
 
@@ -237,8 +245,8 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame
     return rows.mapInArrow(scorer(*model), "doc_id long, score double")
 
 
-def flag(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame:
-    """``docs`` with a column _toxic_score, without a join: the score is computed beside the row."""
+def drop_toxic(docs: DataFrame, model: tuple[dict[bytes, float], float], most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``most``, without a join: the score is computed beside the row."""
     weights, bias = model
     one = scorer(weights, bias)
 
@@ -247,7 +255,7 @@ def flag(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame:
         batch = pa.record_batch([pa.array([None if t is None else t.encode() for t in texts], pa.binary())], ["text"])
         return next(one(iter([batch]))).column("score").to_pandas()
 
-    return docs.withColumn("_toxic_score", rate("text"))
+    return docs.filter(rate("text") < most)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
