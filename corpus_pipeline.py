@@ -1,4 +1,11 @@
-"""From documents to packed sequences in five stages, each written as Parquet and read again as the next one's input."""
+"""From documents to packed sequences in five stages, each written as Parquet and read again as the next one's input.
+
+Edge cases: null, empty and very long texts, ties and null sources go through every stage as its operator says (toxicity,
+line dedup and near-dedup keep rows without text, mixing takes none); repeated rows are one document for near-dedup, where
+all rows of an id that stays remain, and are scored, mixed and packed one by one; null ids never match labels, copies or each
+other; columns beside those of documents pass through all stages but the last, whatever their names; an empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +21,7 @@ from verdance.llm.common import free, shared_dir, table
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it learns from labels of documents still there."""
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.flag(docs, model).filter("_toxic_score < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
