@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -125,7 +126,7 @@ def grow_crowns(seeds: DataFrame, pixels: DataFrame, bands: list[str], res: floa
     window = seeds.select(F.col(key), F.col("row").alias("r0"), F.col("col").alias("c0")).withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
     window = window.withColumn("row", F.col("r0") + F.col("i")).withColumn("col", F.col("c0") + F.col("j")).select(key, "i", "j", "row", "col", "r0", "c0")
     values = pixels.select("row", "col", *[F.col(f"`{b}`").cast("double").alias(f"v{k}") for k, b in enumerate(bands)])
-    joined = window.join(values, ["row", "col"])
+    joined = window.join(values, ["row", "col"], "left")  # a seed without pixels keeps its group, and so its row
     kind = seeds.schema[key].dataType.simpleString()
     size, n = 2 * reach + 1, len(bands)
     steps = np.arange(-reach, reach + 1)
@@ -144,7 +145,7 @@ def grow_crowns(seeds: DataFrame, pixels: DataFrame, bands: list[str], res: floa
             return failed("no data at the seed")
         cut, first, begun = prob_cut, None, start
         for _ in range(RETRIES + 1):
-            mask, begun = grow(cells, dist, max_radius, begun, cut, seed=abs(hash(int(fid))) % (1 << 32))
+            mask, begun = grow(cells, dist, max_radius, begun, cut, seed=zlib.crc32(str(fid).encode()))
             touching = int((mask & edge).sum())
             first = touching if first is None else first
             if not touching or cut - step <= 0:

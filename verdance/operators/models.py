@@ -93,8 +93,8 @@ class PresenceModel:
         for c in self.columns.values():
             ok = ok & c.isNotNull()
         scored = self.model.transform(df.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in self.columns.items()}).withColumn("_ok", ok))
-        odds = vector_to_array("probability")[1] / (1 - vector_to_array("probability")[1]) * weight
-        p = F.when(F.col("_ok"), odds / (1 + odds))
+        share = vector_to_array("probability")[1]
+        p = F.when(F.col("_ok"), weight * share / (1 - share + weight * share))
         return scored.select(*df.columns, (F.bround(255 * p).cast("short") if byte else p).alias(out))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from verdance.operators.spatial import nearest
 from verdance.operators.vector import RINGS, centroid
 
-#: Control pairs that a spline is solved for at most: the system is dense.
-MOST_PAIRS = 2000
+#: Control pairs that a spline is solved for at most: the system is dense, 8 * n * n bytes on the driver.
+MOST_PAIRS = 5000
 
 
 def _kernel(d2: np.ndarray) -> np.ndarray:
@@ -41,9 +41,13 @@ class Spline:
         return np.hstack([_kernel(d2), np.ones((len(q), 1)), q]) @ self.weights
 
 
-def fit_spline(pairs: DataFrame, most: int = MOST_PAIRS, seed: int = 0) -> Spline:
-    """From ``pairs`` (sx, sy, tx, ty); above ``most`` pairs a seeded random part of them, the bound of what reaches the driver."""
-    rows = pairs.select(*[F.col(c).cast("double") for c in ("sx", "sy", "tx", "ty")]).dropna().orderBy(F.xxhash64(F.lit(seed), "sx", "sy", "tx", "ty"), "sx", "sy", "tx", "ty").limit(most).toPandas().to_numpy()
+def fit_spline(pairs: DataFrame, sample: int | None = None, seed: int = 0) -> Spline:
+    """From all ``pairs`` (sx, sy, tx, ty), at most MOST_PAIRS of them; with more, an error unless ``sample`` says how many to draw."""
+    order = [F.xxhash64(F.lit(seed), "sx", "sy", "tx", "ty"), "sx", "sy", "tx", "ty"]
+    most = MOST_PAIRS if sample is None else min(sample, MOST_PAIRS)
+    rows = pairs.select(*[F.col(c).cast("double") for c in ("sx", "sy", "tx", "ty")]).dropna().orderBy(*order).limit(most + (sample is None)).toPandas().to_numpy()
+    if len(rows) > most:
+        raise ValueError(f"more than {MOST_PAIRS} control pairs: name a sample")
     return Spline(rows[:, :2], rows[:, 2:])
 
 
@@ -89,11 +93,11 @@ def nearest_pairs(source: DataFrame, target: DataFrame, key: str = "fid") -> Dat
     return source.select(key, F.col("x").alias("sx"), F.col("y").alias("sy")).join(near, key).join(t, f"b_{key}").select("sx", "sy", "tx", "ty")
 
 
-def shift_polygons_to_points(polygons: DataFrame, targets: DataFrame, sources: DataFrame | None = None, box: tuple[float, float, float, float] | None = None, keep: list[str] | None = None, most: int = MOST_PAIRS, key: str = "fid") -> DataFrame:
+def shift_polygons_to_points(polygons: DataFrame, targets: DataFrame, sources: DataFrame | None = None, box: tuple[float, float, float, float] | None = None, keep: list[str] | None = None, sample: int | None = None, key: str = "fid") -> DataFrame:
     """Polygons warped so that their centres (or ``sources``) go to the nearest targets.
 
     ``box``: extent (xmin, xmax, ymin, ymax) to which all inputs are cut by their points; ``keep``: attributes to retain, all
-    if None.
+    if None; ``sample``: of the control pairs, all if None.
     """
     if sources is None:
         sources = polygons.select(key, centroid(F.col("rings")).alias("c")).select(key, "c.x", "c.y")
@@ -101,6 +105,6 @@ def shift_polygons_to_points(polygons: DataFrame, targets: DataFrame, sources: D
         inside = lambda df: df.filter(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
         sources, targets = inside(sources), inside(targets)
         polygons = polygons.join(sources.select(key), key, "left_semi")
-    spline = fit_spline(nearest_pairs(sources, targets, key), most)
+    spline = fit_spline(nearest_pairs(sources, targets, key), sample)
     out = warp_polygons(polygons, spline)
     return out if keep is None else out.select(key, "rings", *[c for c in keep if c not in (key, "rings")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,16 @@ def fit_series(spark, sf_dir: str) -> DataFrame:
 
 
 def tps_warp(spark, sf_dir: str) -> DataFrame:
-    """Points warped by pairs that a link table names."""
+    """Points warped by all pairs that a link table names; their displacement varies with the place."""
     b = fixtures.points_b(spark, sf_dir)
-    moved = b.select("fid", (F.col("x") * 1.01 + 5).alias("x"), (F.col("y") * 0.99 - 3).alias("y"))
+    moved = b.select("fid", (F.col("x") * 1.01 + 5 + 8 * F.sin(F.col("y") / 150)).alias("x"), (F.col("y") * 0.99 - 3 + 6 * F.cos(F.col("x") / 200)).alias("y"))
     links = b.select((F.col("fid") - 1).alias("source_fid"), (F.col("fid") - 1).alias("target_fid"))
-    return warp.warp_points(fixtures.points_a(spark, sf_dir), warp.fit_spline(warp.linked_pairs(links, b, moved), most=300))
+    return warp.warp_points(fixtures.points_a(spark, sf_dir), warp.fit_spline(warp.linked_pairs(links, b, moved)))
 
 
 def shift_polygons(spark, sf_dir: str) -> DataFrame:
     """Squares drawn to the nearest points of another set."""
-    targets = fixtures.points_a(spark, sf_dir).filter("fid <= 500")
-    return warp.shift_polygons_to_points(fixtures.squares(spark, sf_dir), targets, box=(0.0, 1000.0, 0.0, 1000.0), keep=["side"], most=300)
+    return warp.shift_polygons_to_points(fixtures.squares(spark, sf_dir), fixtures.points_a(spark, sf_dir), box=(0.0, 1000.0, 0.0, 1000.0), keep=["side"])
 
 
 def _image(spark, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _image(spark, sf_dir: str) -> DataFrame:
 
 
 def grow_crowns(spark, sf_dir: str) -> DataFrame:
-    seeds = fixtures.points_b(spark, sf_dir).filter("fid <= 100").select("fid", META.row_of(F.col("y")).alias("row"), META.col_of(F.col("x")).alias("col"))
+    seeds = fixtures.points_b(spark, sf_dir).select("fid", META.row_of(F.col("y")).alias("row"), META.col_of(F.col("x")).alias("col"))
     return crowns.grow_crowns(seeds, _image(spark, sf_dir), ["b1", "b2"], 1.0, max_radius=8.0, min_radius=1.0, kernel=1)
 
 
@@ -56,18 +57,19 @@ def tile_merge(spark, sf_dir: str) -> DataFrame:
 def rf_classify(spark, sf_dir: str) -> DataFrame:
     pixels = fixtures.training(spark, sf_dir).withColumn("zone", F.concat_ws("-", "fid", (F.col("pixel_id") % 8).cast("string")))
     zones = pixels.select("zone", "class").distinct()
-    bands = [fixtures.band_name(nm) for nm in VNIR[::8]]
-    model = models.train_forest(pixels, zones, bands, "class", "zone", trees=20)
+    bands = [fixtures.band_name(nm) for nm in VNIR]
+    model = models.train_forest(pixels, zones, bands, "class", "zone")
     return models.classify_zones(pixels, zones, bands, model, "zone").select("zone", "class", "predicted")
 
 
 def presence_model_fit_score(spark, sf_dir: str) -> DataFrame:
-    """Fitted for each class, scored as bytes."""
-    covariates = [fixtures.band_name(nm) for nm in VNIR[::16]]
+    """Fitted for each class on all bands; every pixel scored as bytes by each class's model."""
+    covariates = [fixtures.band_name(nm) for nm in VNIR]
     frame = fixtures.training(spark, sf_dir)
     fitted = models.fit_by_class(frame.select("pres", "class", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(covariates)]), [f"c{k}" for k in range(len(covariates))])
-    cells = frame.select("pixel_id", "class", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(covariates)])
-    return fitted["0"].predict(cells, "p0", byte=True).select("pixel_id", "p0")
+    cells = frame.select("pixel_id", *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(covariates)])
+    scored = [model.predict(cells, "p", byte=True).select("pixel_id", F.lit(name).alias("class"), "p") for name, model in fitted.items()]
+    return reduce(DataFrame.unionByName, scored)
 
 
 QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, rf_classify, presence_model_fit_score)}

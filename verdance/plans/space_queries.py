@@ -55,8 +55,8 @@ def presence_within_radius(spark, sf_dir: str) -> DataFrame:
 
 
 def _observations(spark, sf_dir: str) -> DataFrame:
-    points = fixtures.points_b(spark, sf_dir).filter("fid <= 60").withColumn("class", (F.col("fid") % 2).cast("string"))
-    return models.error_observations(points, fixtures.grid_binary(spark, sf_dir), 25.0, 100, seed=None)
+    points = fixtures.points_b(spark, sf_dir).withColumn("class", (F.col("fid") % 2).cast("string"))
+    return models.error_observations(points, fixtures.grid_binary(spark, sf_dir), 8.0, 100, seed=None)
 
 
 def error_observations(spark, sf_dir: str) -> DataFrame:
@@ -68,18 +68,17 @@ def error_rates(spark, sf_dir: str) -> DataFrame:
 
 
 def false_positive_far(spark, sf_dir: str) -> DataFrame:
-    return spatial.false_positives(fixtures.grid_binary(spark, sf_dir), fixtures.points_b(spark, sf_dir).filter("fid <= 60"), 40.0, 0.5, 300, seed=None).select("cell", "x", "y", "v")
+    return spatial.false_positives(fixtures.grid_binary(spark, sf_dir), fixtures.points_b(spark, sf_dir), 15.0, 0.5, 300, seed=None).select("cell", "x", "y", "v")
 
 
 def false_positive_random(spark, sf_dir: str) -> DataFrame:
     """A seeded random share instead of the first cells."""
-    return spatial.false_positives(fixtures.grid_binary(spark, sf_dir), fixtures.points_b(spark, sf_dir).filter("fid <= 60"), 40.0, 0.5, 300, seed=3).select("cell", "x", "y", "v")
+    return spatial.false_positives(fixtures.grid_binary(spark, sf_dir), fixtures.points_b(spark, sf_dir), 15.0, 0.5, 300, seed=3).select("cell", "x", "y", "v")
 
 
 def training_frame(spark, sf_dir: str) -> DataFrame:
     cells = fixtures.grid_binary(spark, sf_dir)
-    presence = cells.filter("presence and row < 10")
-    return models.training_frame(presence, cells, fixtures.points_b(spark, sf_dir).filter("fid <= 60"), ["v"], "wilted", 500, seed=None).select("cell", F.col("pres").cast("long").alias("pres"), "v", "class")
+    return models.training_frame(cells.filter("presence"), cells, fixtures.points_b(spark, sf_dir), ["v"], "wilted", 500, distance=12.0, seed=None).select("cell", F.col("pres").cast("long").alias("pres"), "v", "class")
 
 
 def calibration_cells(spark, sf_dir: str) -> DataFrame:
@@ -119,18 +118,18 @@ def remoteness_narrow(spark, sf_dir: str) -> DataFrame:
 
 
 def mask_zone(spark, sf_dir: str) -> DataFrame:
-    zone = vector.polygon_cells(fixtures.squares(spark, sf_dir).filter("fid % 5 = 0"), META)
+    zone = vector.polygon_cells(fixtures.squares(spark, sf_dir), META)
     return zonal.mask_outside(fixtures.grid(spark, sf_dir), zone, "v").select("cell", "v")
 
 
 def mask_zone_cropped(spark, sf_dir: str) -> DataFrame:
-    zone = vector.polygon_cells(fixtures.squares(spark, sf_dir).filter("fid = 7"), META)
+    zone = vector.polygon_cells(fixtures.squares(spark, sf_dir), META)
     return zonal.mask_outside(fixtures.grid(spark, sf_dir), zone, "v", crop=True).select("cell", "v")
 
 
 def zonal_weighted(spark, sf_dir: str) -> DataFrame:
     """Means of the grid by square, each cell weighted by the share of it that the square covers."""
-    shares = vector.cell_shares(fixtures.squares(spark, sf_dir).filter("fid % 3 <> 0 and fid % 4 <> 0"), META)
+    shares = vector.cell_shares(fixtures.squares(spark, sf_dir), META)
     cells = fixtures.grid(spark, sf_dir).select("cell", F.col("v").cast("double").alias("v"))
     return zonal.zonal_mean(shares.join(cells, "cell"), "fid", ["v"], weight="share", digits=6)
 
@@ -164,8 +163,7 @@ def keep_seed_part(spark, sf_dir: str) -> DataFrame:
 
 def clip_to_extents(spark, sf_dir: str) -> DataFrame:
     boxes = grid.tile_extents(spark, RasterMeta(50, 50, 100.0, 900.0, 100.0, 900.0), 1000).withColumnRenamed("tile", "box")
-    simple = fixtures.squares(spark, sf_dir).select("fid", F.slice("rings", 1, 1).alias("rings"))
-    cut = vector.clip_to_extents(simple, boxes)
+    cut = vector.clip_to_extents(fixtures.squares(spark, sf_dir), boxes)
     return cut.select("fid", "box", F.round(vector.polygon_area(F.col("rings")), 6).alias("area")).filter("area > 0")
 
 
@@ -195,20 +193,28 @@ QUERIES = {
 }
 
 _D = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
-_B60 = "b60 AS (SELECT * FROM b WHERE fid <= 60)"
 _SQ = POINTS_B + ", sq AS (SELECT fid, x, y, CAST(10 * (1 + fid % 9) AS DOUBLE) AS s, fid % 3 = 0 AS hole, fid % 4 = 0 AS two FROM b)"
 _AREA = "s * s - CASE WHEN hole THEN s * s / 4 ELSE 0 END + CASE WHEN two THEN s * s / 4 ELSE 0 END"
 _IN = """(g.x >= q.x - s / 2 AND g.x < q.x + s / 2 AND g.y >= q.y - s / 2 AND g.y < q.y + s / 2
     AND NOT (hole AND g.x >= q.x - s / 4 AND g.x < q.x + s / 4 AND g.y >= q.y - s / 4 AND g.y < q.y + s / 4)
     OR two AND g.x >= q.x + 2 * s - s / 4 AND g.x < q.x + 2 * s + s / 4 AND g.y >= q.y - s / 4 AND g.y < q.y + s / 4)"""
-_OBS = f"""{BINARY}, {POINTS_B}, pts AS (SELECT fid, x, y, CAST(fid % 2 AS VARCHAR) AS class FROM b WHERE fid <= 60),
+_OBS = f"""{BINARY}, {POINTS_B}, pts AS (SELECT fid, x, y, CAST(fid % 2 AS VARCHAR) AS class FROM b),
 pres AS (SELECT * FROM cells WHERE presence),
-seen AS (SELECT 1 AS vis, count(q.cell) AS pred, any_value(p.class) AS class FROM pts p LEFT JOIN pres q ON {_D} <= 25 GROUP BY p.fid),
-far AS (SELECT * FROM cells p WHERE NOT EXISTS (SELECT 1 FROM pts q WHERE {_D} <= 50) ORDER BY cell LIMIT 100),
-unseen AS (SELECT 0 AS vis, count(q.cell) AS pred FROM far p LEFT JOIN pres q ON {_D} <= 25 GROUP BY p.cell),
+seen AS (SELECT 1 AS vis, count(q.cell) AS pred, any_value(p.class) AS class FROM pts p LEFT JOIN pres q ON {_D} <= 8 GROUP BY p.fid),
+far AS (SELECT * FROM cells p WHERE NOT EXISTS (SELECT 1 FROM pts q WHERE {_D} <= 16) ORDER BY cell LIMIT 100),
+unseen AS (SELECT 0 AS vis, count(q.cell) AS pred FROM far p LEFT JOIN pres q ON {_D} <= 8 GROUP BY p.cell),
 obs AS (SELECT vis, pred, class FROM seen UNION ALL SELECT vis, pred, class FROM unseen, (SELECT DISTINCT class FROM pts))"""
 
 
+def _common(x0: str, x1: str, y0: str, y1: str) -> str:
+    """The area that a square, without its hole and with its second part, has in common with a box."""
+
+    def square(cx: str, half: str) -> str:
+        return f"greatest(least({x1}, {cx} + {half}) - greatest({x0}, {cx} - {half}), 0) * greatest(least({y1}, q.y + {half}) - greatest({y0}, q.y - {half}), 0)"
+
+    return f"({square('q.x', 's / 2')} - CASE WHEN hole THEN {square('q.x', 's / 4')} ELSE 0 END + CASE WHEN two THEN {square('q.x + 2 * s', 's / 4')} ELSE 0 END)"
+
+
 def _ring_sql(outer: float, inner: float) -> str:
     return f"""WITH {BINARY}, o AS (SELECT i, j, sqrt(CAST(i * i + j * j AS DOUBLE)) AS w FROM range(-20, 21) a(i), range(-20, 21) b(j) WHERE i * i + j * j > {inner * inner} AND i * i + j * j <= {outer * outer}),
 s AS (SELECT c.cell, sum(w) AS s, count(*) AS n FROM cells c, o JOIN cells q ON q.row = c.row + i AND q.col = c.col + j WHERE q.presence GROUP BY c.cell)
@@ -230,12 +236,12 @@ FROM b LEFT JOIN r ON r.fid = b.fid AND k <= 3 GROUP BY ALL""",
     "presence_within_radius": f"WITH {BINARY}, {POINTS_A} SELECT p.fid, p.class, count(q.cell) AS n FROM a p LEFT JOIN (SELECT * FROM cells WHERE presence) q ON {_D} <= 50 GROUP BY ALL",
     "error_observations": f"WITH {_OBS} SELECT CAST(vis AS BIGINT) AS vis, pred, class FROM obs",
     "error_rates": f"""WITH {_OBS} SELECT class, round(1 - avg(CAST(pred > 0 AS DOUBLE)) FILTER (WHERE vis = 1), 6) AS omission, round(avg(CAST(pred > 0 AS DOUBLE)) FILTER (WHERE vis = 0), 6) AS commission, count(*) AS n FROM obs GROUP BY class""",
-    "false_positive_far": f"""WITH {BINARY}, {POINTS_B}, {_B60}, n AS (SELECT least(round_even(0.5 * count(*), 0), 300) AS n FROM cells WHERE presence),
+    "false_positive_far": f"""WITH {BINARY}, {POINTS_B}, n AS (SELECT least(round_even(0.5 * count(*), 0), 300) AS n FROM cells WHERE presence),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cell) AS rn FROM cells WHERE presence), n WHERE rn <= n)
-SELECT cell, x, y, v FROM d p WHERE NOT EXISTS (SELECT 1 FROM b60 q WHERE {_D} <= 40)""",
-    "training_frame": f"""WITH {BINARY}, {POINTS_B}, {_B60}, pr AS (SELECT * FROM cells WHERE presence AND row < 10),
+SELECT cell, x, y, v FROM d p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE {_D} <= 15)""",
+    "training_frame": f"""WITH {BINARY}, {POINTS_B}, pr AS (SELECT * FROM cells WHERE presence),
 d AS (SELECT * FROM cells WHERE cell NOT IN (SELECT cell FROM pr) ORDER BY cell LIMIT 500)
-SELECT cell, CAST(1 AS BIGINT) AS pres, v, 'wilted' AS class FROM pr UNION ALL SELECT cell, 0, v, 'wilted' FROM d p WHERE NOT EXISTS (SELECT 1 FROM b60 q WHERE {_D} <= 20)""",
+SELECT cell, CAST(1 AS BIGINT) AS pres, v, 'wilted' AS class FROM pr UNION ALL SELECT cell, 0, v, 'wilted' FROM d p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE {_D} <= 12)""",
     "calibration_cells": f"""WITH {POINTS_A}, z AS (SELECT DISTINCT CASE WHEN class = 'BUILDING' THEN 'BUILDING' ELSE 'FURNITURE' END AS class,
   CAST(least(floor((1000 - y) / 20), 49) * 50 + least(floor(x / 20), 49) + 1 AS BIGINT) AS cell FROM a WHERE class IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD')),
 n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY cell) - 1 AS rn, greatest(count(*) OVER (PARTITION BY class) // 40, 1) AS step FROM z)
@@ -247,13 +253,12 @@ s AS (SELECT q.fid FROM grid p JOIN m q ON {_D} <= 50 GROUP BY q.fid HAVING quan
     "clump_filter": f"""WITH {BINARY} SELECT p.cell, CAST(count(q.cell) > 6 AS BIGINT) AS clump FROM cells p LEFT JOIN cells q ON q.presence AND (p.row - q.row) * (p.row - q.row) * 400 + (p.col - q.col) * (p.col - q.col) * 400 <= 2500 GROUP BY p.cell""",
     "remoteness": _ring_sql(7, 1),
     "remoteness_narrow": _ring_sql(3, 1),
-    "mask_zone": f"WITH {GRID}, {_SQ} SELECT g.cell, CASE WHEN EXISTS (SELECT 1 FROM sq q WHERE fid % 5 = 0 AND {_IN}) THEN g.v END AS v FROM grid g",
-    "mask_zone_cropped": f"""WITH {GRID}, {_SQ}, i AS (SELECT g.* FROM grid g WHERE EXISTS (SELECT 1 FROM sq q WHERE fid = 7 AND {_IN})),
+    "mask_zone": f"WITH {GRID}, {_SQ} SELECT g.cell, CASE WHEN EXISTS (SELECT 1 FROM sq q WHERE {_IN}) THEN g.v END AS v FROM grid g",
+    "mask_zone_cropped": f"""WITH {GRID}, {_SQ}, i AS (SELECT g.* FROM grid g WHERE EXISTS (SELECT 1 FROM sq q WHERE {_IN})),
 e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM i)
 SELECT g.cell, i.v FROM e, grid g LEFT JOIN i ON i.cell = g.cell WHERE g.row BETWEEN r0 AND r1 AND g.col BETWEEN c0 AND c1""",
     "zonal_weighted": f"""WITH {GRID}, {_SQ}, w AS (
-  SELECT fid, v, greatest(least(g.x + 10, q.x + s / 2) - greatest(g.x - 10, q.x - s / 2), 0) * greatest(least(g.y + 10, q.y + s / 2) - greatest(g.y - 10, q.y - s / 2), 0) AS a
-  FROM sq q, grid g WHERE NOT hole AND NOT two)
+  SELECT fid, v, {_common("g.x - 10", "g.x + 10", "g.y - 10", "g.y + 10")} AS a FROM sq q, grid g)
 SELECT fid, round(sum(a * v) / sum(a), 6) AS v FROM w WHERE a > 0 GROUP BY fid""",
     "zonal_points": f"""WITH {GRID}, {_SQ}, c AS (SELECT fid, y, CASE WHEN two THEN x + 2 * s * (s * s / 4) / ({_AREA}) ELSE x END AS x FROM sq),
 k AS (SELECT fid, CASE WHEN x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000 THEN CAST(least(floor((1000 - y) / 20), 49) * 50 + least(floor(x / 20), 49) + 1 AS BIGINT) END AS cell FROM c)
@@ -263,8 +268,7 @@ SELECT fid, k.cell, v FROM k LEFT JOIN grid ON grid.cell = k.cell""",
     "fill_holes": f"WITH {_SQ} SELECT fid, CAST(CASE WHEN two THEN 2 ELSE 1 END AS BIGINT) AS rings, round(s * s + CASE WHEN two THEN s * s / 4 ELSE 0 END, 6) AS area FROM sq",
     "keep_seed_part": f"WITH {_SQ} SELECT fid, CAST(CASE WHEN hole THEN 2 ELSE 1 END AS BIGINT) AS n_rings, round(s * s - CASE WHEN hole THEN s * s / 4 ELSE 0 END, 6) AS area FROM sq",
     "clip_to_extents": f"""WITH {_SQ}, e AS (SELECT i + 2 * j AS box, 100 + i * 400 AS x0, 500 + i * 400 AS x1, 100 + j * 400 AS y0, 500 + j * 400 AS y1 FROM range(2) a(i), range(2) c(j)),
-o AS (SELECT fid, box, round((least(x + s / 2, x1) - greatest(x - s / 2, x0)) * (least(y + s / 2, y1) - greatest(y - s / 2, y0)), 6) AS area
-      FROM sq, e WHERE least(x + s / 2, x1) > greatest(x - s / 2, x0) AND least(y + s / 2, y1) > greatest(y - s / 2, y0)) SELECT * FROM o""",
+o AS (SELECT fid, box, round({_common("x0", "x1", "y0", "y1")}, 6) AS area FROM sq q, e) SELECT * FROM o WHERE area > 0""",
     "seeds_at_maximum": f"WITH {GRID}, {_SQ} SELECT q.fid, g.x, g.y FROM sq q JOIN grid g ON {_IN} QUALIFY row_number() OVER (PARTITION BY q.fid ORDER BY g.v DESC, g.cell) = 1",
     "usable_tiles": f"""WITH {POINTS_B}, t AS (SELECT CAST(least(floor(x / (1000 / 3.0::DOUBLE)), 2) + 3 * least(floor(y / (1000 / 3.0::DOUBLE)), 2) AS BIGINT) AS tile FROM b)
 SELECT tile, count(*) AS points FROM t WHERE tile % 4 <> 0 GROUP BY tile HAVING count(*) >= 2""",

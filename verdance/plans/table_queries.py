@@ -156,7 +156,7 @@ def batch_index(spark, sf_dir: str) -> DataFrame:
 def crown_chips(spark, sf_dir: str) -> DataFrame:
     """Pixels around each of some points: around its crown where there is one. Counts and sums of the chips."""
     pixels = fixtures.spectra(spark, sf_dir)
-    bounds = pixels.groupBy(F.col("fid").cast("double").alias("primalX")).agg(*[f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.min))])
+    bounds = pixels.groupBy(F.col("fid").cast("double").alias("primalX")).agg(*[f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
     crowns = bounds.withColumn("primalY", F.col("primalX") * 10).filter("primalX % 2 = 0")
     points = pixels.groupBy("fid").agg(F.count("*").alias("n")).select("fid", F.col("fid").cast("double").alias("primalX"), (F.col("fid") * 10).cast("double").alias("primalY"))
     out = inspect.chips(points, crowns, pixels, [B670, B800], 10.0)
@@ -235,7 +235,7 @@ SELECT probcut, n, sequences, CAST(sum(n) OVER (ORDER BY probcut) AS DOUBLE) / C
        CAST(sum(sequences) OVER (ORDER BY probcut) AS DOUBLE) / CAST(sum(sequences) OVER () AS DOUBLE) AS ecdf_weighted FROM g""",
     "scene_dates": "SELECT CAST(o_orderkey AS BIGINT) AS scene_id, 's0' || (1 + o_orderkey % 3) AS sensor, CAST(o_orderdate AS DATE) AS date FROM orders",
     "batch_index": f"SELECT vec_id AS pixel_id, ({vnir(820)} - {vnir(650)}) / ({vnir(820)} + {vnir(650)}) AS NDVI, {vnir(820)} / {vnir(650)} AS SR, {vnir(550)} / {vnir(650)} AS Greenness FROM embeddings",
-    "crown_chips": f"""WITH {_X}, c AS (SELECT fid, min(x) - 10 AS x0, min(x) + 10 AS x1, min(y) - 10 AS y0, min(y) + 10 AS y1 FROM x WHERE fid % 2 = 0 GROUP BY fid),
+    "crown_chips": f"""WITH {_X}, c AS (SELECT fid, min(x) - 10 AS x0, max(x) + 10 AS x1, min(y) - 10 AS y0, max(y) + 10 AS y1 FROM x WHERE fid % 2 = 0 GROUP BY fid),
 w AS (SELECT f.fid, c.fid IS NOT NULL AS found, coalesce(x0, f.fid - 10) AS x0, coalesce(x1, f.fid + 10) AS x1, coalesce(y0, f.fid * 10 - 10) AS y0, coalesce(y1, f.fid * 10 + 10) AS y1
       FROM (SELECT DISTINCT fid FROM x) f LEFT JOIN c ON c.fid = f.fid)
 SELECT w.fid, found, count(x.cell) AS n, round(sum(x.v), 6) AS total FROM w LEFT JOIN x ON x.x BETWEEN x0 AND x1 AND x.y BETWEEN y0 AND y1 GROUP BY w.fid, found""",
