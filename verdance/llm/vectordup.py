@@ -2,19 +2,21 @@
 
 Vectors of one label are compared by cosine, as distance on the unit sphere. Copies of one vector are a class with a
 number of members from the start. The classes of a label are dealt to blocks of bounded size; each block becomes a cover
-tree: nested levels of centres whose covering radii halve. Blocks of a label meet in pairs, and two trees are
-traversed together: a pair of nodes farther apart than the threshold and both covering radii is pruned, one whose
+tree, grown once and stored: nested levels of centres whose covering radii halve. Blocks of a label meet in pairs, and
+two trees are traversed together: a pair of nodes farther apart than the threshold and both covering radii is pruned, one whose
 members are all within the threshold is counted whole, others are opened. So a group of near copies of any size is
 counted node by node, and a meeting of two blocks returns one row per linked vector (its number of links and one vector
 that it is connected to), never pairs.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite components, and those with a null label, link
 with nothing, nor do rows with a null id (component null); vectors of different lengths are not compared; repeated
-rows are copies; other columns are ignored.
+rows are copies; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +45,18 @@ class CoverTree:
         self.order = np.array(self.order)
         self.sorted = vectors[self.order]
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.nodes, self.root, self.order))
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, data: bytes) -> CoverTree:
+        """The tree over ``vectors`` that packed() gave."""
+        tree = cls.__new__(cls)
+        tree.vectors = vectors
+        tree.nodes, tree.root, tree.order = pickle.loads(data)
+        tree.sorted = vectors[tree.order]
+        return tree
+
     def _distances(self, centre: int, members: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (self.vectors[members] @ self.vectors[centre])))
 
@@ -169,7 +183,7 @@ def dual_links(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.nd
 
 
 def planted(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block: ids, numbers of copies and unit vectors."""
+    """One row for a block: ids, numbers of copies, unit vectors and the cover tree over them, grown once for all meetings."""
     rows = rows.sort_by("rep")
     v = matrix(rows.column("vector")).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of tiny and huge components stay in range
@@ -177,7 +191,7 @@ def planted(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({
         "label": pa.array([rows.column("label")[0].as_py()], pa.int64()), "dim": pa.array([v.shape[1]], pa.int32()), "blocks": pa.array([rows.column("blocks")[0].as_py()], pa.int32()),
         "block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "ids": [rows.column("rep").to_numpy().tobytes()],
-        "copies": [rows.column("copies").to_numpy().tobytes()], "vectors": [v.tobytes()],
+        "copies": [rows.column("copies").to_numpy().tobytes()], "vectors": [v.tobytes()], "tree": [CoverTree(v).packed()],
     })
 
 
@@ -191,7 +205,7 @@ def met(cosine: float):
         for t in (left, right):
             for r in t.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
-                sides.append((ids, np.frombuffer(r["copies"], np.int64), CoverTree(np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1))))
+                sides.append((ids, np.frombuffer(r["copies"], np.int64), CoverTree.restored(np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1), r["tree"])))
         (ids, copies, a), (ids2, copies2, b) = sides[0], sides[-1]
         links, back, sets = dual_links(a, b, copies, copies2, cosine)
         names = ids[a.order] if a is b else np.concatenate([ids[a.order], ids2[b.order]])
@@ -213,7 +227,7 @@ def vector_classes(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFram
     reps = stored(joined.groupBy("label", F.col("embedding").alias("vector")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "vector-classes")
     blocks = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = reps.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    trees = stored(dealt.groupBy("label", "dim", "block").applyInArrow(planted, "label long, dim int, blocks int, block int, ids binary, copies binary, vectors binary"), "vector-blocks")
+    trees = stored(dealt.groupBy("label", "dim", "block").applyInArrow(planted, "label long, dim int, blocks int, block int, ids binary, copies binary, vectors binary, tree binary"), "vector-blocks")
     # Meeting (i, j), i <= j: block i comes from the left, block j from the right unless it is the same one.
     keys = ["label", "dim", "i", "j"]
     left = trees.withColumn("i", F.col("block")).withColumn("j", F.explode(F.expr("sequence(block, blocks - 1)")))
