@@ -382,3 +382,9 @@ def test_scene_names_tiles_and_copies(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
     assert not rasters.copy_dataset(spark, str(tmp_path / "none"), str(tmp_path / "c"))
     assert not rasters.copy_dataset(spark, str(tmp_path / "a"), str(tmp_path / "b"), overwrite=False)
+
+
+def test_groups_without_a_value_are_dropped(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, None), (1, None, None), (2, nan, "x"), (3, 1.0, None), (3, nan, None)], "g long, v double, w string")
+    assert sorted(r.g for r in attributes.drop_all_null(df, "g", ["v", "w"]).collect()) == [2, 3, 3]

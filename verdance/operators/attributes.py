@@ -8,6 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from verdance.functions.numeric import nan_to_null
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
@@ -57,7 +60,8 @@ def union_named(tables: dict[str, DataFrame | None], name: str = "dfname") -> Da
 
 
 def drop_all_null(df: DataFrame, group: str, values: Iterable[str]) -> DataFrame:
-    """Rows of the groups in which at least one value is present."""
-    seen = [F.max((F.col(v).isNotNull()).cast("int")) for v in values]
+    """Rows of the groups in which at least one value is present; NaN is missing, as null is."""
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, FloatType | DoubleType)}
+    seen = [F.max((nan_to_null(F.col(v)) if v in numbers else F.col(v)).isNotNull().cast("int")) for v in values]
     some = df.groupBy(group).agg(F.greatest(*seen, F.lit(0)).alias("_some")).filter("_some = 1").select(group)
     return df.join(some, group, "left_semi")
