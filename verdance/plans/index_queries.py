@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from verdance.functions.bands import BandCatalog
 from verdance.functions.indices import INDICES, index_column
-from verdance.plans.sql import EXACT, SWIR, VNIR, SqlBands, index_sql
+from verdance.plans.index_formulas import index_sql
+from verdance.plans.sql import EXACT, SWIR, VNIR, SqlBands
 from verdance.sources import fixtures
 
 #: The index's bands are reached by the coarser fixture up to 1975 nm, or need bands that lie a nanometre apart.
@@ -58,13 +59,13 @@ def all_indices(spark, sf_dir: str) -> DataFrame:
 QUERIES = {f"idx_{name}": partial(_index, name=name) for name in INDICES}
 ORACLES = {}
 for _name in INDICES:
-    _sql = index_sql(_name, _wavelengths(_name))
+    _sql = index_sql(_name, SqlBands(_wavelengths(_name)))
     ORACLES[f"idx_{_name}"] = f"SELECT vec_id AS pixel_id, {f'round({_sql}, 9)' if _name in ROUNDED else _sql} AS value FROM embeddings"
 
 QUERIES |= {"band_nearest": band_nearest, "band_range_mean": band_range_mean, "all_indices": all_indices}
 _b = SqlBands(VNIR)
 ORACLES |= {
-    "band_nearest": "SELECT vec_id AS pixel_id, " + ", ".join(f"{_b[nm].text} AS b{nm}" for nm in (415, 670, 955, 2000)) + " FROM embeddings",
-    "band_range_mean": f"SELECT vec_id AS pixel_id, {_b.mean(600, 676).text} AS red, {_b.mean(695, 831).text} AS nir FROM embeddings",
-    "all_indices": "SELECT vec_id AS pixel_id, " + ", ".join(f'{index_sql(n, VNIR)} AS "{n}"' for n in INDICES if n not in FAR + CLOSE) + " FROM embeddings",
+    "band_nearest": "SELECT vec_id AS pixel_id, " + ", ".join(f"{_b[nm]} AS b{nm}" for nm in (415, 670, 955, 2000)) + " FROM embeddings",
+    "band_range_mean": f"SELECT vec_id AS pixel_id, {_b.mean(600, 676)} AS red, {_b.mean(695, 831)} AS nir FROM embeddings",
+    "all_indices": "SELECT vec_id AS pixel_id, " + ", ".join(f'{index_sql(n, _b)} AS "{n}"' for n in INDICES if n not in FAR + CLOSE) + " FROM embeddings",
 }

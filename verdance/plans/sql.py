@@ -1,76 +1,23 @@
-"""The fixtures and index formulas as SQL, for the queries' counterparts."""
+"""The fixtures as SQL, for the queries' counterparts."""
 
 from __future__ import annotations
 
-from verdance.functions.indices import INDICES
-
-
-class SqlTerm:
-    """An SQL expression with the operators that the index formulas use."""
-
-    def __init__(self, text: str):
-        self.text = text
-
-    @staticmethod
-    def _of(x) -> str:
-        return x.text if isinstance(x, SqlTerm) else f"{float(x)!r}::DOUBLE"
-
-    def _two(self, sign: str, x, swapped: bool = False):
-        a, b = self.text, self._of(x)
-        return SqlTerm(f"({b} {sign} {a})" if swapped else f"({a} {sign} {b})")
-
-    def __add__(self, x):
-        return self._two("+", x)
-
-    def __radd__(self, x):
-        return self._two("+", x, True)
-
-    def __sub__(self, x):
-        return self._two("-", x)
-
-    def __rsub__(self, x):
-        return self._two("-", x, True)
-
-    def __mul__(self, x):
-        return self._two("*", x)
-
-    def __rmul__(self, x):
-        return self._two("*", x, True)
-
-    def __truediv__(self, x):
-        return self._two("/", x)
-
-    def __rtruediv__(self, x):
-        return self._two("/", x, True)
-
-    def __abs__(self):
-        return SqlTerm(f"abs({self.text})")
-
-    def sqrt(self):
-        return SqlTerm(f"sqrt({self.text})")
-
-    def ln(self):
-        return SqlTerm(f"ln({self.text})")
-
 
 class SqlBands:
-    """Bands of the spectra fixtures: element j of the embedding stands for a wavelength."""
+    """Bands of the spectra fixtures as SQL: element j of the embedding stands for a wavelength."""
 
     def __init__(self, wavelengths: list[int], cell: str = "(CAST(embedding[{j}] AS DOUBLE) + 0.6::DOUBLE)"):
         self.wavelengths, self.cell = wavelengths, cell
 
-    def _at(self, j: int) -> SqlTerm:
-        return SqlTerm(self.cell.format(j=j + 1, nm=self.wavelengths[j]))
+    def _at(self, j: int) -> str:
+        return self.cell.format(j=j + 1, nm=self.wavelengths[j])
 
-    def __getitem__(self, nm: float) -> SqlTerm:
+    def __getitem__(self, nm: float) -> str:
         return self._at(min(range(len(self.wavelengths)), key=lambda j: abs(self.wavelengths[j] - nm)))
 
-    def mean(self, low: float, high: float) -> SqlTerm:
+    def mean(self, low: float, high: float) -> str:
         cells = [self._at(j) for j, w in enumerate(self.wavelengths) if low < w < high]
-        total = cells[0]
-        for c in cells[1:]:
-            total = total + c
-        return total / float(len(cells)) if len(cells) > 1 else total
+        return f"({' + '.join(cells)}) / {float(len(cells))!r}::DOUBLE"
 
 
 VNIR = [400 + 10 * j for j in range(64)]
@@ -78,10 +25,6 @@ SWIR = [400 + 25 * j for j in range(64)]
 EXACT = [720, 735, 736, 900, 990]
 
 
-def index_sql(name: str, wavelengths: list[int]) -> str:
-    return INDICES[name](SqlBands(wavelengths)).text
-
-
 #: CTE bodies of the fixtures.
 GRID = """grid AS (
   SELECT r.i AS row, c.i AS col, r.i * 50 + c.i + 1 AS cell, (c.i + 0.5::DOUBLE) * 20 AS x, 1000 - (r.i + 0.5::DOUBLE) * 20 AS y, coalesce(n.v, 0) AS v
@@ -99,4 +42,4 @@ PIXELS = """px AS (
 
 
 def vnir(nm: float) -> str:
-    return SqlBands(VNIR)[nm].text
+    return SqlBands(VNIR)[nm]

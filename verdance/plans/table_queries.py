@@ -9,6 +9,7 @@ from verdance.functions.bands import BandCatalog
 from verdance.functions.indices import INDICES, index_column
 from verdance.operators import attributes, inspect, stats, zonal
 from verdance.plans.index_queries import CLOSE, FAR
+from verdance.plans.index_formulas import index_sql
 from verdance.plans.sql import DN, VNIR, SqlBands, vnir
 from verdance.sources import fixtures, rasters
 
@@ -193,7 +194,7 @@ QUERIES = {
 _X = f"x AS (SELECT label AS fid, vec_id AS cell, vec_id % 25 + 0.5::DOUBLE AS x, -(vec_id // 25 + 0.5::DOUBLE) AS y, {vnir(800)} AS v FROM embeddings)"
 ORACLES = {
     "crown_ndvi": f"SELECT label AS fid, round(avg({vnir(800)}), 6) AS b800, round(avg({vnir(670)}), 6) AS b670, round((avg({vnir(800)}) - avg({vnir(670)})) / (avg({vnir(800)}) + avg({vnir(670)})), 6) AS ndvi FROM embeddings GROUP BY label",
-    "crown_indices_all": f"WITH m AS ({_MEANS}) SELECT fid, " + ", ".join(f'round({INDICES[n](_M).text}, 6) AS "{n}"' for n in INDICES if n not in FAR + CLOSE) + " FROM m",
+    "crown_indices_all": f"WITH m AS ({_MEANS}) SELECT fid, " + ", ".join(f'round({index_sql(n, _M)}, 6) AS "{n}"' for n in INDICES if n not in FAR + CLOSE) + " FROM m",
     "crown_band_mean_sd": "SELECT label AS fid, " + ", ".join(
         f"CASE WHEN count(*) > 1 THEN round(avg(CAST(embedding[{j}] AS DOUBLE) + 0.6::DOUBLE), 6) END AS Mean{j}, round(stddev_samp(CAST(embedding[{j}] AS DOUBLE) + 0.6::DOUBLE), 6) AS Std{j}" for j in range(1, 65)) + " FROM embeddings GROUP BY label",
     "crown_mean_sd_packed": f"""WITH m AS (SELECT label AS fid, round(round(avg({vnir(800)} * 9), 6) * 1e6) + round(stddev_samp({vnir(800)} * 9), 6) AS one FROM embeddings GROUP BY label)
