@@ -307,11 +307,14 @@ def test_spline_meets_control_points_and_is_affine_exact(spark):
 
 def test_curve_fit_recovers_parameters(spark):
     u = np.linspace(0, 1, 12)
-    scale, rate, interc, sse, status = series.fit_curve(u * 300, 2 * np.e * u + 1)
-    assert status == "ok" and np.allclose((scale, rate, interc), (2, 1, 1), atol=1e-4) and sse < 1e-9
-    df = spark.createDataFrame([(1, float(k), 3 * (math.e * k / 9) ** 1.5 + 2) for k in range(10)] + [(2, 1.0, 1.0), (2, 2.0, 1.0)], "id long, t double, v double")
+    t, v = np.tile(u * 300, (3, 1)), np.stack([2 * np.e * u + 1, 3 * (np.e * u) ** 1.5 - 1, np.full(12, 4.0)])
+    v[1, 3] = np.nan  # a cell without a value takes no part
+    params, sse, status = series.fit_curves(t, v)
+    assert list(status) == ["ok"] * 3 and np.allclose(params[:2], [(2, 1, 1), (3, 1.5, -1)], atol=1e-4) and (sse < 1e-9).all()
+    df = spark.createDataFrame([(1, float(k), 3 * (math.e * k / 9) ** 1.5 + 2) for k in range(10)] + [(2, 1.0, 1.0), (2, 2.0, 1.0), (3, None, 1.0), (4, 1.0, 2.0), (4, 2.0, None)], "id long, t double, v double")
     got = {r.id: r for r in series.fit_series(df, "id", "t", "v").collect()}
-    assert abs(got[1].rate - 1.5) < 1e-3 and got[2].status == "too few times"
+    assert abs(got[1].rate - 1.5) < 1e-3 and [got[k].status for k in (2, 3, 4)] == ["too few times"] * 3
+    assert [(got[k].n, got[k].rate) for k in (2, 3, 4)] == [(2, None), (1, None), (2, None)] and series.fit_series(df.limit(0), "id", "t", "v").count() == 0
 
 
 # models
