@@ -1,4 +1,4 @@
-"""Raster files and their catalogue: ENVI images (.bsq with a .hdr) and the headers of TIFF files."""
+"""Raster files and their catalogue: ENVI images (.bsq with a .hdr) and the headers of TIFF files (their pixels: ``tiff``)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions.indices import index_column
+from verdance.sources.tiff import tiff_meta
 
 # ENVI's numbers for data types, and the band centres (nm) of two sensors.
 ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
@@ -31,26 +32,6 @@ def envi_meta(header: dict[str, str]) -> dict:
     return {"nrow": nrow, "ncol": ncol, "layers": layers, "xmin": xmin, "xmax": xmin + ncol * xres, "ymin": ymax - nrow * yres, "ymax": ymax, "crs": ",".join(info[7:]) or info[0]}
 
 
-def tiff_meta(data: bytes) -> dict | None:
-    """Size and extent from a TIFF's first directory: tags 256, 257, 277, and GeoTIFF's 33550 and 33922."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
-        return None
-    at = struct.unpack(order + "I", data[4:8])[0]
-    sizes, kinds = {1: 1, 3: 2, 4: 4, 12: 8}, {1: "B", 3: "H", 4: "I", 12: "d"}
-    tags = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-        if kind in sizes:
-            place = at + 10 + 12 * k if sizes[kind] * n <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-            tags[tag] = struct.unpack(order + kinds[kind] * n, data[place : place + sizes[kind] * n])
-    ncol, nrow = tags[256][0], tags[257][0]
-    xres, yres = tags.get(33550, (1.0, 1.0))[:2]
-    tie = tags.get(33922, (0.0, 0.0, 0.0, 0.0, float(nrow), 0.0))
-    xmin, ymax = tie[3] - tie[0] * xres, tie[4] + tie[1] * yres
-    return {"nrow": nrow, "ncol": ncol, "layers": tags.get(277, (1,))[0], "xmin": xmin, "xmax": xmin + ncol * xres, "ymin": ymax - nrow * yres, "ymax": ymax, "crs": ""}
-
-
 CATALOG = "fname string, fullname string, nrow long, ncol long, layers long, xmin double, xmax double, ymin double, ymax double, crs string, status string"
 
 
