@@ -113,3 +113,21 @@ def test_tiffs_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "b.tif").write_bytes(b"no image")
     with pytest.raises(Exception, match="is no TIFF"):
         tiff.read_tiff(spark, str(tmp_path), ["a"]).count()
+
+
+def test_boxes_of_any_size_find_their_highest_cell(spark):
+    from verdance.operators import zonal
+
+    rng = np.random.default_rng(11)
+    rows = [(k + 1, f"z{rng.integers(6)}" if k % 3 else ("wide" if k % 2 else None), float(k % 30), float(k // 30), float(rng.integers(40))) for k in range(900)]
+    rows = [(c, z if z == "wide" or z is None else f"{z}{int(x // 7)}", x, y, v) for c, z, x, y, v in rows]
+    df = spark.createDataFrame([*rows, (901, "z00", None, 2.0, 1.0), (902, "alone", -50.5, -3.0, 2.0), (903, None, 1.0, 1.0, None)], "cell long, z string, x double, y double, v double")
+    want = {}
+    for zone in {z for _, z, *_ in rows if z}:
+        mine = [r for r in rows if r[1] == zone]
+        x0, x1, y0, y1 = (f(r[k] for r in mine) for k in (2, 3) for f in (min, max))
+        top = max(r[4] for r in mine)
+        want[zone] = min(r[0] for r in rows if x0 <= r[2] <= x1 and y0 <= r[3] <= y1 and r[4] >= top)
+    for side in (None, 0.7, 100.0):
+        got = {r.z: r.cell for r in zonal.zone_extreme(df, "z", "v", bounding_box=True, side=side).collect()}
+        assert got == {**want, "alone": 902}

@@ -62,11 +62,12 @@ def point_values(pixels: DataFrame, points: DataFrame, key: str = "cell") -> Dat
     return points.join(pixels, key, "left")
 
 
-def zone_extreme(pixels: DataFrame, zone: str, value: str, bounding_box: bool = False) -> DataFrame:
+def zone_extreme(pixels: DataFrame, zone: str, value: str, bounding_box: bool = False, side: float | None = None) -> DataFrame:
     """(zone, cell, x, y, value): the cell with the highest finite value of each zone, the first one in row order on ties.
 
     Zones without a finite value are left out. With ``bounding_box`` any cell of the zone's bounding box that reaches the
-    zone's highest value counts, as if the box were searched for it: the cell can then lie outside the zone.
+    zone's highest value counts, as if the box were searched for it: the cell can then lie outside the zone. Boxes and cells then meet by equality in square
+    buckets of that ``side`` (the mean side of the boxes, if none is given); a box stands in every bucket it touches.
     """
     finite = pixels.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     best = F.min_by(F.struct("cell", "x", "y"), F.struct((-F.col(value)).alias("v"), F.col("cell")))
@@ -75,8 +76,15 @@ def zone_extreme(pixels: DataFrame, zone: str, value: str, bounding_box: bool =
         return inside.groupBy(zone).agg(best.alias("b"), F.max(value).alias(value)).select(zone, "b.cell", "b.x", "b.y", value)
     box = inside.groupBy(zone).agg(F.max(value).alias("top"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
     cells = finite.select("cell", "x", "y", F.col(value).alias("v"))
-    # The value is an equality key only for the box's own maximum; above it the box may hold higher cells, hence a range join on x.
-    near = box.join(cells, (F.col("x") >= F.col("lo_x")) & (F.col("x") <= F.col("hi_x")) & (F.col("y") >= F.col("lo_y")) & (F.col("y") <= F.col("hi_y")) & (F.col("v") >= F.col("top")))
+    if side is None:
+        side = box.agg(F.avg(F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")))).first()[0]
+    size = side or 1.0
+    bucket = lambda c: F.floor(F.col(c) / F.lit(float(size)))
+    for i, c in (("_i", "x"), ("_j", "y")):
+        box = box.withColumn(i, F.explode(F.sequence(bucket(f"lo_{c}"), bucket(f"hi_{c}"))))
+        cells = cells.withColumn(i, bucket(c))
+    inside_box = F.col("x").between(F.col("lo_x"), F.col("hi_x")) & F.col("y").between(F.col("lo_y"), F.col("hi_y"))
+    near = box.join(cells, ["_i", "_j"]).filter(inside_box & (F.col("v") >= F.col("top")))
     return near.groupBy(zone).agg(F.min_by(F.struct("cell", "x", "y", "v"), F.col("cell")).alias("b")).select(zone, "b.cell", "b.x", "b.y", F.col("b.v").alias(value))
 
 

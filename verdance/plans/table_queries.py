@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from verdance.operators import attributes, inspect, stats, zonal
 from verdance.plans.index_queries import CLOSE, FAR
 from verdance.plans.index_formulas import index_sql
 from verdance.plans.sql import DN, VNIR, SqlBands, vnir
+from verdance.session import shared_dir
 from verdance.sources import fixtures, rasters
 
 B800, B670 = fixtures.band_name(800), fixtures.band_name(670)
@@ -146,6 +149,24 @@ def scene_dates(spark, sf_dir: str) -> DataFrame:
     return scenes.select("scene_id", sensor.alias("sensor"), day.alias("date"))
 
 
+def raster_overview(spark, sf_dir: str) -> DataFrame:
+    """Catalogue of a folder of images, one a nation: their headers are written as files and read back."""
+    folder = f"{shared_dir(spark)}/overview-{uuid4().hex}"
+    key = F.col("n_nationkey").cast("string")
+    size = {"samples": "20 + n_regionkey", "lines": "10 + n_nationkey", "bands": "1 + n_nationkey % 4"}
+    lines = [F.lit("ENVI"), *[F.concat(F.lit(f"{k} = "), F.expr(f"CAST({v} AS STRING)")) for k, v in size.items()], F.concat(F.lit("map info = {UTM, 1, 1, "), key, F.lit("00, 5000, 2, 2, 29, North}"))]
+    written = fixtures.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), key).alias("name"), F.concat_ws("\n", *lines).alias("text"))
+    rasters.write_texts(written, folder, ".hdr")
+    return rasters.raster_catalog(spark, folder).drop("fullname")
+
+
+def dataset_copy(spark, sf_dir: str) -> DataFrame:
+    """A dataset copied with all its files and read from its copy."""
+    target = f"{shared_dir(spark)}/copy-{uuid4().hex}"
+    rasters.copy_dataset(spark, f"{sf_dir}/supplier.parquet", target)
+    return spark.read.parquet(target).select("s_suppkey", "s_nationkey", "s_acctbal")
+
+
 def batch_index(spark, sf_dir: str) -> DataFrame:
     """Indices of a broad-band sensor: band names come from its preset, not from the file."""
     pixels = fixtures.spectra(spark, sf_dir).select("pixel_id", *[F.col(f"`{fixtures.band_name(nm)}`").alias(f"band{k}") for k, nm in enumerate((480, 550, 650, 820))])
@@ -187,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         crown_ndvi, crown_indices_all, crown_band_mean_sd, crown_mean_sd_packed, max_point, max_point_box, merge_by_attributes, crown_db_merge, indiv_bands_union, drop_all_na, control_median,
-        crown_quantile, crown_quantile_trim, crown_quantile_mosaic, strata_nd, stratified_sample, stratified_sample_random, sampled_features, sample_rows, pairs_corr, growing_ecdf, scene_dates, batch_index, crown_chips,
+        crown_quantile, crown_quantile_trim, crown_quantile_mosaic, strata_nd, stratified_sample, stratified_sample_random, sampled_features, sample_rows, pairs_corr, growing_ecdf, scene_dates, raster_overview, dataset_copy, batch_index, crown_chips,
     )
 }
 
@@ -199,6 +220,9 @@ ORACLES = {
         f"CASE WHEN count(*) > 1 THEN round(avg(CAST(embedding[{j}] AS DOUBLE) + 0.6::DOUBLE), 6) END AS Mean{j}, round(stddev_samp(CAST(embedding[{j}] AS DOUBLE) + 0.6::DOUBLE), 6) AS Std{j}" for j in range(1, 65)) + " FROM embeddings GROUP BY label",
     "crown_mean_sd_packed": f"""WITH m AS (SELECT label AS fid, round(round(avg({vnir(800)} * 9), 6) * 1e6) + round(stddev_samp({vnir(800)} * 9), 6) AS one FROM embeddings GROUP BY label)
 SELECT fid, floor(one) / 1e6 AS Mean1, round(one - floor(one), 6) AS Std1 FROM m""",
+    "raster_overview": """SELECT concat('n', n_nationkey, '.bsq') AS fname, CAST(10 + n_nationkey AS BIGINT) AS nrow, CAST(20 + n_regionkey AS BIGINT) AS ncol, CAST(1 + n_nationkey % 4 AS BIGINT) AS layers,
+  CAST(concat(n_nationkey, '00') AS DOUBLE) AS xmin, CAST(concat(n_nationkey, '00') AS DOUBLE) + 2 * (20 + n_regionkey) AS xmax, 5000::DOUBLE - 2 * (10 + n_nationkey) AS ymin, 5000::DOUBLE AS ymax, '29,North' AS crs, 'ok' AS status FROM nation""",
+    "dataset_copy": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier",
     "max_point": f"WITH {_X} SELECT fid, cell, x, y, v FROM x QUALIFY row_number() OVER (PARTITION BY fid ORDER BY v DESC, cell) = 1",
     "max_point_box": f"""WITH {_X}, b AS (SELECT fid, max(v) AS top, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM x GROUP BY fid)
 SELECT b.fid, min(x.cell) AS cell, arg_min(x.v, x.cell) AS v FROM b JOIN x ON x.x BETWEEN x0 AND x1 AND x.y BETWEEN y0 AND y1 AND x.v >= top GROUP BY b.fid""",

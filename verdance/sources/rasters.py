@@ -113,6 +113,16 @@ def write_indices(pixels: DataFrame, names: list[str], folder: str, key: str = "
     return done
 
 
+def write_texts(df: DataFrame, folder: str, suffix: str) -> None:
+    """A small file for each row of (name, text), headers for instance, through the cluster's file system; for short tables."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for row in df.select("name", "text").toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}{suffix}")
+        out = at.getFileSystem(conf).create(at, True)
+        out.write(bytearray(row.text.encode("utf-8")))
+        out.close()
+
+
 def copy_dataset(spark: SparkSession, source: str, target: str, overwrite: bool = True) -> bool:
     """Copies all part files of a dataset directory through the cluster's file system; False if there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
