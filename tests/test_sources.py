@@ -131,3 +131,29 @@ def test_boxes_of_any_size_find_their_highest_cell(spark):
     for side in (None, 0.7, 100.0):
         got = {r.z: r.cell for r in zonal.zone_extreme(df, "z", "v", bounding_box=True, side=side).collect()}
         assert got == {**want, "alone": 902}
+
+
+def test_hills_merge_across_a_border_only_where_the_saddle_allows(spark):
+    from verdance.operators import segment
+
+    # two hills (peaks at columns 3 and 12), the border of tiles a and b in the valley, that of b and c on the second peak
+    rows = [(r * 20 + c, r, c, 0 if c < 8 else 1 if c < 13 else 2, 10.0 - min(abs(c - 3), abs(c - 12)) - 0.01 * r) for r in range(3) for c in range(16)]
+    cells = spark.createDataFrame(rows, "cell long, row long, col long, tile long, h double")
+    parts = {k: {r.label for r in segment.watershed_crowns(cells, "h", tolerance=0.5, smooth=False, border_tolerance=k).collect()} for k in (None, 0.5, 20.0)}
+    assert len(parts[None]) == len(parts[20.0]) == 1 and parts[0.5] == {0, 8}
+
+
+def test_order_statistics_are_exact(spark):
+    from verdance.operators import stats
+
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(0, 1e-3, 500), rng.integers(-3, 3, 500), [1e308, -1e308, np.inf, -np.inf, 5e-324, 0.0]])
+    df = spark.createDataFrame([(float(x), float(k % 2), None) for k, x in enumerate(a)] + [(float("nan"), None, None)], "a double, b double, e double")
+    want = np.sort(a)
+    places = [0, 1, 17, 500, 501, 502, 503, 504, len(want) - 2, len(want) - 1]
+    got = stats.order_statistics(df, {"a": places, "b": [0, 502, 503, 1005], "e": []}, bins=8)
+    assert [got["a"][p] for p in places] == want[places].tolist()
+    assert [got["b"][p] for p in (0, 502, 503, 1005)] == np.sort([k % 2 for k in range(1006)])[[0, 502, 503, 1005]].tolist() and got["e"] == {}
+    breaks = stats.quantile_breaks(df.filter("abs(a) < 10"), ["a", "e"], [0, 0.3, 1])
+    few = want[np.abs(want) < 10]
+    assert breaks["e"] == [] and abs(breaks["a"][1] - np.quantile(few, 0.3)) < 1e-12

@@ -72,21 +72,33 @@ def segment_tiles(cells: DataFrame, value: str, tolerance: float, reach: int = 1
     return narrow.groupBy(tile).applyInPandas(one, f"row long, col long, cell long, {tile} long, label long")
 
 
-def merge_across_tiles(segments: DataFrame, tile: str = "tile") -> DataFrame:
+def merge_across_tiles(segments: DataFrame, tile: str = "tile", value: str | None = None, tolerance: float | None = None) -> DataFrame:
     """Segments cut by a tile border, put together: those with touching cells in different tiles share the smallest label.
 
-    Cells of neighbouring tiles meet by an equi-join on the cell's place; only cells at borders find a partner.
+    With ``tolerance`` only those are put together of which the lower peak rises less than it above the highest place where
+    they touch, as inside a tile; ``segments`` then holds the image's ``value``. Cells of neighbouring tiles meet by an
+    equi-join on the cell's place; only cells at borders find a partner.
     """
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = segments.withColumn("_s", F.explode(steps)).select((F.col("row") + F.col("_s.i")).alias("row"), (F.col("col") + F.col("_s.j")).alias("col"), F.col(tile).alias("_tile"), F.col("label").alias("a"))
-    edges = moved.join(segments.select("row", "col", tile, F.col("label").alias("b")), ["row", "col"]).filter(F.col("_tile") != F.col(tile)).select("a", "b").distinct()
-    named = components(edges)
+    height = F.lit(0.0) if tolerance is None else F.col(value).cast("double")
+    moved = segments.withColumn("_s", F.explode(steps)).select((F.col("row") + F.col("_s.i")).alias("row"), (F.col("col") + F.col("_s.j")).alias("col"), F.col(tile).alias("_tile"), F.col("label").alias("a"), height.alias("_va"))
+    touching = moved.join(segments.select("row", "col", tile, F.col("label").alias("b"), height.alias("_vb")), ["row", "col"]).filter(F.col("_tile") != F.col(tile))
+    edges = touching.groupBy("a", "b").agg(F.max(F.least("_va", "_vb")).alias("saddle"))
+    if tolerance is not None:
+        peaks = segments.groupBy("label").agg(F.max(F.col(value).cast("double")).alias("peak"))
+        for side in ("a", "b"):
+            edges = edges.join(peaks.select(F.col("label").alias(side), F.col("peak").alias(f"peak_{side}")), side)
+        edges = edges.filter(F.least("peak_a", "peak_b") - F.col("saddle") < tolerance)
+    named = components(edges.select("a", "b"))
     return segments.join(named.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
 
 
-def watershed_crowns(cells: DataFrame, value: str, tile: str = "tile", tolerance: float = 0.008, reach: int = 1, conditions: list[tuple[str, float]] | None = None, smooth: bool = True) -> DataFrame:
-    """Mask, 3 x 3 mean, watershed by tile and repair of the borders, in one."""
+def watershed_crowns(cells: DataFrame, value: str, tile: str = "tile", tolerance: float = 0.008, reach: int = 1, conditions: list[tuple[str, float]] | None = None, smooth: bool = True, border_tolerance: float | None = None) -> DataFrame:
+    """Mask, 3 x 3 mean, watershed by tile and repair of the borders, in one; with ``border_tolerance`` only of cuts below it."""
     masked = mask_below(cells, value, conditions or [])
     if smooth:
         masked = focal_mean(masked, value, "_smooth").drop(value).withColumnRenamed("_smooth", value)
-    return merge_across_tiles(segment_tiles(masked, value, tolerance, reach, tile), tile)
+    segments = segment_tiles(masked, value, tolerance, reach, tile)
+    if border_tolerance is None:
+        return merge_across_tiles(segments, tile)
+    return merge_across_tiles(segments.join(masked.select("cell", value), "cell"), tile, value, border_tolerance).drop(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from functools import reduce
@@ -32,13 +33,65 @@ def mosaic_max(cells: DataFrame, frame: DataFrame, value: str, background: float
     return joined if background is None else joined.withColumn(value, F.coalesce(F.col(value), F.lit(background)))
 
 
+def order_statistics(df: DataFrame, places: dict[str, list[int]], bins: int = 1024) -> dict[str, dict[int, float]]:
+    """The values at the given places (from 0) of each column's ascending order, exactly; missing values have none.
+
+    Each round cuts the intervals that still hold a place into ``bins`` and counts them in one scan, so that no task holds
+    more than the bins, whatever the number of distinct values; a bin of a single value ends the search of its places.
+    """
+    values = {c: nan_to_null(F.col(c).cast("double")) for c in places}
+    found: dict[str, dict[int, float]] = {c: {} for c in places}
+    finite = {c: F.when(F.abs(v) < float("inf"), v) for c, v in values.items()}
+    wanted = lambda c: [F.min(finite[c]), F.max(finite[c]), F.count(finite[c]), F.count(F.when(values[c] == -float("inf"), 1))]
+    ends = df.agg(F.lit(0), *[F.struct(*[e.alias(n) for e, n in zip(wanted(c), ("lo", "hi", "n", "low"), strict=True)]).alias(f"e{k}") for k, c in enumerate(places)]).first()
+    open_ = []  # (column, least and greatest value, values below, places inside)
+    for k, (c, at) in enumerate(places.items()):
+        lo, hi, n, low = ends[f"e{k}"]
+        found[c] = {p: -math.inf if p < low else math.inf for p in at if not low <= p < low + n}
+        open_.append((c, lo, hi, low, sorted(set(at) - set(found[c]))))
+    open_ = [o for o in open_ if o[4]]
+    while open_:
+        todo = []
+        for c, lo, hi, below, at in open_:
+            if lo == hi:
+                found[c].update(dict.fromkeys(at, lo))
+            else:
+                todo.append((c, lo, hi, below, at))
+        if not todo:
+            break
+
+        def bin_of(c: str, lo: float, hi: float) -> Column:
+            scale = 0.5 if math.isinf(hi - lo) else 1.0
+            share = (values[c] * scale - F.lit(lo * scale)) / F.lit(hi * scale - lo * scale)
+            return F.when(values[c].between(F.lit(lo), F.lit(hi)), F.least(F.floor(share * bins), F.lit(bins - 1)))
+
+        cut = F.array(*[F.struct(F.lit(k).alias("k"), bin_of(c, lo, hi).alias("bin"), values[c].alias("v")) for k, (c, lo, hi, _, _) in enumerate(todo)])
+        counts = df.select(F.explode(cut).alias("e")).select("e.*").filter(F.col("bin").isNotNull()).groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by_task: dict[int, list] = {}
+        for r in counts.orderBy("k", "bin").collect():  # at most ``bins`` rows for each open interval
+            by_task.setdefault(r.k, []).append(r)
+        open_ = []
+        for k, (c, _, _, below, at) in enumerate(todo):
+            for r in by_task[k]:
+                here = [p for p in at if below <= p < below + r.n]
+                if here:
+                    open_.append((c, r.lo, r.hi, below, here))
+                below += r.n
+    return found
+
+
 def quantile_breaks(df: DataFrame, columns: Iterable[str], quants: Iterable[float]) -> dict[str, list[float]]:
-    """Exact interpolated quantiles of each column, all in one job; the outer ones are moved out by a ten-thousandth of the range."""
+    """Exact interpolated quantiles of each column; the outer ones are moved out by a ten-thousandth of the range."""
     columns, quants = list(columns), list(quants)
-    row = df.agg(*[F.percentile(nan_to_null(F.col(c).cast("double")), F.array(*[F.lit(q) for q in quants])).alias(c) for c in columns]).first()
+    counts = df.agg(*[F.count(nan_to_null(F.col(c).cast("double"))).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    spots = {c: [(counts[f"n{k}"] - 1) * q for q in quants] if counts[f"n{k}"] else [] for k, c in enumerate(columns)}
+    at = order_statistics(df, {c: [f(x) for x in spots[c] for f in (math.floor, math.ceil)] for c in columns})
     breaks = {}
     for c in columns:
-        cuts = list(row[c] or [])
+        cuts = []
+        for x in spots[c]:
+            low, high = at[c][math.floor(x)], at[c][math.ceil(x)]
+            cuts.append(low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high)
         if cuts:
             width = 0.0001 * (cuts[-1] - cuts[0])
             cuts = [cuts[0] - width, *cuts[1:-1], cuts[-1] + width]

@@ -1,4 +1,4 @@
-"""Queries with iterative algorithms or fitted models: no SQL; the tests hold them against properties."""
+"""Queries with iterative algorithms or fitted models: most without SQL; the tests hold them against properties."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdance.operators import crowns, models, segment, series, warp
 from verdance.operators.grid import tile_of
 from verdance.plans.space_queries import META
-from verdance.plans.sql import VNIR
+from verdance.plans.sql import GRID, VNIR
 from verdance.sources import fixtures
 
 
@@ -54,6 +54,15 @@ def tile_merge(spark, sf_dir: str) -> DataFrame:
     return segment.merge_across_tiles(segment.segment_tiles(cells, "b1", 0.5)).groupBy("label").agg(F.count("*").alias("cells"), F.count_distinct("tile").alias("tiles"))
 
 
+def known_segments(spark, sf_dir: str) -> DataFrame:
+    """Hills of nine by nine cells with gaps between them, cut by tile borders and put together where the saddle allows it."""
+    height = -(F.pow(F.col("row") % 10 - 4, 2) + F.pow(F.col("col") % 10 - 4, 2))
+    cells = fixtures.grid(spark, sf_dir).withColumn("h", height).withColumn("tile", tile_of(META, 700))
+    cells = cells.withColumn("gap", F.when((F.col("row") % 10 == 9) | (F.col("col") % 10 == 9), 0).otherwise(1))
+    found = segment.watershed_crowns(cells, "h", tolerance=0.5, conditions=[("gap", 1.0)], smooth=False, border_tolerance=0.5)
+    return found.groupBy("label").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.min("col").alias("left"))
+
+
 def rf_classify(spark, sf_dir: str) -> DataFrame:
     pixels = fixtures.training(spark, sf_dir).withColumn("zone", F.concat_ws("-", "fid", (F.col("pixel_id") % 8).cast("string")))
     zones = pixels.select("zone", "class").distinct()
@@ -72,5 +81,8 @@ def presence_model_fit_score(spark, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, scored)
 
 
-QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, rf_classify, presence_model_fit_score)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, known_segments, rf_classify, presence_model_fit_score)}
+ORACLES = {
+    "known_segments": f"""WITH {GRID}
+SELECT min(cell) AS label, count(*) AS cells, min(row) AS top, min(col) AS "left" FROM grid WHERE row % 10 < 9 AND col % 10 < 9 GROUP BY row // 10, col // 10""",
+}
