@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdance.llm import divergence, lines, mixing, neardup, packing, revisits, scoring, sharding, topk, toxicity, vectordup, whitening
+from verdance.llm import chat, divergence, lines, mixing, neardup, packing, revisits, scoring, sharding, topk, toxicity, vectordup, whitening
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_near_dedup": neardup.op9_near_dedup,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_chat_trees": chat.op11_chat_trees,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_whitening": whitening.op13_whitening,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op4_mixing": mixing.ORACLE,
         "op8_topk": topk.ORACLE,
         "op10_line_dedup": lines.ORACLE,
+        "op11_chat_trees": chat.ORACLE,
         "op12_source_divergence": divergence.ORACLE,
     }
