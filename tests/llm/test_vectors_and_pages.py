@@ -183,9 +183,15 @@ def test_revisit_edge_cases(spark):
     assert sorted((r.capture_id or 0, r.status) for r in again.collect()) == status and again.columns.count("status") == 1
 
 
+def test_scores_beyond_63_bits_are_refused(spark):
+    df = vectors(spark, [(50, [1e30, 1.0], 1), (1, [1e30, 2.0], 1)])
+    with pytest.raises(Exception, match="63 bits"):
+        topk.floored(df)
+
+
 def test_canonical_urls(spark):
     urls = {
-        "http://www.A.example:80/x/?utm_source=f#top": "a.example/x", "https://m.a.example/x?page=2&ref=y": "a.example/x?page=2", "a.example/x?ref=1&page=2": "a.example/x?page=2", " https://a.example:8080/ ": "a.example:8080",
+        "http://www.A.example:80/x/?utm_source=f#top": "www.a.example/x", "https://m.a.example/x?page=2&ref=y": "m.a.example/x?page=2", "http://m.com/a": "m.com/a", "http://www.com/a": "www.com/a", "a.example/x?ref=1&page=2": "a.example/x?page=2", " https://a.example:8080/ ": "a.example:8080",
         "HTTP://A.Example/Page?Id=B": "a.example/Page?Id=B", "a.example/page?id=b": "a.example/page?id=b", "A.example": "a.example",
     }
     df = spark.createDataFrame([(u, w) for u, w in urls.items()], "u string, want string")

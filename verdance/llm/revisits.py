@@ -30,13 +30,14 @@ TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, www. and m., default ports, fragment, tracking parameters and a last slash don't make another page.
+    """Scheme, default ports, fragment, tracking parameters and a last slash don't make another page.
 
-    The host is in lower case; path and query are as they were, since case tells pages apart there.
+    The host is in lower case and otherwise as it was: that of another name is another site, even where only ``www.`` or
+    ``m.`` differs. Path and query are as they were, since case tells pages apart there.
     """
     bare = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     bare = F.concat(F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_replace(bare, r"^[^/?#]*", ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"#.*$", ""), r"^(www\.|m\.)", "")
+    bare = F.regexp_replace(bare, r"#.*$", "")
     bare = F.regexp_replace(bare, r"^([^/:?]+):(80|443)(?=/|\?|$)", "$1")
     bare = F.regexp_replace(bare, rf"(?<=[?&]){TRACKING}=[^&]*&?", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[?&]$", ""), r"/$", "")
@@ -155,7 +156,7 @@ c AS (
   FROM v),
 n AS (
   SELECT * EXCLUDE (u, w, host), regexp_replace(regexp_replace(regexp_replace(
-           regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '^(www\.|m\.)', ''), '^([^/:?]+):(80|443)(/|\?|$)', '\1\3'),
+           regexp_replace(regexp_replace(u, '#.*$', ''), '^([^/:?]+):(80|443)(/|\?|$)', '\1\3'),
            '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') AS canonical
   FROM c),
 b AS (

@@ -14,7 +14,8 @@ and, as a query, has its own k rows.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id
 (the result could not name them); vectors meet only those of their own length; ties go to the smaller id; a query with
-fewer than k candidates gets them all; an empty table gives an empty result; other columns are ignored.
+fewer than k candidates gets them all; components or scores that 63 bits might not hold (length * largest component squared)
+are an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,15 @@ def usable(vector: str | Column) -> Column:
 
 
 def floored(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(row, vec_id, q): integer components of the usable vectors, written so that a row's number stays the same."""
-    q = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    """(row, vec_id, q): integer components of the usable vectors, written so that a row's number stays the same.
+
+    A score is at most length * largest component squared in size; a vector that takes this beyond 63 bits is an error.
+    """
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    most = F.sqrt(F.lit(float(2**62)) / F.size("embedding"))
+    q = F.when(F.forall("embedding", lambda x: F.abs(scaled(x)) < most - 1), F.transform("embedding", lambda x: F.floor(scaled(x)))).otherwise(
+        F.raise_error(F.lit("a component is so large that its scores could pass 63 bits")).cast("array<bigint>")
+    )
     kept = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding"))
     return stored(kept.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), q.alias("q")), "floored")
 
