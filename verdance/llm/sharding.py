@@ -7,7 +7,8 @@ broadcast table whose size is the prime and nothing else. Shards get slots that
 shard moves little besides the rows of that shard.
 
 Edge cases: a null key is hashed as the empty text; repeated keys go to the same shard; texts are not read; columns of
-other names pass through, and a clash with ``slot`` or ``shard`` is an error; an empty table gives an empty result.
+other names pass through, also those called like ``slot`` or ``shard``: then the new ones get underscores before their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import table
+from verdance.llm.common import free, table
 
 #: Slots of the table, a prime: over a hundred for each shard keeps the spread even when shards go.
 SIZE = 2503
@@ -55,14 +56,12 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 
 def shard(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``."""
-    if {"slot", "shard"} & set(rows.columns):
-        raise ValueError("the rows already have a column slot or shard")
-    spark = rows.sparkSession
-    filled = [(slot, shards[k]) for slot, k in enumerate(fill(shards, size))]
-    lookup = spark.createDataFrame(filled, "slot int, shard string")
+    """``rows`` with ``slot`` and ``shard``, or with ``_slot`` and so on where columns of that name, in any case, are there."""
+    spark, (slot, home) = rows.sparkSession, free(rows, "slot", "shard")
+    filled = [(at, shards[k]) for at, k in enumerate(fill(shards, size))]
+    lookup = spark.createDataFrame(filled, f"{slot} int, {home} string")
     # the table has ``size`` rows, however many rows are placed
-    return rows.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(lookup), "slot").select(*[F.col(f"`{c}`") for c in rows.columns], "slot", "shard")
+    return rows.withColumn(slot, slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(lookup), slot).select(*[F.col(f"`{c}`") for c in rows.columns], slot, home)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
