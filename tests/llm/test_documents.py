@@ -260,6 +260,7 @@ def test_line_dedup_edge_cases(spark):
     assert {tuple(r[c] for c in clashing[:-2]) for r in out} == {tuple(range(len(clashing) - 2))} and {r._n_removed for r in out} == {0}
     assert len(out) == len(odd_rows()) and sorted((r.text or "") for r in out) == sorted((t or "") for _, t, _ in odd_rows())
     assert lines.drop_spread_lines(docs(spark, [])).count() == 0
+    assert {r._n_removed for r in lines.drop_spread_lines(docs(spark, odd_rows()).withColumn("_N_LINES", F.lit(7))).select("_n_lines", "_n_removed").collect()} == {0}
 
 
 def test_documents_of_mostly_boilerplate_may_be_left_whole(spark):
@@ -531,5 +532,6 @@ def test_sharding_edge_cases(spark):
     assert len(out) == len(odd_rows()) and all(r.shard for r in out)
     assert len({r.shard for r in out if r.doc_id is None}) == 1
     assert sharding.shard(docs(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard(d.withColumn("slot", F.lit(1)))
+    clash = sharding.shard(d.withColumn("SLOT", F.lit(1)).withColumn("Shard", F.lit("x")))
+    assert clash.columns[-4:] == ["SLOT", "Shard", "_slot", "_shard"] and {(r.SLOT, r.Shard) for r in clash.collect()} == {(1, "x")}
+    assert sorted(r._shard for r in clash.collect()) == sorted(r.shard for r in out)

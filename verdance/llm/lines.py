@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import held, released, stored, table
+from verdance.llm.common import held, light, released, stored, table
 
 #: Standard error of a sketch with 2**LG_K registers is about 1.04 / 2**(LG_K / 2).
 LG_K = 10
@@ -68,6 +68,8 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 1
         .agg(F.collect_set("line").alias("cut"))
         .withColumnRenamed("doc_id", "id")
     )
+    # where the documents that lose a line are few, no text is moved
+    found = light(stored(found, "cut-lines"))
     joined = held(docs, "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("copy")), "left")
     joined = joined.withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("cut"), line_hash(x)), F.lit(False))))
@@ -77,7 +79,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 1
     final = joined.withColumn("kept", kept)
     out = final.withColumn("text", F.coalesce(F.array_join("kept", "\n"), F.col("text")))
     return out.select(
-        *[c for c, name in zip(released(docs, "doc_id", "text"), docs.columns, strict=True) if name not in counts],
+        *[c for c, name in zip(released(docs, "doc_id", "text"), docs.columns, strict=True) if name.lower() not in {c.lower() for c in counts}],
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]),
         F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias(counts[1]),
     )
