@@ -15,12 +15,12 @@ FORMULAS = {
     "SR": "R800/R670",
     "mod_SR": "(R800/R670-1)/(sqrt(R800/R670)+1)",
     "OSAVI": "1.16*(R800-R670)/(R800+R670+0.16)",
-    "MSAVI": "(2*R800+1-sqrt((2*R800+1)^2-8*(R800-R670)))/2",
+    "MSAVI": "(2*R800+1-sqrt((2*R800+1)*(2*R800+1)-8*(R800-R670)))/2",
     "TVI": "0.5*(120*(R750-R550)-200*(R670-R550))",
     "MTVI1": "1.2*(1.2*(R800-R550)-2.5*(R670-R550))",
-    "MTVI2": "1.2*(1.2*(R800-R550)-2.5*(R670-R550))/sqrt((2*R800+1)^2-(6*R800-5*sqrt(R670))-0.5)",
+    "MTVI2": "1.2*(1.2*(R800-R550)-2.5*(R670-R550))/sqrt((2*R800+1)*(2*R800+1)-(6*R800-5*sqrt(R670))-0.5)",
     "MCARI1": "1.2*(2.5*(R800-R670)-1.3*(R800-R550))",
-    "MCARI2": "1.2*(2.5*(R800-R670)-1.3*(R800-R550))/sqrt((2*R800+1)^2-(6*R800-5*sqrt(R670))-0.5)",
+    "MCARI2": "1.2*(2.5*(R800-R670)-1.3*(R800-R550))/sqrt((2*R800+1)*(2*R800+1)-(6*R800-5*sqrt(R670))-0.5)",
     "EVI": "2.5*(R800-R670)/(R800+6*R670-7.5*R400+1)",
     "LIC1": "(R800-R680)/(R800+R680)",
     "VOG1": "R740/R720",
