@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import focal, grid, models, spatial, vector, zonal
+from verdance.operators import cover, focal, grid, models, rings, spatial, vector, zonal
+from verdance.operators.graph import stored
 from verdance.operators.grid import RasterMeta
 from verdance.plans.sql import BINARY, GRID, POINTS_A, POINTS_B
 from verdance.sources import fixtures
@@ -176,6 +177,19 @@ def seeds_at_maximum(spark, sf_dir: str) -> DataFrame:
     return vector.polygons_to_seeds(fixtures.squares(spark, sf_dir), fixtures.grid(spark, sf_dir), "v", META)
 
 
+def points_in_squares(spark, sf_dir: str) -> DataFrame:
+    """Every point with each square around it."""
+    cells = stored(cover.polygon_cover(fixtures.squares(spark, sf_dir)), "squares-cover")
+    return cover.points_in_polygons(fixtures.points_a(spark, sf_dir), cells).select("fid", "zone")
+
+
+def label_polygons(spark, sf_dir: str) -> DataFrame:
+    """The grid's values modulo 3 as polygons: their areas, parts and holes."""
+    cells = fixtures.grid(spark, sf_dir).select((F.col("v") % 3).alias("label"), "row", "col")
+    made, r = rings.cells_to_polygons(cells, META), F.col("rings")
+    return made.select("label", F.round(vector.polygon_area(r), 6).alias("area"), rings.ring_count(r, False).alias("parts"), rings.ring_count(r, True).alias("holes"))
+
+
 def usable_tiles(spark, sf_dir: str) -> DataFrame:
     """Tiles with all layers and more than one point."""
     tile = grid.tile_of(META, 300)
@@ -188,7 +202,7 @@ QUERIES = {
     for f in (
         tile_extents, tile_members, proximity, neighbours8, neighbours4, odd_grid, n_neighbours, nearest_target, presence_within_radius, error_observations, error_rates, false_positive_far, false_positive_random,
         training_frame, calibration_cells, shadow_quantile, shadow_filter, focal_mean3, clump_filter, remoteness, remoteness_narrow, mask_zone, mask_zone_cropped, zonal_weighted, zonal_points, polygon_area_filter,
-        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles,
+        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons,
     )
 }
 
@@ -270,6 +284,27 @@ SELECT fid, k.cell, v FROM k LEFT JOIN grid ON grid.cell = k.cell""",
     "clip_to_extents": f"""WITH {_SQ}, e AS (SELECT i + 2 * j AS box, 100 + i * 400 AS x0, 500 + i * 400 AS x1, 100 + j * 400 AS y0, 500 + j * 400 AS y1 FROM range(2) a(i), range(2) c(j)),
 o AS (SELECT fid, box, round({_common("x0", "x1", "y0", "y1")}, 6) AS area FROM sq q, e) SELECT * FROM o WHERE area > 0""",
     "seeds_at_maximum": f"WITH {GRID}, {_SQ} SELECT q.fid, g.x, g.y FROM sq q JOIN grid g ON {_IN} QUALIFY row_number() OVER (PARTITION BY q.fid ORDER BY g.v DESC, g.cell) = 1",
+    "points_in_squares": f"WITH {POINTS_A}, {_SQ} SELECT g.fid, q.fid AS zone FROM a g JOIN sq q ON {_IN}",
+    # parts: cells that share sides; holes of a part: other cells inside its bounds that share sides and don't reach the bounds
+    "label_polygons": f"""WITH RECURSIVE {GRID},
+side AS MATERIALIZED (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(i, j)),
+l AS MATERIALIZED (SELECT row, col, cell, v % 3 AS label FROM grid),
+near AS MATERIALIZED (SELECT p.cell, q.cell AS other FROM l p, side s JOIN l q ON q.row = p.row + i AND q.col = p.col + j WHERE p.label = q.label),
+reach(cell, part) USING KEY (cell) AS (
+  SELECT cell, cell FROM l
+  UNION SELECT n.other, min(r.part) FROM reach r JOIN near n ON n.cell = r.cell JOIN recurring.reach c ON c.cell = n.other WHERE r.part < c.part GROUP BY n.other),
+home AS MATERIALIZED (SELECT l.*, part FROM l JOIN reach USING (cell)),
+box AS MATERIALIZED (SELECT part, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM home GROUP BY part HAVING count(*) > 6),
+o AS MATERIALIZED (SELECT b.part, h.row, h.col, h.cell, h.row IN (r0, r1) OR h.col IN (c0, c1) AS edge FROM box b JOIN home h ON h.row BETWEEN r0 AND r1 AND h.col BETWEEN c0 AND c1 AND h.part <> b.part),
+step AS MATERIALIZED (SELECT p.part, p.cell, q.cell AS other FROM o p, side s JOIN o q ON q.part = p.part AND q.row = p.row + i AND q.col = p.col + j),
+outside AS (SELECT part, cell FROM o WHERE edge UNION SELECT s.part, s.other FROM outside u JOIN step s ON s.part = u.part AND s.cell = u.cell),
+inner_cells AS MATERIALIZED (SELECT part, cell FROM o EXCEPT SELECT part, cell FROM outside),
+hole(part, cell, m) USING KEY (part, cell) AS (
+  SELECT part, cell, cell FROM inner_cells
+  UNION SELECT s.part, s.other, min(h.m) FROM hole h JOIN step s ON s.part = h.part AND s.cell = h.cell
+    JOIN recurring.hole c ON c.part = s.part AND c.cell = s.other WHERE h.m < c.m GROUP BY s.part, s.other)
+SELECT label, 400.0::DOUBLE * count(*) AS area, count(DISTINCT part) AS parts,
+       (SELECT count(*) FROM hole JOIN home h ON h.cell = hole.part WHERE hole.m = hole.cell AND h.label = home.label) AS holes FROM home GROUP BY label""",
     "usable_tiles": f"""WITH {POINTS_B}, t AS (SELECT CAST(least(floor(x / (1000 / 3.0::DOUBLE)), 2) + 3 * least(floor(y / (1000 / 3.0::DOUBLE)), 2) AS BIGINT) AS tile FROM b)
 SELECT tile, count(*) AS points FROM t WHERE tile % 4 <> 0 GROUP BY tile HAVING count(*) >= 2""",
     "overlay_outline": f"""WITH {_SQ}, k AS (SELECT * FROM (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) t(place, dx, dy)),
