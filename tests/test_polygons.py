@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdance.operators import cover, rings, vector
+from verdance.operators import cover, overlay, rings, vector
 from verdance.operators.graph import stored
 from verdance.operators.grid import RasterMeta
 
@@ -103,3 +103,25 @@ def test_points_meet_their_polygons(spark):
     assert got == {(i, k) for i, x, y in points for k, rs in shapes if x is not None and inside(rs or [], x, y)}
     plan = cover.points_in_polygons(spark.createDataFrame(points, "id int, x double, y double"), cells)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_overlay_of_slanted_polygons(spark):
+    rng = np.random.default_rng(4)
+    mine = [(k, k % 2, polygon((1, False, star(rng, *rng.uniform(-20, 20, 2), int(rng.integers(4, 20)), 4, 25)))) for k in range(6)]
+    mine.append((6, 0, polygon((1, False, [(-30, -30), (30, -30), (30, 30), (-30, 30), (-30, -30)]), (1, True, [(-16, -16), (-16, 16), (16, 16), (16, -16), (-16, -16)]))))
+    theirs = [(0, polygon((1, False, star(rng, 3, 3, 12, 5, 20)))), (1, polygon((1, False, star(rng, 9, -4, 7, 5, 20))))]
+    a = spark.createDataFrame([*mine, (None, None, None), (9, 1, [])], f"fid int, grp int, rings {vector.RINGS}")
+    b = spark.createDataFrame(theirs, f"fid int, rings {vector.RINGS}")
+    points = rng.uniform(-35, 35, (1500, 2))
+    held = np.array([[inside(rs, x, y) for x, y in points] for _, _, rs in mine])
+    other = np.array([[inside(rs, x, y) for x, y in points] for _, rs in theirs]).any(axis=0)
+
+    def found(df, key):
+        return {r[key]: np.array([inside([q.asDict(recursive=True) for q in r.rings], x, y) for x, y in points]) for r in df.collect()}
+
+    joined = found(overlay.union(a, "grp", 16.0), "grp")
+    assert set(joined) == {0, 1} and all((joined[g] == held[[k for k, x, _ in mine if x == g]].any(axis=0)).all() for g in joined)
+    less, common = found(overlay.combine(a, b, "difference", "fid", 16.0), "fid"), found(overlay.combine(a, b, "intersection", "fid", 16.0), "fid")
+    for k in range(7):
+        assert (less.get(k, np.zeros(1500, bool)) == (held[k] & ~other)).all() and (common.get(k, np.zeros(1500, bool)) == (held[k] & other)).all()
+    assert overlay.union(a.limit(0), "grp", 16.0).count() == 0 and overlay.combine(a, b.limit(0), "intersection", "fid", 16.0).count() == 0

@@ -39,6 +39,11 @@ def polygon_area(rings: Column) -> Column:
     return _sum(rings, lambda r: F.when(r["hole"], -F.abs(ring_area(r["pts"]))).otherwise(F.abs(ring_area(r["pts"]))))
 
 
+def perimeter(rings: Column) -> Column:
+    """Length of all rings."""
+    return _sum(rings, lambda r: _sum(_edges(r["pts"]), lambda e: F.sqrt(F.pow(e["p"]["x"] - e["q"]["x"], 2) + F.pow(e["p"]["y"] - e["q"]["y"], 2))))
+
+
 def centroid(rings: Column) -> Column:
     """struct(x, y): the area's centre, holes taken out."""
     def moment(axis: str) -> Column:

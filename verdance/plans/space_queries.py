@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import cover, focal, grid, models, rings, spatial, vector, zonal
+from verdance.operators import cover, focal, grid, models, overlay, rings, spatial, vector, zonal
 from verdance.operators.graph import stored
 from verdance.operators.grid import RasterMeta
 from verdance.plans.sql import BINARY, GRID, POINTS_A, POINTS_B
@@ -190,6 +190,29 @@ def label_polygons(spark, sf_dir: str) -> DataFrame:
     return made.select("label", F.round(vector.polygon_area(r), 6).alias("area"), rings.ring_count(r, False).alias("parts"), rings.ring_count(r, True).alias("holes"))
 
 
+def union_by_group(spark, sf_dir: str) -> DataFrame:
+    """Squares that overlap put together by group: area and length of the outlines."""
+    groups = fixtures.squares(spark, sf_dir).select((F.col("fid") % 5).alias("grp"), "rings")
+    r = F.col("rings")
+    return overlay.union(groups, "grp", 128.0).select("grp", F.round(vector.polygon_area(r), 6).alias("area"), F.round(vector.perimeter(r), 6).alias("outline"))
+
+
+def _halves(spark, sf_dir: str, operation: str) -> DataFrame:
+    squares = fixtures.squares(spark, sf_dir)
+    found = overlay.combine(squares.filter("fid % 2 = 0"), squares.filter("fid % 2 = 1"), operation, "fid", 128.0)
+    return found.select("fid", F.round(vector.polygon_area(F.col("rings")), 6).alias("area"))
+
+
+def polygon_difference(spark, sf_dir: str) -> DataFrame:
+    """Squares with even numbers without what those with odd numbers cover."""
+    return _halves(spark, sf_dir, "difference")
+
+
+def polygon_intersection(spark, sf_dir: str) -> DataFrame:
+    """What squares with even numbers have in common with those with odd numbers."""
+    return _halves(spark, sf_dir, "intersection")
+
+
 def usable_tiles(spark, sf_dir: str) -> DataFrame:
     """Tiles with all layers and more than one point."""
     tile = grid.tile_of(META, 300)
@@ -202,7 +225,7 @@ QUERIES = {
     for f in (
         tile_extents, tile_members, proximity, neighbours8, neighbours4, odd_grid, n_neighbours, nearest_target, presence_within_radius, error_observations, error_rates, false_positive_far, false_positive_random,
         training_frame, calibration_cells, shadow_quantile, shadow_filter, focal_mean3, clump_filter, remoteness, remoteness_narrow, mask_zone, mask_zone_cropped, zonal_weighted, zonal_points, polygon_area_filter,
-        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons,
+        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons, union_by_group, polygon_difference, polygon_intersection,
     )
 }
 
@@ -212,6 +235,13 @@ _AREA = "s * s - CASE WHEN hole THEN s * s / 4 ELSE 0 END + CASE WHEN two THEN s
 _IN = """(g.x >= q.x - s / 2 AND g.x < q.x + s / 2 AND g.y >= q.y - s / 2 AND g.y < q.y + s / 2
     AND NOT (hole AND g.x >= q.x - s / 4 AND g.x < q.x + s / 4 AND g.y >= q.y - s / 4 AND g.y < q.y + s / 4)
     OR two AND g.x >= q.x + 2 * s - s / 4 AND g.x < q.x + 2 * s + s / 4 AND g.y >= q.y - s / 4 AND g.y < q.y + s / 4)"""
+#: The squares' corners are multiples of 0.5: all cells of that size in each of them.
+_FINE = f"""{_SQ}, fine AS MATERIALIZED (
+  SELECT DISTINCT fid, i, j FROM (
+    SELECT fid, CAST((x - s / 2) * 2 AS BIGINT) + a AS i, CAST((y - s / 2) * 2 AS BIGINT) + b AS j FROM sq, range(180) p(a), range(180) q(b)
+    WHERE a < s * 2 AND b < s * 2 AND NOT (hole AND a >= s / 2 AND a < 3 * s / 2 AND b >= s / 2 AND b < 3 * s / 2)
+    UNION ALL
+    SELECT fid, CAST((x + 2 * s - s / 4) * 2 AS BIGINT) + a, CAST((y - s / 4) * 2 AS BIGINT) + b FROM sq, range(90) p(a), range(90) q(b) WHERE two AND a < s AND b < s))"""
 _OBS = f"""{BINARY}, {POINTS_B}, pts AS (SELECT fid, x, y, CAST(fid % 2 AS VARCHAR) AS class FROM b),
 pres AS (SELECT * FROM cells WHERE presence),
 seen AS (SELECT 1 AS vis, count(q.cell) AS pred, any_value(p.class) AS class FROM pts p LEFT JOIN pres q ON {_D} <= 8 GROUP BY p.fid),
@@ -285,6 +315,13 @@ SELECT fid, k.cell, v FROM k LEFT JOIN grid ON grid.cell = k.cell""",
 o AS (SELECT fid, box, round({_common("x0", "x1", "y0", "y1")}, 6) AS area FROM sq q, e) SELECT * FROM o WHERE area > 0""",
     "seeds_at_maximum": f"WITH {GRID}, {_SQ} SELECT q.fid, g.x, g.y FROM sq q JOIN grid g ON {_IN} QUALIFY row_number() OVER (PARTITION BY q.fid ORDER BY g.v DESC, g.cell) = 1",
     "points_in_squares": f"WITH {POINTS_A}, {_SQ} SELECT g.fid, q.fid AS zone FROM a g JOIN sq q ON {_IN}",
+    "union_by_group": f"""WITH {_FINE}, u AS MATERIALIZED (SELECT DISTINCT fid % 5 AS grp, i, j FROM fine),
+n AS (SELECT u.grp, count(*) AS n FROM u, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(a, b) WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.grp = u.grp AND v.i = u.i + a AND v.j = u.j + b) GROUP BY u.grp)
+SELECT grp, round(0.25::DOUBLE * c, 6) AS area, round(0.5::DOUBLE * n, 6) AS outline FROM (SELECT grp, count(*) AS c FROM u GROUP BY grp) JOIN n USING (grp)""",
+    "polygon_difference": f"""WITH {_FINE}, o AS (SELECT DISTINCT i, j FROM fine WHERE fid % 2 = 1)
+SELECT fid, round(0.25::DOUBLE * count(*), 6) AS area FROM fine f WHERE fid % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.i = f.i AND o.j = f.j) GROUP BY fid""",
+    "polygon_intersection": f"""WITH {_FINE}, o AS (SELECT DISTINCT i, j FROM fine WHERE fid % 2 = 1)
+SELECT fid, round(0.25::DOUBLE * count(*), 6) AS area FROM fine f JOIN o USING (i, j) WHERE fid % 2 = 0 GROUP BY fid""",
     # parts: cells that share sides; holes of a part: other cells inside its bounds that share sides and don't reach the bounds
     "label_polygons": f"""WITH RECURSIVE {GRID},
 side AS MATERIALIZED (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(i, j)),
