@@ -26,7 +26,7 @@ def inside(rs, x, y):
 
 
 def star(rng, cx, cy, n, low, high):
-    a = np.sort(rng.uniform(0, 2 * np.pi, n))
+    a = (np.arange(n) + rng.uniform(0, 1, n)) * 2 * np.pi / n
     r = rng.uniform(low, high, n)
     pts = list(zip(cx + r * np.cos(a), cy + r * np.sin(a), strict=True))
     return [*pts, pts[0]]
