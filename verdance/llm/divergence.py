@@ -103,6 +103,7 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(0)
         sizes = np.diff(lists.offsets.to_numpy())
         group, p, b = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
+        names, dense = np.unique(group, return_inverse=True)
         many = np.repeat(sizes, sizes)  # partners of each member, itself included
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         pairs = np.cumsum(many)
@@ -114,10 +115,10 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = np.repeat(first[begin:end], m) + np.arange(len(s)) - np.repeat(np.cumsum(m) - m, m)
             s, t = s[s != t], t[s != t]
             value = _gaps(p[s], p[t]) - _gaps(p[s], b[t]) - _gaps(b[s], p[t]) + _gaps(b[s], b[t])
-            codes, at = np.unique(np.stack([group[s], group[t]], axis=1), axis=0, return_inverse=True) if len(s) else (np.empty((0, 2), np.int64), s)
+            codes, at = np.unique(dense[s] * len(names) + dense[t], return_inverse=True)
             total = np.zeros(len(codes), np.int64)
-            np.add.at(total, at.ravel(), value)
-            yield pa.record_batch([pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(total)], ["s", "t", "value"])
+            np.add.at(total, at, value)
+            yield pa.record_batch([pa.array(names[codes // len(names)]), pa.array(names[codes % len(names)]), pa.array(total)], ["s", "t", "value"])
             begin = end
 
 
