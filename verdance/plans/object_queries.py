@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import crowns, models, segment, series, warp
+from verdance.operators import crowns, maxent, models, segment, series, warp
 from verdance.operators.grid import tile_of
 from verdance.plans.space_queries import META
 from verdance.plans.sql import GRID, VNIR
@@ -55,12 +55,19 @@ def tile_merge(spark, sf_dir: str) -> DataFrame:
 
 
 def known_segments(spark, sf_dir: str) -> DataFrame:
-    """Hills of nine by nine cells with gaps between them, cut by tile borders and put together where the saddle allows it."""
-    height = -(F.pow(F.col("row") % 10 - 4, 2) + F.pow(F.col("col") % 10 - 4, 2))
-    cells = fixtures.grid(spark, sf_dir).withColumn("h", height).withColumn("tile", tile_of(META, 700))
-    cells = cells.withColumn("gap", F.when((F.col("row") % 10 == 9) | (F.col("col") % 10 == 9), 0).otherwise(1))
-    found = segment.watershed_crowns(cells, "h", tolerance=0.5, conditions=[("gap", 1.0)], smooth=False, border_tolerance=0.5)
-    return found.groupBy("label").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.min("col").alias("left"))
+    """Hills of nine by nine cells that stand as high as the grid's values in their middle, those of an even height left out.
+
+    Gaps lie between hills; tile borders cut them, and segments are put together where the saddle allows it.
+    """
+    g = fixtures.grid(spark, sf_dir)
+    hill = lambda c: F.floor(F.col(c) / 10)
+    tops = g.filter("row % 10 = 4 and col % 10 = 4").select(hill("row").alias("hr"), hill("col").alias("hc"), F.col("v").alias("top"))
+    cells = g.withColumn("hr", hill("row")).withColumn("hc", hill("col")).join(tops, ["hr", "hc"]).withColumn("tile", tile_of(META, 700))
+    cells = cells.withColumn("h", F.col("top") - (F.pow(F.col("row") % 10 - 4, 2) + F.pow(F.col("col") % 10 - 4, 2)))
+    cells = cells.withColumn("gap", F.when((F.col("row") % 10 == 9) | (F.col("col") % 10 == 9) | (F.col("top") % 2 == 0), 0).otherwise(1))
+    found = segment.watershed_crowns(cells.drop("hr", "hc"), "h", tolerance=0.5, conditions=[("gap", 1.0)], smooth=False, border_tolerance=0.5)
+    height = found.join(cells.select("cell", "h"), "cell").groupBy("label").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.min("col").alias("left"), F.max("h").cast("long").alias("height"))
+    return height
 
 
 def rf_classify(spark, sf_dir: str) -> DataFrame:
@@ -81,8 +88,43 @@ def presence_model_fit_score(spark, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, scored)
 
 
-QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, known_segments, rf_classify, presence_model_fit_score)}
+def _densities(spark, sf_dir: str) -> dict[str, tuple[DataFrame, maxent.MaxEnt]]:
+    """Each class's pixels and the density of its presences, from all bands, their squares, thresholds and products of neighbours."""
+    bands = [fixtures.band_name(nm) for nm in VNIR]
+    frame = fixtures.training(spark, sf_dir)
+    parts = {c: frame.filter(F.col("class") == c) for c in ("0", "1")}
+    return {c: (part, maxent.fit(part, bands, pairs=maxent.neighbouring_pairs(len(bands)))) for c, part in parts.items()}
+
+
+def maxent_bounds(spark, sf_dir: str) -> DataFrame:
+    """For each class and feature the presences' mean, its bound, and whether the raw output's own mean, summed anew, lies within it."""
+    out = []
+    for name, (part, model) in _densities(spark, sf_dir).items():
+        told = spark.createDataFrame(list(zip(model.features.names, model.presence_mean.tolist(), model.bound.tolist(), strict=True)), "feature string, mean double, bound double")
+        found = maxent.feature_means(model.predict(part), model).join(told, "feature")
+        within = F.abs(F.col("expected") - F.col("mean")) <= F.col("bound") + 1e-6
+        out.append(found.select(F.lit(name).alias("class"), "feature", F.round("mean", 6).alias("presence_mean"), F.round("bound", 6).alias("bound"), within.alias("within")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def maxent_total(spark, sf_dir: str) -> DataFrame:
+    """Raw outputs by class: how many pixels have one, and their sum."""
+    parts = [model.predict(part).select(F.lit(name).alias("class"), "p") for name, (part, model) in _densities(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("class").agg(F.count("p").alias("n"), F.round(F.sum("p"), 6).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, known_segments, rf_classify, presence_model_fit_score, maxent_bounds, maxent_total)}
 ORACLES = {
-    "known_segments": f"""WITH {GRID}
-SELECT min(cell) AS label, count(*) AS cells, min(row) AS top, min(col) AS "left" FROM grid WHERE row % 10 < 9 AND col % 10 < 9 GROUP BY row // 10, col // 10""",
+    "maxent_bounds": """WITH px AS (
+  SELECT vec_id, CAST(label % 2 AS VARCHAR) AS class, label < 3 AS pres, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
+b AS (SELECT *, CAST(v AS DOUBLE) + 0.6::DOUBLE AS x FROM px),
+s AS MATERIALIZED (SELECT b.vec_id, b.class, b.pres, b.k, (x - lo) / (hi - lo) AS x FROM b JOIN (SELECT class, k, min(x) AS lo, max(x) AS hi FROM b GROUP BY ALL) USING (class, k)),
+f AS (
+  SELECT class, 'l' || k AS feature, x AS y FROM s WHERE pres UNION ALL SELECT class, 'q' || k, x * x FROM s WHERE pres
+  UNION ALL SELECT class, 't' || k || '_' || h, CAST(x > h / 4.0::DOUBLE AS DOUBLE) FROM s, range(1, 4) r(h) WHERE pres
+  UNION ALL SELECT a.class, 'p' || a.k || '_' || c.k, a.x * c.x FROM s a JOIN s c ON c.vec_id = a.vec_id AND c.k = a.k + 1 WHERE a.pres)
+SELECT class, feature, round(avg(y), 6) AS presence_mean, round(greatest(stddev_pop(y), 0.01) / sqrt(count(*)), 6) AS bound, true AS within FROM f GROUP BY ALL""",
+    "maxent_total": "SELECT CAST(label % 2 AS VARCHAR) AS class, count(*) AS n, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1",
+    "known_segments": f"""WITH {GRID}, t AS (SELECT row // 10 AS hr, col // 10 AS hc, v AS top FROM grid WHERE row % 10 = 4 AND col % 10 = 4 AND v % 2 = 1)
+SELECT min(cell) AS label, count(*) AS cells, min(row) AS top, min(col) AS "left", t.top AS height FROM grid JOIN t ON hr = row // 10 AND hc = col // 10 WHERE row % 10 < 9 AND col % 10 < 9 GROUP BY hr, hc, t.top""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import cover, focal, grid, models, overlay, rings, spatial, vector, zonal
+from verdance.operators import cover, distance, focal, grid, models, overlay, rings, spatial, vector, zonal
 from verdance.operators.graph import stored
 from verdance.operators.grid import RasterMeta
 from verdance.plans.sql import BINARY, GRID, POINTS_A, POINTS_B
@@ -16,8 +16,10 @@ META = RasterMeta(50, 50, 0.0, 1000.0, 0.0, 1000.0)
 
 
 def tile_extents(spark, sf_dir: str) -> DataFrame:
-    """A raster of 100 x 100 cells and 6 layers in tiles of at most 50,000 values."""
-    return grid.tile_extents(spark, RasterMeta(100, 100, 0.0, 1000.0, 0.0, 500.0, layers=6), 50_000)
+    """A raster of 100 x 100 cells and 6 layers in tiles of at most 50,000 values: the points in each."""
+    meta = RasterMeta(100, 100, 0.0, 1000.0, 0.0, 500.0, layers=6)
+    inside = fixtures.points_a(spark, sf_dir).filter("y < 500").groupBy(grid.tile_of(meta, 50_000).alias("tile")).agg(F.count("*").alias("points"))
+    return grid.tile_extents(spark, meta, 50_000).join(inside, "tile", "left").na.fill(0, ["points"])
 
 
 def tile_members(spark, sf_dir: str) -> DataFrame:
@@ -26,15 +28,27 @@ def tile_members(spark, sf_dir: str) -> DataFrame:
 
 
 def proximity(spark, sf_dir: str) -> DataFrame:
-    return grid.proximity(spark, 11, 9)
+    """The grid's values around each point in the order of a window's cells by distance, cells outside the grid left out."""
+    window = grid.proximity(spark, 11, 9).withColumn("i", (F.col("pixnr") - 1) % 11 - 5).withColumn("j", F.floor((F.col("pixnr") - 1) / 11) - 4)
+    points = fixtures.points_b(spark, sf_dir).select("fid", META.row_of(F.col("y")).alias("r"), META.col_of(F.col("x")).alias("c"))
+    around = points.join(F.broadcast(window), how="cross")  # a window's 99 cells for each point
+    cells = fixtures.grid(spark, sf_dir).select("row", "col", "v")
+    return around.select("fid", "place", F.round("dist", 6).alias("dist"), (F.col("r") + F.col("i")).alias("row"), (F.col("c") + F.col("j")).alias("col")).join(cells, ["row", "col"]).select("fid", "place", "dist", "v")
+
+
+def _neighbour_sums(spark, sf_dir: str, diagonals: bool) -> DataFrame:
+    cells = fixtures.grid(spark, sf_dir).select("cell", "v")
+    values = cells.select(F.col("cell").alias("neighbour"), "v")
+    return grid.neighbours(cells.select("cell"), 50, 50, diagonals).join(values, "neighbour").groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
 def neighbours8(spark, sf_dir: str) -> DataFrame:
-    return grid.neighbours(fixtures.grid(spark, sf_dir).select("cell"), 50, 50)
+    """Each cell's neighbours, corners included: their number and the sum of their values."""
+    return _neighbour_sums(spark, sf_dir, True)
 
 
 def neighbours4(spark, sf_dir: str) -> DataFrame:
-    return grid.neighbours(fixtures.grid(spark, sf_dir).select("cell"), 50, 50, diagonals=False)
+    return _neighbour_sums(spark, sf_dir, False)
 
 
 def odd_grid(spark, sf_dir: str) -> DataFrame:
@@ -213,6 +227,13 @@ def polygon_intersection(spark, sf_dir: str) -> DataFrame:
     return _halves(spark, sf_dir, "intersection")
 
 
+def buffer_distance(spark, sf_dir: str) -> DataFrame:
+    """Distance of each cell from the nearest presence, up to a reach that spans blocks, and a narrow buffer around presences."""
+    cells = distance.buffer(fixtures.grid_binary(spark, sf_dir), "presence", 25.0, 20.0)
+    wide = distance.distance_to(cells, "presence", 300.0, 20.0)
+    return wide.select("cell", "near", F.round("distance", 6).alias("distance"))
+
+
 def usable_tiles(spark, sf_dir: str) -> DataFrame:
     """Tiles with all layers and more than one point."""
     tile = grid.tile_of(META, 300)
@@ -225,7 +246,7 @@ QUERIES = {
     for f in (
         tile_extents, tile_members, proximity, neighbours8, neighbours4, odd_grid, n_neighbours, nearest_target, presence_within_radius, error_observations, error_rates, false_positive_far, false_positive_random,
         training_frame, calibration_cells, shadow_quantile, shadow_filter, focal_mean3, clump_filter, remoteness, remoteness_narrow, mask_zone, mask_zone_cropped, zonal_weighted, zonal_points, polygon_area_filter,
-        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons, union_by_group, polygon_difference, polygon_intersection,
+        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons, union_by_group, polygon_difference, polygon_intersection, buffer_distance,
     )
 }
 
@@ -266,12 +287,17 @@ SELECT cells.cell, round(s.s / s.n, 6) AS remoteness FROM cells LEFT JOIN s ON s
 
 
 ORACLES = {
-    "tile_extents": "SELECT i + 2 * j AS tile, i * 500::DOUBLE AS xmin, (i + 1) * 500::DOUBLE AS xmax, j * 250::DOUBLE AS ymin, (j + 1) * 250::DOUBLE AS ymax FROM range(2) a(i), range(2) b(j)",
+    "tile_extents": f"""WITH {POINTS_A}, n AS (SELECT CAST(least(floor(x / 500), 1) + 2 * least(floor(y / 250), 1) AS BIGINT) AS tile, count(*) AS points FROM a WHERE y < 500 GROUP BY 1)
+SELECT i + 2 * j AS tile, i * 500::DOUBLE AS xmin, (i + 1) * 500::DOUBLE AS xmax, j * 250::DOUBLE AS ymin, (j + 1) * 250::DOUBLE AS ymax, coalesce(points, 0) AS points
+FROM range(2) p(i) CROSS JOIN range(2) q(j) LEFT JOIN n ON n.tile = i + 2 * j""",
     "tile_members": f"""WITH {GRID} SELECT CAST(least(floor(x / (1000 / 3.0::DOUBLE)), 2) + 3 * least(floor(y / (1000 / 3.0::DOUBLE)), 2) AS BIGINT) AS tile, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM grid GROUP BY 1""",
-    "proximity": """WITH c AS (SELECT i + 1 AS pixnr, sqrt(CAST((i % 11 - 5) * (i % 11 - 5) + (i // 11 - 4) * (i // 11 - 4) AS DOUBLE)) AS dist FROM range(99) r(i))
-SELECT pixnr, dist, row_number() OVER (ORDER BY dist, pixnr) AS place FROM c""",
-    "neighbours8": "SELECT r * 50 + c + 1 AS cell, (r + i) * 50 + c + j + 1 AS neighbour FROM range(50) a(r), range(50) b(c), range(-1, 2) d(i), range(-1, 2) e(j) WHERE (i <> 0 OR j <> 0) AND r + i BETWEEN 0 AND 49 AND c + j BETWEEN 0 AND 49",
-    "neighbours4": "SELECT r * 50 + c + 1 AS cell, (r + i) * 50 + c + j + 1 AS neighbour FROM range(50) a(r), range(50) b(c), range(-1, 2) d(i), range(-1, 2) e(j) WHERE abs(i) + abs(j) = 1 AND r + i BETWEEN 0 AND 49 AND c + j BETWEEN 0 AND 49",
+    "proximity": f"""WITH {GRID}, {POINTS_B},
+c AS (SELECT i + 1 AS pixnr, i % 11 - 5 AS di, i // 11 - 4 AS dj, sqrt(CAST((i % 11 - 5) * (i % 11 - 5) + (i // 11 - 4) * (i // 11 - 4) AS DOUBLE)) AS dist FROM range(99) r(i)),
+w AS (SELECT *, row_number() OVER (ORDER BY dist, pixnr) AS place FROM c),
+p AS (SELECT fid, CAST(least(floor((1000 - y) / 20), 49) AS BIGINT) AS r, CAST(least(floor(x / 20), 49) AS BIGINT) AS c FROM b)
+SELECT fid, place, round(dist, 6) AS dist, v FROM p, w JOIN grid ON row = r + di AND col = p.c + dj""",
+    **{f"neighbours{n}": f"""WITH {GRID} SELECT p.cell, count(*) AS n, CAST(sum(q.v) AS BIGINT) AS v FROM grid p JOIN grid q ON abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1 AND p.cell <> q.cell AND {rule} GROUP BY p.cell"""
+       for n, rule in ((8, "true"), (4, "(p.row = q.row OR p.col = q.col)"))},
     "odd_grid": f"WITH {GRID} SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS v, CAST(55 AS BIGINT) AS w, CAST(55 AS BIGINT) AS h FROM grid WHERE row < 49 AND col < 49",
     "n_neighbours": f"""WITH {POINTS_B}, r AS (SELECT p.fid, q.fid AS other, row_number() OVER (PARTITION BY p.fid ORDER BY {_D}, q.fid) AS k FROM b p JOIN b q ON p.fid <> q.fid)
 SELECT b.fid, b.x, b.y, max(CASE WHEN k = 1 THEN other END) AS IDneighb_1, max(CASE WHEN k = 2 THEN other END) AS IDneighb_2, max(CASE WHEN k = 3 THEN other END) AS IDneighb_3
@@ -315,6 +341,8 @@ SELECT fid, k.cell, v FROM k LEFT JOIN grid ON grid.cell = k.cell""",
 o AS (SELECT fid, box, round({_common("x0", "x1", "y0", "y1")}, 6) AS area FROM sq q, e) SELECT * FROM o WHERE area > 0""",
     "seeds_at_maximum": f"WITH {GRID}, {_SQ} SELECT q.fid, g.x, g.y FROM sq q JOIN grid g ON {_IN} QUALIFY row_number() OVER (PARTITION BY q.fid ORDER BY g.v DESC, g.cell) = 1",
     "points_in_squares": f"WITH {POINTS_A}, {_SQ} SELECT g.fid, q.fid AS zone FROM a g JOIN sq q ON {_IN}",
+    "buffer_distance": f"""WITH {BINARY}, d AS (SELECT p.cell, min({_D}) AS d FROM cells p JOIN (SELECT * FROM cells WHERE presence) q ON abs(p.x - q.x) <= 300 AND abs(p.y - q.y) <= 300 GROUP BY p.cell)
+SELECT c.cell, coalesce(d <= 25, false) AS near, CASE WHEN d <= 300 THEN round(d, 6) END AS distance FROM cells c LEFT JOIN d USING (cell)""",
     "union_by_group": f"""WITH {_FINE}, u AS MATERIALIZED (SELECT DISTINCT fid % 5 AS grp, i, j FROM fine),
 n AS (SELECT u.grp, count(*) AS n FROM u, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(a, b) WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.grp = u.grp AND v.i = u.i + a AND v.j = u.j + b) GROUP BY u.grp)
 SELECT grp, round(0.25::DOUBLE * c, 6) AS area, round(0.5::DOUBLE * n, 6) AS outline FROM (SELECT grp, count(*) AS c FROM u GROUP BY grp) JOIN n USING (grp)""",
