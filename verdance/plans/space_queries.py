@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import cover, distance, focal, grid, models, overlay, rings, spatial, vector, zonal
+from verdance.operators import cover, distance, focal, grid, models, overlay, projection, rings, spatial, vector, zonal
 from verdance.operators.graph import stored
 from verdance.operators.grid import RasterMeta
 from verdance.plans.sql import BINARY, GRID, POINTS_A, POINTS_B
@@ -234,6 +234,19 @@ def buffer_distance(spark, sf_dir: str) -> DataFrame:
     return wide.select("cell", "near", F.round("distance", 6).alias("distance"))
 
 
+#: Where the reprojected fixture lies.
+_ZONE, _NEXT = projection.utm(29), projection.utm(30)
+
+
+def reprojected_points(spark, sf_dir: str) -> DataFrame:
+    """Points given in degrees, in the metres of a zone and of the next one, and whether the way from zone to zone agrees to the millimetre."""
+    lon, lat = -9 + F.col("x") / 250, 37 + F.col("y") / 200
+    points = fixtures.points_a(spark, sf_dir).select("fid", _ZONE.project(lon, lat).alias("p"), _NEXT.project(lon, lat).alias("q"))
+    m = projection.moved(F.col("p"), _ZONE, _NEXT)
+    near = points.withColumn("m", m).withColumn("agree", (F.abs(F.col("m.x") - F.col("q.x")) < 0.001) & (F.abs(F.col("m.y") - F.col("q.y")) < 0.001))
+    return near.select("fid", "agree", *[F.round(f"{a}.{c}", 3).alias(f"{c}_{n}") for a, n in (("p", 29), ("q", 30)) for c in ("x", "y")])
+
+
 def usable_tiles(spark, sf_dir: str) -> DataFrame:
     """Tiles with all layers and more than one point."""
     tile = grid.tile_of(META, 300)
@@ -246,7 +259,7 @@ QUERIES = {
     for f in (
         tile_extents, tile_members, proximity, neighbours8, neighbours4, odd_grid, n_neighbours, nearest_target, presence_within_radius, error_observations, error_rates, false_positive_far, false_positive_random,
         training_frame, calibration_cells, shadow_quantile, shadow_filter, focal_mean3, clump_filter, remoteness, remoteness_narrow, mask_zone, mask_zone_cropped, zonal_weighted, zonal_points, polygon_area_filter,
-        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons, union_by_group, polygon_difference, polygon_intersection, buffer_distance,
+        centroids, fill_holes, keep_seed_part, clip_to_extents, overlay_outline, seeds_at_maximum, usable_tiles, points_in_squares, label_polygons, union_by_group, polygon_difference, polygon_intersection, buffer_distance, reprojected_points,
     )
 }
 
@@ -286,7 +299,20 @@ s AS (SELECT c.cell, sum(w) AS s, count(*) AS n FROM cells c, o JOIN cells q ON
 SELECT cells.cell, round(s.s / s.n, 6) AS remoteness FROM cells LEFT JOIN s ON s.cell = cells.cell"""
 
 
+def _mercator_sql(zone: projection.TransverseMercator, name: str, lon: str, lat: str) -> str:
+    """CTEs that end in ``name`` (fid, x, y): the zone's coordinates of a table g (fid, lon, lat)."""
+    e = 2 * zone.n**0.5 / (1 + zone.n)
+    terms = list(enumerate(zone.forward_terms, 1))
+    x = " + ".join(f"{a!r}::DOUBLE * cos({2 * k} * u) * sinh({2 * k} * v)" for k, a in terms)
+    y = " + ".join(f"{a!r}::DOUBLE * sin({2 * k} * u) * cosh({2 * k} * v)" for k, a in terms)
+    return f"""{name}_t AS (SELECT fid, sinh(atanh(sin(radians({lat}))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians({lat})))) AS t, radians({lon} - ({zone.meridian})) AS d FROM g),
+{name}_u AS (SELECT fid, atan2(t, cos(d)) AS u, atanh(sin(d) / sqrt(1 + t * t)) AS v FROM {name}_t),
+{name} AS (SELECT fid, {zone.east} + {zone.rectifying!r}::DOUBLE * (v + {x}) AS x, {zone.north} + {zone.rectifying!r}::DOUBLE * (u + {y}) AS y FROM {name}_u)"""
+
+
 ORACLES = {
+    "reprojected_points": f"""WITH {POINTS_A}, g AS (SELECT fid, -9 + x / 250 AS lon, 37 + y / 200 AS lat FROM a), {_mercator_sql(_ZONE, "p", "lon", "lat")}, {_mercator_sql(_NEXT, "q", "lon", "lat")}
+SELECT p.fid, true AS agree, round(p.x, 3) AS x_29, round(p.y, 3) AS y_29, round(q.x, 3) AS x_30, round(q.y, 3) AS y_30 FROM p JOIN q ON q.fid = p.fid""",
     "tile_extents": f"""WITH {POINTS_A}, n AS (SELECT CAST(least(floor(x / 500), 1) + 2 * least(floor(y / 250), 1) AS BIGINT) AS tile, count(*) AS points FROM a WHERE y < 500 GROUP BY 1)
 SELECT i + 2 * j AS tile, i * 500::DOUBLE AS xmin, (i + 1) * 500::DOUBLE AS xmax, j * 250::DOUBLE AS ymin, (j + 1) * 250::DOUBLE AS ymax, coalesce(points, 0) AS points
 FROM range(2) p(i) CROSS JOIN range(2) q(j) LEFT JOIN n ON n.tile = i + 2 * j""",
