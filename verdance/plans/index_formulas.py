@@ -1,4 +1,8 @@
-"""The published formulas of the spectral indices as text: what the queries' SQL and the tests are made of, apart from the library's own columns."""
+"""Formulas of the spectral indices as text: what the queries' SQL and the tests are made of, apart from the library's own columns.
+
+Five follow the surveyed list where it departs from the literature: NPQI (735 nm), CUR (a difference), PRI_CI (equal to PSRI), and
+the precedence in RNIR_CRI550 and RNIR_CRI700.
+"""
 
 from __future__ import annotations
 
