@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import held, light, released, stored, table
+from verdance.llm.common import held, released, stored, table
 
 #: Standard error of a sketch with 2**LG_K registers is about 1.04 / 2**(LG_K / 2).
 LG_K = 10
+#: Lines to be cut, over all documents, up to which the table of them is broadcast: 8 bytes each, and a few for their document.
+MOST_CUT = 1_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -69,7 +71,9 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 1
         .withColumnRenamed("doc_id", "id")
     )
     # where the documents that lose a line are few, no text is moved
-    found = light(stored(found, "cut-lines"))
+    found = stored(found, "cut-lines")
+    if (found.agg(F.sum(F.size("cut"))).first()[0] or 0) <= MOST_CUT:
+        found = F.broadcast(found)
     joined = held(docs, "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("copy")), "left")
     joined = joined.withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("cut").isNotNull(), F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("cut"), line_hash(x)), F.lit(False))))
