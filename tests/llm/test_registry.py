@@ -68,6 +68,13 @@ def test_near_dedup_query(spark, texts):
     assert got == {i: (n, c, i == c) for i, (n, c) in brute_classes(texts).items()}
 
 
+def test_near_dedup_of_a_larger_table(spark, duck):
+    larger = DIR.replace("0.001", "0.01")
+    rows = duck.execute(f"SELECT doc_id, text, source FROM read_parquet('{larger}/documents.parquet') ORDER BY doc_id").fetchall()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op9_near_dedup"](spark, larger).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in brute_classes(rows).items()}
+
+
 def test_both_encoders_agree_on_every_text_of_a_table(spark):
     fast, exact = packing.Encoder(*packing.vocabulary_paths()), packing.Encoder(packing.vocabulary_paths()[0])
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").select("text").collect():
