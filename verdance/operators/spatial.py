@@ -96,7 +96,7 @@ def false_positives(cells: DataFrame, avoid: DataFrame, distance: float, share:
     present = cells.filter("presence")
     n = round(share * present.count())
     n = min(n, most) if cap == "min" else max(n, most)
-    order = [F.col("cell")] if seed is None else [F.xxhash64(F.lit(seed), "cell"), F.col("cell")]
+    order = [F.col("cell")] if seed is None else [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell").cast("string")).cast("binary")), F.col("cell")]
     return far_from(present.orderBy(*order).limit(n), avoid, distance, "cell")
 
 

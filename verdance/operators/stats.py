@@ -126,8 +126,8 @@ def factor_codes(df: DataFrame, column: str, most: int = 3) -> DataFrame:
 
 
 def _order(seed: int | None, key: str) -> list[Column]:
-    """A random order that depends on the key and the seed, or the key's own order."""
-    return [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    """A random order that depends on the seed and the key alone (md5 of both as text), or the key's own order."""
+    return [F.col(key)] if seed is None else [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)]
 
 
 def sample_rows(df: DataFrame, most: int, key: str, seed: int | None = 0) -> DataFrame:

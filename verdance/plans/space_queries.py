@@ -334,6 +334,9 @@ FROM b LEFT JOIN r ON r.fid = b.fid AND k <= 3 GROUP BY ALL""",
     "error_rates": f"""WITH {_OBS} SELECT class, round(1 - avg(CAST(pred > 0 AS DOUBLE)) FILTER (WHERE vis = 1), 6) AS omission, round(avg(CAST(pred > 0 AS DOUBLE)) FILTER (WHERE vis = 0), 6) AS commission, count(*) AS n FROM obs GROUP BY class""",
     "false_positive_far": f"""WITH {BINARY}, {POINTS_B}, n AS (SELECT least(round_even(0.5 * count(*), 0), 300) AS n FROM cells WHERE presence),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cell) AS rn FROM cells WHERE presence), n WHERE rn <= n)
+SELECT cell, x, y, v FROM d p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE {_D} <= 15)""",
+    "false_positive_random": f"""WITH {BINARY}, {POINTS_B}, n AS (SELECT least(round_even(0.5 * count(*), 0), 300) AS n FROM cells WHERE presence),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('3:' || cell), cell) AS rn FROM cells WHERE presence), n WHERE rn <= n)
 SELECT cell, x, y, v FROM d p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE {_D} <= 15)""",
     "training_frame": f"""WITH {BINARY}, {POINTS_B}, pr AS (SELECT * FROM cells WHERE presence),
 d AS (SELECT * FROM cells WHERE cell NOT IN (SELECT cell FROM pr) ORDER BY cell LIMIT 500)

@@ -244,6 +244,8 @@ FROM dn LEFT JOIN m a ON a.ID = IDneighb_1 AND a.dfname = dn.dfname AND a.band =
     "strata_nd": f"WITH {_STRATA} SELECT id, stratum FROM s",
     "stratified_sample": f"""WITH {_STRATA}, n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) AS rn, (SELECT ceil(300 / count(DISTINCT stratum)) FROM s) AS most FROM s)
 SELECT id, stratum FROM n WHERE rn <= most ORDER BY id LIMIT 300""",
+    "stratified_sample_random": f"""WITH {_STRATA}, n AS (SELECT *, md5('7:' || id) AS o, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || id), id) AS rn, (SELECT ceil(300 / count(DISTINCT stratum)) FROM s) AS most FROM s)
+SELECT id, stratum FROM n WHERE rn <= most ORDER BY o, id LIMIT 300""",
     "sample_rows": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice, p_brand FROM part ORDER BY id LIMIT 100",
     "sampled_features": """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice, p_brand FROM part),
 c AS (SELECT quantile_cont(p_size, [0.3, 0.45, 0.55, 0.7]) AS a, quantile_cont(p_retailprice, [0.3, 0.45, 0.55, 0.7]) AS b FROM p),
