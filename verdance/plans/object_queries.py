@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.operators import crowns, maxent, models, segment, series, warp
+from verdance.operators import basins, crowns, maxent, models, segment, series, warp
 from verdance.operators.grid import tile_of
 from verdance.plans.space_queries import META
 from verdance.plans.sql import GRID, VNIR
@@ -44,8 +44,8 @@ def grow_crowns(spark, sf_dir: str) -> DataFrame:
 
 
 def watershed(spark, sf_dir: str) -> DataFrame:
-    cells = _image(spark, sf_dir).withColumn("tile", tile_of(META, 700))
-    return segment.watershed_crowns(cells, "b1", tolerance=0.5, conditions=[("b2", -3.0)]).select("row", "col", "cell", "label")
+    """Rough crowns of the whole image; no tile has a say in them."""
+    return basins.crowns_of_image(_image(spark, sf_dir), "b1", tolerance=0.5, conditions=[("b2", -3.0)])
 
 
 def tile_merge(spark, sf_dir: str) -> DataFrame:
@@ -54,18 +54,37 @@ def tile_merge(spark, sf_dir: str) -> DataFrame:
     return segment.merge_across_tiles(segment.segment_tiles(cells, "b1", 0.5)).groupBy("label").agg(F.count("*").alias("cells"), F.count_distinct("tile").alias("tiles"))
 
 
+def watershed_basins(spark, sf_dir: str) -> DataFrame:
+    """Which peak's basin each cell of the grid belongs to, by its smallest cell; blocks of 16 cells."""
+    return basins.segments(fixtures.grid(spark, sf_dir), "v", tolerance=0.0, side=16).select("cell", "label")
+
+
+def twin_hills(spark, sf_dir: str) -> DataFrame:
+    """Ridges with two summits as high as the grid's values; the dip between them, also a value, decides whether they are one segment."""
+    g = fixtures.grid(spark, sf_dir)
+    at = lambda c: F.max(F.when(F.col("col") % 10 == c, F.col("v").cast("double")))
+    ridges = g.groupBy("row", F.floor(F.col("col") / 10).alias("hill")).agg(at(2).alias("l"), at(6).alias("r"), at(4).alias("d"))
+    ridges = ridges.withColumn("dip", F.least("l", "r") - F.col("d") % 7 - 0.5)
+    c = F.col("col") % 10
+    height = F.when(c == 3, (F.col("l") + F.col("dip")) / 2).when(c == 4, F.col("dip")).when(c == 5, (F.col("r") + F.col("dip")) / 2)
+    height = height.when(c < 3, F.col("l") - F.abs(c - 2)).when(c < 9, F.col("r") - F.abs(c - 6))
+    cells = g.withColumn("hill", F.floor(F.col("col") / 10)).join(ridges, ["row", "hill"]).filter("row % 2 = 0").withColumn("h", height)
+    found = basins.segments(cells, "h", tolerance=3.0, side=16).join(cells.select("cell", "h"), "cell")
+    return found.groupBy("label").agg(F.count("*").alias("cells"), F.max("h").alias("height"))
+
+
 def known_segments(spark, sf_dir: str) -> DataFrame:
     """Hills of nine by nine cells that stand as high as the grid's values in their middle, those of an even height left out.
 
-    Gaps lie between hills; tile borders cut them, and segments are put together where the saddle allows it.
+    Gaps lie between hills, and borders of blocks cut them.
     """
     g = fixtures.grid(spark, sf_dir)
     hill = lambda c: F.floor(F.col(c) / 10)
     tops = g.filter("row % 10 = 4 and col % 10 = 4").select(hill("row").alias("hr"), hill("col").alias("hc"), F.col("v").alias("top"))
-    cells = g.withColumn("hr", hill("row")).withColumn("hc", hill("col")).join(tops, ["hr", "hc"]).withColumn("tile", tile_of(META, 700))
+    cells = g.withColumn("hr", hill("row")).withColumn("hc", hill("col")).join(tops, ["hr", "hc"])
     cells = cells.withColumn("h", F.col("top") - (F.pow(F.col("row") % 10 - 4, 2) + F.pow(F.col("col") % 10 - 4, 2)))
     cells = cells.withColumn("gap", F.when((F.col("row") % 10 == 9) | (F.col("col") % 10 == 9) | (F.col("top") % 2 == 0), 0).otherwise(1))
-    found = segment.watershed_crowns(cells.drop("hr", "hc"), "h", tolerance=0.5, conditions=[("gap", 1.0)], smooth=False, border_tolerance=0.5)
+    found = basins.crowns_of_image(cells.drop("hr", "hc"), "h", tolerance=0.5, conditions=[("gap", 1.0)], smooth=False, side=16)
     height = found.join(cells.select("cell", "h"), "cell").groupBy("label").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.min("col").alias("left"), F.max("h").cast("long").alias("height"))
     return height
 
@@ -113,7 +132,7 @@ def maxent_total(spark, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("class").agg(F.count("p").alias("n"), F.round(F.sum("p"), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, known_segments, rf_classify, presence_model_fit_score, maxent_bounds, maxent_total)}
+QUERIES = {f.__name__: f for f in (fit_series, tps_warp, shift_polygons, grow_crowns, watershed, tile_merge, watershed_basins, twin_hills, known_segments, rf_classify, presence_model_fit_score, maxent_bounds, maxent_total)}
 ORACLES = {
     "maxent_bounds": """WITH px AS (
   SELECT vec_id, CAST(label % 2 AS VARCHAR) AS class, label < 3 AS pres, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
@@ -125,6 +144,14 @@ f AS (
   UNION ALL SELECT a.class, 'p' || a.k || '_' || c.k, a.x * c.x FROM s a JOIN s c ON c.vec_id = a.vec_id AND c.k = a.k + 1 WHERE a.pres)
 SELECT class, feature, round(avg(y), 6) AS presence_mean, round(greatest(stddev_pop(y), 0.01) / sqrt(count(*)), 6) AS bound, true AS within FROM f GROUP BY ALL""",
     "maxent_total": "SELECT CAST(label % 2 AS VARCHAR) AS class, count(*) AS n, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1",
+    "watershed_basins": f"""WITH RECURSIVE {GRID},
+up AS (SELECT g.cell, arg_min(n.cell, (-n.v, n.cell)) AS aim FROM grid g JOIN grid n ON n.row BETWEEN g.row - 1 AND g.row + 1 AND n.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY g.cell),
+climb AS (SELECT cell, aim FROM up UNION SELECT climb.cell, up.aim FROM climb JOIN up ON up.cell = climb.aim)
+SELECT climb.cell, min(climb.cell) OVER (PARTITION BY climb.aim) AS label FROM climb JOIN up ON up.cell = climb.aim AND up.aim = up.cell""",
+    "twin_hills": f"""WITH {GRID},
+ridge AS (SELECT min(cell) AS base, max(v) FILTER (col % 10 = 2) AS l, max(v) FILTER (col % 10 = 6) AS r, max(v) FILTER (col % 10 = 4) % 7 + 0.5 < 3 AS one FROM grid WHERE row % 2 = 0 GROUP BY row, col // 10)
+SELECT base AS label, CASE WHEN one THEN 9 WHEN l >= r THEN 5 ELSE 4 END AS cells, CAST(CASE WHEN one THEN greatest(l, r) ELSE l END AS DOUBLE) AS height FROM ridge
+UNION ALL SELECT CASE WHEN l >= r THEN base + 5 ELSE base + 4 END, CASE WHEN l >= r THEN 4 ELSE 5 END, CAST(r AS DOUBLE) FROM ridge WHERE NOT one""",
     "known_segments": f"""WITH {GRID}, t AS (SELECT row // 10 AS hr, col // 10 AS hc, v AS top FROM grid WHERE row % 10 = 4 AND col % 10 = 4 AND v % 2 = 1)
 SELECT min(cell) AS label, count(*) AS cells, min(row) AS top, min(col) AS "left", t.top AS height FROM grid JOIN t ON hr = row // 10 AND hc = col // 10 WHERE row % 10 < 9 AND col % 10 < 9 GROUP BY hr, hc, t.top""",
 }
