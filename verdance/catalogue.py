@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdance.plans import index_queries, object_queries, space_queries, table_queries
+from verdance.plans import index_queries, object_queries, space_queries, surface_queries, table_queries
 
-_PARTS = (table_queries, space_queries, object_queries, index_queries)
+_PARTS = (table_queries, space_queries, object_queries, surface_queries, index_queries)
 
 
 def queries() -> dict:
