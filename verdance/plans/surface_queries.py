@@ -1,16 +1,19 @@
-"""Queries by user aggregates and table functions."""
+"""Queries by user aggregates and table functions, and files written and read again."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdance.functions import tables
-from verdance.operators import spatial
+from verdance.operators import spatial, vector
 from verdance.operators.aggregates import BinnedQuantile, Entropy, Mode, aggregate_by, focal_aggregate
 from verdance.plans.space_queries import ORACLES as SPACE
-from verdance.plans.sql import GRID
-from verdance.sources import fixtures
+from verdance.plans.sql import GRID, POINTS_B
+from verdance.session import shared_dir
+from verdance.sources import fixtures, sinks, tiff, vectors
 
 
 def zone_aggregates(spark, sf_dir: str) -> DataFrame:
@@ -40,7 +43,23 @@ def tile_error_rows(spark, sf_dir: str) -> DataFrame:
     return found.select((F.col("kind") - 1).cast("long").alias("vis"), "pred", "class")
 
 
-QUERIES = {f.__name__: f for f in (zone_aggregates, focal_mode3, tile_error_rows)}
+def tiff_round_trip(spark, sf_dir: str) -> DataFrame:
+    """The grid's values as TIFF tiles of 16 cells, read back as pixels."""
+    path = f"{shared_dir(spark)}/tiff-{uuid4().hex}"
+    sinks.write_tiff(fixtures.grid(spark, sf_dir).drop("x", "y"), path, ["cell", "v"], 0.0, 1000.0, 20.0, 20.0, side=16)
+    return tiff.read_tiff(spark, path, ["number", "v"]).select(F.col("number").cast("long").alias("number"), "x", "y", "v")
+
+
+def shapes_round_trip(spark, sf_dir: str) -> DataFrame:
+    """Squares, some with holes or second parts, as shapefiles and read back: their numbers, rings, and areas."""
+    path = f"{shared_dir(spark)}/shapes-{uuid4().hex}"
+    sinks.write_shapes(fixtures.squares(spark, sf_dir), path, ["fid", "side"])
+    back = vectors.read_vectors(spark, path, {"fid": "long", "side": "double"})
+    holes = F.size(F.filter("rings", lambda r: r["hole"])).cast("long")
+    return back.select("fid", "side", F.size("rings").cast("long").alias("n_rings"), holes.alias("holes"), F.round(vector.polygon_area(F.col("rings")), 6).alias("area"))
+
+
+QUERIES = {f.__name__: f for f in (zone_aggregates, focal_mode3, tile_error_rows, tiff_round_trip, shapes_round_trip)}
 ORACLES = {
     "zone_aggregates": """WITH c AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE CAST(l_suppkey % 40 AS BIGINT) END AS zone, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem),
 n AS (SELECT zone, q, count(*) AS n FROM c GROUP BY ALL),
@@ -50,5 +69,8 @@ r AS (SELECT zone, floor(price / 512) * 512 AS high, row_number() OVER (PARTITIO
 SELECT zone, mode, entropy, high FROM m JOIN e USING (zone) JOIN (SELECT zone, high FROM r WHERE k = (9 * total + 9) // 10) USING (zone)""",
     "focal_mode3": f"""WITH {GRID}, n AS (SELECT g.cell, h.v, count(*) AS n FROM grid g JOIN grid h ON h.row BETWEEN g.row - 1 AND g.row + 1 AND h.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY ALL)
 SELECT cell, CAST(arg_min(v, (-n, v)) AS DOUBLE) AS mode FROM n GROUP BY cell""",
+    "tiff_round_trip": f"WITH {GRID} SELECT CAST(cell AS BIGINT) AS number, x, y, CAST(v AS DOUBLE) AS v FROM grid",
+    "shapes_round_trip": f"""WITH {POINTS_B}, s AS (SELECT fid, CAST(10 * (1 + fid % 9) AS DOUBLE) AS side, CAST(fid % 3 = 0 AS BIGINT) AS holes, CAST(fid % 4 = 0 AS BIGINT) AS more FROM b)
+SELECT fid, side, 1 + holes + more AS n_rings, holes, round(side * side * (1 + (more - holes) * 0.25::DOUBLE), 6) AS area FROM s""",
     "tile_error_rows": SPACE["error_observations"],
 }
