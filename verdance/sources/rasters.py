@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions.indices import index_column
+from verdance.sources.sinks import write_binaries
 from verdance.sources.tiff import tiff_meta
 
 # ENVI's numbers for data types, and the band centres (nm) of two sensors.
@@ -124,10 +126,27 @@ def write_texts(df: DataFrame, folder: str, suffix: str) -> None:
 
 
 def copy_dataset(spark: SparkSession, source: str, target: str, overwrite: bool = True) -> bool:
-    """Copies all part files of a dataset directory through the cluster's file system; False if there is none."""
+    """Copies a dataset's data files, a folder of them or one, by tasks; False if there is none, or if ``target`` is there to stay.
+
+    Files (below 2 GB each, Spark's bound for whole files) go to a folder beside ``target`` that takes its place at the end, so that
+    an interrupted copy is never seen; files that Spark doesn't list, such as markers, are left out.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
     fs, to = a.getFileSystem(conf), b.getFileSystem(conf)
     if not fs.exists(a) or (to.exists(b) and not overwrite):
         return False
-    return bool(jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, overwrite, conf))
+    whole = fs.makeQualified(a)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    single = fs.getFileStatus(a).isFile()
+    name = F.lit(whole.getName()) if single else F.substring(F.col("path"), F.instr(F.col("path"), whole.toUri().getPath()) + len(whole.toUri().getPath()) + 1, F.lit(1 << 20))
+    beside = f"{target.rstrip('/')}-{uuid4().hex}"
+    write_binaries(files.select(name.alias("name"), "content"), beside)
+    new = jvm.org.apache.hadoop.fs.Path(beside)
+    if not to.exists(new):
+        to.mkdirs(new)
+    to.delete(b, True)
+    done = to.rename(jvm.org.apache.hadoop.fs.Path(new, whole.getName()) if single else new, b)
+    if single:
+        to.delete(new, True)
+    return bool(done)

@@ -23,24 +23,44 @@ FILE_BYTES = 64 << 20
 FIELDS = {"bigint": ("N", 20), "int": ("N", 11), "double": ("F", 24), "string": ("C", 254)}
 
 
+def filesystem_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that driver and executors share, and the folder's path in it."""
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").strip("/")
+    return fs.FileSystem.from_uri(uri.rstrip("/"))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
 
 
+def write_binaries(files: DataFrame, folder: str) -> int:
+    """Files (name, content), names with folders allowed, written below ``folder`` by the tasks that hold them; their bytes in all."""
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem_of(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                place = f"{root}/{name}"
+                store.create_dir(place.rsplit("/", 1)[0])
+                with store.open_output_stream(place) as out:
+                    out.write(content.as_buffer())
+                yield pa.record_batch([pa.array([content.as_buffer().size], pa.int64())], ["size"])
+
+    return files.select("name", "content").mapInArrow(put, "size long").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first().size
+
+
 class FilesWriter(DataSourceArrowWriter):
     """Tasks write below a folder of the job's own; ``files`` is what a format adds: (suffix, bytes) of each of its files."""
 
     def __init__(self, options: dict[str, str]):
-        uri = options["path"]
-        self.uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-        self.options, self.job = dict(options), f"_job-{uuid4().hex}"
+        self.options, self.uri, self.job = dict(options), options["path"], f"_job-{uuid4().hex}"
 
     def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, bytes]]:
         raise NotImplementedError
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = fs.FileSystem.from_uri(self.uri)
+        store, root = filesystem_of(self.uri)
         store.create_dir(f"{root}/{self.job}")
         names = []
         for group in self.files(iterator):
@@ -52,13 +72,13 @@ class FilesWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.uri)
+        store, root = filesystem_of(self.uri)
         for name in (n for m in messages if m for n in m.files):
             store.move(f"{root}/{self.job}/{name}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.uri)
+        store, root = filesystem_of(self.uri)
         if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
             store.delete_dir(f"{root}/{self.job}")
 
