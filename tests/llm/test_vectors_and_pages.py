@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,17 @@ def test_top_k_stops_early_and_stays_exact():
         assert found[mine].tolist() == ids[best].tolist() and score[mine].tolist() == true[i][best].tolist()
 
 
+def test_top_k_goes_by_groups_of_blocks(spark, monkeypatch):
+    for name, value in (("INDEX_BLOCK", 25), ("QUERY_BLOCK", 4), ("MEMBERS", 4), ("FIRST", 10), ("GROUPS", 3), ("GROUP_BYTES", 4 * 25 * 2 * 16)):
+        monkeypatch.setattr(topk, name, value)
+    rows = some_vectors(seed=5)
+    v = topk.floored(vectors(spark, rows))
+    assert sorted(tuple(r) for r in topk.top_k(v, v.filter("vec_id % 5 = 0")).collect()) == brute_top(rows, 5)
+    # a block goes through the shuffle with two bytes a component, and nothing that can be worked out from it
+    some = pa.table({"dim": [64] * 50, "block": [0] * 50, "row": range(50), "vec_id": range(50), "q": [[300] * 64] * 50})
+    assert topk.block_of("block")((), some).nbytes < 50 * (64 * 2 + 16) + 100
+
+
 def test_top_k_edge_cases(spark):
     v = topk.floored(vectors(spark, odd_vectors() + [(50, [1, 0], 1), (50, [3, 0], 1), (100, [1, 0, 0, 0], 1)]).withColumn("row", F.lit(1)))
     got = sorted(tuple(r) for r in topk.top_k(v, v.filter("vec_id % 50 = 0")).collect())

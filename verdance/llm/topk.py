@@ -2,12 +2,14 @@
 
 Components are floored to integers. The index holds blocks of vectors; a block's postings (vector, dimension, value) are
 ordered by the size of their value, quantised to powers of two, in segments. A block of queries takes a block's segments
-in descending impact and adds what they score. After each segment, the norms of what is still missing of each vector give
+in descending impact and adds what they score. After a segment, the norms of what is still missing of each vector give
 bounds on its final score. A query stops only when so few vectors can still be among its best that each is scored
-exactly; so the result is the one of a full search.
+exactly; so the result is the one of a full search. A few queries try the segments one by one; the others take those
+up to the first after which one of these could stop at once, and then the rest.
 
-Index blocks meet query blocks by an equi-join on the block number; of each meeting only the best k are kept. Queries are a
-stated part of the rows; every other row is a candidate.
+Groups of index blocks meet groups of query blocks by an equi-join on their numbers; a task goes through its index blocks
+one by one with the bar of those before, and of each meeting of groups only the best k are kept. Queries are a stated part
+of the rows; every other row is a candidate. The work is queries times rows: exact search has no way round it.
 
 Rows are told apart by a number of their own, not by their id: of rows with one id each is a candidate for the others
 and, as a query, has its own k rows.
@@ -33,6 +35,10 @@ INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 MEMBERS = 32
 #: Queries that are tried first for a proof, before the whole block is.
 PROBE = 16
+#: Rows of a block that give a first bound on a query's k-th best.
+FIRST = 512
+#: Components of one side that a task takes, and groups of the index that there are for as long as these allow it.
+GROUP_BYTES, GROUPS = 64 << 20, 96
 
 
 def usable(vector: str | Column) -> Column:
@@ -61,24 +67,76 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def packed(q: np.ndarray) -> tuple[bytes, str]:
+    """A matrix of integers in the narrowest type that holds it, and that type's name."""
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not q.size or (np.iinfo(t).min <= q.min() and q.max() <= np.iinfo(t).max))
+    return q.astype(kind).tobytes(), np.dtype(kind).str
+
+
 def segments(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Postings (numbers into the flattened matrix) by descending impact level, and where each level ends; zeros have none."""
-    level = np.frexp(np.abs(q.ravel()).astype(np.float64))[1]
+    level = np.frexp(np.abs(q.ravel()).astype(np.float64))[1].astype(np.int8)
     order = np.argsort(-level, kind="stable")
     order = order[: np.count_nonzero(level)]
     ends = np.flatnonzero(np.diff(level[order], append=-1)) + 1
     return order, ends
 
 
-def indexed(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block: its rows' numbers and ids, components and posting segments."""
-    q = matrix(rows.column("q"))
-    order, ends = segments(q)
-    return pa.table({
-        "dim": pa.array([q.shape[1]], pa.int32()), "block": pa.array([rows.column("block")[0].as_py()], pa.int32()),
-        "rows": [rows.column("row").to_numpy().tobytes()], "ids": [rows.column("vec_id").to_numpy().tobytes()], "q": [q.astype(np.int64).tobytes()],
-        "postings": [order.astype(np.uint32).tobytes()], "ends": [ends.astype(np.int64).tolist()],
-    })
+def block_of(number: str):
+    """One row for a block: its rows' numbers, ids and components."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        q, kind = packed(matrix(rows.column("q")))
+        return pa.table({
+            "dim": pa.array([rows.column("dim")[0].as_py()], pa.int32()), number: pa.array([rows.column(number)[0].as_py()], pa.int32()),
+            "rows": [rows.column("row").to_numpy().tobytes()], "ids": [rows.column("vec_id").to_numpy().tobytes()], "kind": [kind], "q": [q],
+        })
+
+    return run
+
+
+def missing_norms(q: np.ndarray, postings: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each level the norms of what the levels after it add to each vector."""
+    n, d = q.shape
+    flat, begins = q.ravel().astype(np.float64), [0, *ends[:-1]]
+    added = [np.bincount(postings[b:e] // d, weights=flat[postings[b:e]] ** 2, minlength=n) for b, e in zip(begins, ends, strict=True)]
+    after = np.cumsum([np.zeros(n), *added[:0:-1]], axis=0)[::-1]
+    return np.sqrt(after)
+
+
+class Block:
+    """An index block made ready once for all the query blocks that it meets."""
+
+    def __init__(self, names: tuple[np.ndarray, np.ndarray], q: np.ndarray, postings: np.ndarray, ends: np.ndarray):
+        self.own, self.ids, self.q, self.postings, self.ends = *names, q, postings, ends
+        self.most = float(np.abs(q).max(initial=0))
+        self.order = np.argsort(self.own)
+        self.stop: int | None = None  # the level after which queries are tried, found with the first of them
+        self._missing: np.ndarray | None = None
+        self._as: dict[tuple, np.ndarray] = {}
+
+    @property
+    def missing(self) -> np.ndarray:
+        if self._missing is None:
+            self._missing = missing_norms(self.q, self.postings, self.ends)
+        return self._missing
+
+    def upto(self, level: int, kind: type, begin: int = 0) -> np.ndarray:
+        """The components of the levels from ``begin`` up to ``level``, the others 0."""
+        whole = begin == 0 and level >= len(self.ends)
+        if (begin, level, kind) not in self._as:
+            part = self.q.astype(kind) if whole else np.zeros(self.q.shape, kind)
+            if not whole:
+                take = self.postings[self.ends[begin - 1] if begin else 0 : self.ends[level - 1]]
+                part.ravel()[take] = self.q.ravel()[take]
+            self._as[(begin, level, kind)] = part
+        return self._as[(begin, level, kind)]
+
+    def places(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the queries are rows of the block, and which rows."""
+        at = self.order[np.minimum(np.searchsorted(self.own[self.order], asking), len(self.own) - 1)]
+        mine = np.flatnonzero(self.own[at] == asking)
+        return mine, at[mine]
 
 
 def best(names: tuple[np.ndarray, np.ndarray], q: np.ndarray, postings: np.ndarray, ends: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,106 +144,140 @@ def best(names: tuple[np.ndarray, np.ndarray], q: np.ndarray, postings: np.ndarr
 
     names: row numbers and ids of the block; asking: row numbers of the queries.
     """
-    own, ids = names
-    n, d = q.shape
-    # Sums of products are exact in doubles below 2**53, and slower but exact in 64-bit integers above.
-    exact = d * float(np.abs(q).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2**53
-    kind = np.float64 if exact else np.int64
-    q, queries = q.astype(kind), queries.astype(kind)
+    return best_of(Block(names, q, postings, ends), asking, queries, k, np.full(len(queries), -np.inf))
+
+
+def best_of(block: Block, asking: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best(), less the rows that score below each query's ``bar``, which k others are known to reach."""
+    n, d = block.q.shape
+    # Sums of products are exact in floats below 2**24, in doubles below 2**53, and slower but exact in 64-bit integers above.
+    size = d * block.most * float(np.abs(queries).max(initial=0))
+    kind = np.float32 if size < 2**24 else np.float64 if size < 2**53 else np.int64
+    least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+    queries = queries.astype(kind)
+    norm = np.linalg.norm(queries.astype(np.float64), axis=1)
     out = []
 
     def finish(who: np.ndarray, rows: np.ndarray, score: np.ndarray) -> None:
         """Ranks (query, row, score) triples and keeps the first k of each query."""
-        others = own[rows] != asking[who]
+        others = block.own[rows] != asking[who]
         who, rows, score = who[others], rows[others], score[others]
-        order = np.lexsort((ids[rows], -score, who))
+        order = np.lexsort((block.ids[rows], -score, who))
         who, rows, score = who[order], rows[order], score[order]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        keep = rank < k
-        out.append((asking[who[keep]], ids[rows[keep]], score[keep].astype(np.int64)))
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append((asking[who[keep]], block.ids[rows[keep]], score[keep].astype(np.int64)))
+
+    def raised(who: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The queries' bars, or the k-th best of a first part of the rows where that is higher."""
+        some = min(n, FIRST)
+        return np.maximum(bar[who], np.partition(low[:, :some], some - k, axis=1)[:, some - k]) if some > k else bar[who]
 
     def proven(who: np.ndarray, got: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that can still be among each query's best k, and whether they are few."""
         slack = norm[who, None] * missing * (1 + 1e-9)
         low = got - slack
-        low[own[None, :] == asking[who, None]] = -np.inf
-        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(who), -np.inf)
-        can = got + slack >= bar[:, None]
+        mine, at = block.places(asking[who])
+        low[mine, at] = -np.inf
+        can = got + slack >= raised(who, low)[:, None]
         return can, can.sum(axis=1) <= MEMBERS
 
     active = np.arange(len(queries))
-    got = np.zeros((len(queries), n), kind)  # scores so far, of active queries
-    rest = q.ravel().astype(np.float64).copy()  # components still missing
-    norm = np.linalg.norm(queries.astype(np.float64), axis=1)
-    begin = 0
-    for end in ends:
-        take = postings[begin:end]
-        part = np.zeros(n * d, kind)
-        part[take] = q.ravel()[take]
-        rest[take] = 0
-        begin = end
-        got += queries[active] @ part.reshape(n, d).T
-        missing = np.linalg.norm(rest.reshape(n, d), axis=1)
-        if n <= MEMBERS or end == ends[-1]:
-            continue
-        if not proven(active[:PROBE], got[:PROBE], missing)[1].any() and len(active) > PROBE:
-            continue  # too early for the others as well
-        can, few = proven(active, got, missing)
+    levels = len(block.ends)
+    if block.stop is None:
+        block.stop = levels
+        if n > MEMBERS:
+            few, got = active[:PROBE], 0
+            for level in range(1, levels):
+                got = got + queries[few] @ block.upto(level, kind, level - 1).T
+                if proven(few, got, block.missing[level - 1])[1].any():
+                    block.stop = level
+                    break
+            block._as.clear()
+    got = queries @ block.upto(block.stop, kind).T  # scores so far, of active queries
+    if block.stop < levels:
+        can, few = proven(active, got, block.missing[block.stop - 1])
         if few.any():
             who, rows = np.nonzero(can[few])
             who = active[few][who]
-            finish(who, rows, np.einsum("ij,ij->i", queries[who], q[rows]))
+            exact = np.int64 if kind is np.int64 else np.float64
+            finish(who, rows, np.einsum("ij,ij->i", queries[who].astype(exact), block.q[rows].astype(exact)))
             active, got = active[~few], got[~few]
-            if not len(active):
-                break
+        if len(active):
+            got += queries[active] @ block.upto(levels, kind, block.stop).T
     if len(active):
-        # Every posting is in: the scores are final. Only those at least as high as the k-th are ranked.
-        mine = own[None, :] == asking[active, None]
-        final = np.where(mine, np.iinfo(np.int64).min if kind is np.int64 else -np.inf, got)
-        bar = np.partition(final, n - k, axis=1)[:, n - k] if n > k else final.min(axis=1, initial=0)
-        who, rows = np.nonzero((final >= bar[:, None]) & ~mine)
+        # Every posting is in: the scores are final. Only those that reach the bar are ranked.
+        mine, at = block.places(asking[active])
+        got[mine, at] = least
+        who, rows = np.nonzero((got >= raised(active, got)[:, None]) & (got > least))
         finish(active[who], rows, got[who, rows])
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
-def searched(k: int):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        found = []
-        for r in rows.to_pylist():
-            names, d = (np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)), r["dim"]
-            found.append(best(names, np.frombuffer(r["q"], np.int64).reshape(-1, d), np.frombuffer(r["postings"], np.uint32), np.array(r["ends"], np.int64),
-                              np.frombuffer(r["asking"], np.int64), np.frombuffer(r["queries"], np.int64).reshape(-1, d), k))
-        return pa.table({c: np.concatenate(x) for c, x in zip(("query_row", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and components of a block."""
+    return np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q"], np.dtype(r["kind"])).reshape(-1, r["dim"])
 
-    return run
 
+def searched(k: int):
+    """The best k of a group of index blocks for each query of a group of query blocks: blocks are taken one by one, and the k-th best so far is the next one's bar."""
+
+    def run(key: tuple, index: pa.Table, asked: pa.Table) -> pa.Table:
+        questions = [unpacked(r) for r in asked.drop_columns(["group"]).to_pylist()]
+        found = [(np.empty(0, np.int64),) * 3 for _ in questions]
+        bars = [np.full(len(asking), -np.inf) for asking, _, _ in questions]
+        for one in range(len(index)):
+            own, ids, q = unpacked(index.slice(one, 1).to_pylist()[0])
+            q = q.astype(np.int64)
+            block = Block((own, ids), q, *segments(q))
+            for m, (asking, _, queries) in enumerate(questions):
+                row, vec, score = (np.concatenate(c) for c in zip(found[m], best_of(block, asking, queries.astype(np.int64), k, bars[m]), strict=True))
+                order = np.lexsort((vec, -score, row))
+                row, vec, score = row[order], vec[order], score[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                found[m] = row[rank < k], vec[rank < k], score[rank < k]
+                last = rank == k - 1
+                place = np.argsort(asking)
+                # as a float a score beyond 2**53 may come out higher than it is
+                bars[m][place[np.searchsorted(asking[place], row[last])]] = np.nextafter(score[last].astype(np.float64), -np.inf)
+        return pa.table({c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in zip(("query_row", "vec_id", "score"), zip(*found, strict=True) if found else ([],) * 3, strict=True)})
 
-def question(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block of queries."""
-    return pa.table({
-        "dim": pa.array([rows.column("dim")[0].as_py()], pa.int32()), "query_block": pa.array([rows.column("query_block")[0].as_py()], pa.int32()),
-        "asking": [rows.column("row").to_numpy().tobytes()], "queries": [matrix(rows.column("q")).astype(np.int64).tobytes()],
-    })
+    return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows of ``vectors`` for each row of ``queries``, some of its rows; as floored() has them."""
-    sized = vectors.withColumn("dim", F.size("q"))
-    counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("blocks")).toPandas()  # a row per length of vectors
-    many = dict(zip(counts.dim.tolist(), counts.blocks.tolist(), strict=True))
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("dim")) if many else F.lit(1)
-    # rows spread over the blocks evenly, whatever their order
-    index = (
-        sized.withColumn("block", F.pmod(F.xxhash64("row"), n_blocks).cast("int")).groupBy("dim", "block")
-        .applyInArrow(indexed, "dim int, block int, rows binary, ids binary, q binary, postings binary, ends array<long>")
-    )
-    n_queries = queries.count()
-    asked = (
-        queries.withColumn("dim", F.size("q")).withColumn("query_block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")).groupBy("dim", "query_block")
-        .applyInArrow(question, "dim int, query_block int, asking binary, queries binary")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    )
-    met = index.join(asked, ["dim", "block"]).groupBy("dim", "block", "query_block").applyInArrow(searched(k), "query_row long, vec_id long, score long")
+    """(query_id, rank, vec_id, score) of the k best rows of ``vectors`` for each row of ``queries``, some of its rows; as floored() has them.
+
+    Blocks of both sides are dealt to groups of at most GROUP_BYTES, and a task takes one group of each: the index goes through the shuffle once for
+    each group of queries, of which there are few, and the queries once for each of at least GROUPS groups of the index.
+    """
+    vectors, queries = (t.withColumn("dim", F.size("q")) for t in (vectors, queries))
+    counts = lambda t: {r["dim"]: r["count"] for r in t.groupBy("dim").count().collect()}  # noqa: E731  (a row per length of vectors)
+    have, ask = counts(vectors), counts(queries)
+
+    def by_dim(number) -> Column:
+        """A number for each length of vectors, from that length and how many rows of both sides have it."""
+        pairs = [F.lit(x) for d, n in have.items() for x in (d, max(1, int(number(d, n, ask.get(d, 0)))))]
+        return F.element_at(F.create_map(*pairs), F.col("dim")) if pairs else F.lit(1)
+
+    def a_group(dim: int, rows: int) -> int:
+        """Blocks of so many rows in a group, at two bytes a component."""
+        return max(1, GROUP_BYTES // (2 * dim * rows))
+
+    index_blocks, query_blocks = (lambda d, n, m: -(-n // INDEX_BLOCK)), (lambda d, n, m: -(-m // QUERY_BLOCK))
+    per_group = lambda d, n, m: min(a_group(d, INDEX_BLOCK), -(-index_blocks(d, n, m) // GROUPS))
+    groups = by_dim(lambda d, n, m: -(-index_blocks(d, n, m) // per_group(d, n, m)))
+    query_groups = by_dim(lambda d, n, m: -(-query_blocks(d, n, m) // a_group(d, QUERY_BLOCK)))
+
+    def blocks(rows: DataFrame, number: str, many: Column) -> DataFrame:
+        # rows spread over the blocks evenly, whatever their order
+        dealt = rows.withColumn(number, F.pmod(F.xxhash64("row"), many).cast("int"))
+        return dealt.groupBy("dim", number).applyInArrow(block_of(number), f"dim int, {number} int, rows binary, ids binary, kind string, q binary")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    index = blocks(vectors, "block", by_dim(index_blocks)).withColumn("group", F.pmod("block", groups)).withColumn("query_group", every(query_groups))
+    asked = blocks(queries, "query_block", by_dim(query_blocks)).withColumn("query_group", F.pmod("query_block", query_groups)).withColumn("group", every(groups))
+    meet = ["dim", "group", "query_group"]
+    met = index.groupBy(*meet).cogroup(asked.groupBy(*meet)).applyInArrow(searched(k), "query_row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     named = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
