@@ -49,33 +49,46 @@ def extent(points: DataFrame) -> tuple[float, float, float, float]:
 def nearest(a: DataFrame, b: DataFrame, k: int = 1, key: str = "fid", b_key: str = "fid", exclude_self: bool = False) -> DataFrame:
     """(key, rank, b_<key>, distance): the ``k`` nearest points of ``b`` for each of ``a``, ties by ``b``'s key; fewer if ``b`` has fewer.
 
-    Bucket joins with a radius that doubles: points that have ``k`` neighbours within the radius are done, the others go
-    on, until none is left or the radius spans all points. The first radius holds about ``2 k`` points on average. Every round
-    is written to the shared folder, so that the next one does not compute it again.
+    Places are searched, not rows: of rows in one place of ``b`` those with the smallest keys can be among the nearest, and all rows
+    in one place of ``a`` have the same ones. Bucket joins with a radius that doubles: places that have ``k`` neighbours within
+    the radius are done, the others go on, until none is left or the radius spans all points. The first radius holds about
+    ``2 k`` points on average. Every round is written to the shared folder, so that the next one does not compute it again.
     """
-    pa, pb = stored(a.select(key, "x", "y"), "nearest-from"), stored(b.select(F.col(b_key).alias(b_key), "x", "y"), "nearest-to")
+    want = k + exclude_self  # a row may find itself
+    place = ["x", "y"]
+    copies = Window.partitionBy(*place).orderBy(b_key)
+    few = b.select(F.col(b_key).alias(b_key), *place).withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= want).drop("_copy")
+    pa, pb = stored(a.select(*place).distinct(), "nearest-from"), stored(few, "nearest-to")
+    found = _nearest_places(pa, pb, want, b_key)
+    met = a.select(key, *place).join(found, place)
+    if exclude_self:
+        order = Window.partitionBy(key).orderBy("distance", f"b_{b_key}")
+        met = met.filter(F.col(key) != F.col(f"b_{b_key}")).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return met.select(key, "rank", f"b_{b_key}", "distance")
+
+
+def _nearest_places(pa: DataFrame, pb: DataFrame, k: int, b_key: str) -> DataFrame:
+    """(x, y, rank, b_<key>, distance) of the ``k`` nearest of ``pb`` for each of the places ``pa``, all of them different; see nearest()."""
     boxes = [e for e in (extent(pa), extent(pb)) if e[0] is not None]
     n = pb.count()
     if len(boxes) < 2 or not n:
         empty = within(pa, pb, 1.0).filter("false")
-        return empty.select(key, F.lit(1).cast("long").alias("rank"), f"b_{b_key}", "distance")
+        return empty.select("x", "y", F.lit(1).cast("long").alias("rank"), f"b_{b_key}", "distance")
     width, height = max(e[1] for e in boxes) - min(e[0] for e in boxes), max(e[3] for e in boxes) - min(e[2] for e in boxes)
     whole = math.hypot(width, height) + 1.0
     radius, found, left = min(whole, math.sqrt(max(width * height, 1e-9) * 2 * k / n / math.pi) + 1e-6), None, pa
-    want = k
-    order = Window.partitionBy(key).orderBy("distance", f"b_{b_key}")
+    place = ["x", "y"]
+    order = Window.partitionBy(*place).orderBy("distance", f"b_{b_key}")
     while True:
         pairs = within(left, pb, radius)
-        if exclude_self:
-            pairs = pairs.filter(F.col(key) != F.col(f"b_{b_key}"))
-        ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= want)
+        ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
         last = radius >= whole
-        done = ranked if last else ranked.join(ranked.filter(F.col("rank") == want).select(key), key, "left_semi")
-        done = stored(done.select(key, "rank", f"b_{b_key}", "distance"), "nearest-round")
+        done = ranked if last else ranked.join(ranked.filter(F.col("rank") == k).select(*place), place, "left_semi")
+        done = stored(done.select(*place, "rank", f"b_{b_key}", "distance"), "nearest-round")
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        left = stored(left.join(done.select(key).distinct(), key, "left_anti"), "nearest-left")
+        left = stored(left.join(done.select(*place).distinct(), place, "left_anti"), "nearest-left")
         if left.isEmpty():
             return found
         radius = min(2 * radius, whole)
