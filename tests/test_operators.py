@@ -123,6 +123,19 @@ def test_nearest_with_few_or_far_points(spark):
     assert spatial.nearest(a, a, 1, exclude_self=True).count() == 2
 
 
+def test_nearest_searches_places_not_rows(spark, monkeypatch):
+    """Copies in one place share their search: the pairs that a round makes don't grow with them."""
+    made, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: made.append(within(*a)) or made[-1])
+    at = [(float(k % 5), float(k % 5) * 2) for k in range(100)]
+    a = b = points(spark, at)
+    d = {(i, j): math.dist(at[i], at[j]) for i in range(100) for j in range(100)}
+    for k, own in ((3, True),):
+        want = {(i, r, j) for i in range(100) for r, j in enumerate(sorted((j for j in range(100) if not (own and i == j)), key=lambda j: (d[i, j], j))[:k], 1)}
+        assert {(r.fid, r["rank"], r.b_fid) for r in spatial.nearest(a, b, k, exclude_self=own).collect()} == want
+    assert max(pairs.count() for pairs in made) <= 5 * 5 * 4
+
+
 def test_false_positive_caps(spark):
     cells = spark.createDataFrame([(k, float(k * 10), 0.0, True) for k in range(50)], "cell long, x double, y double, presence boolean")
     avoid = points(spark, [(0, 0)])
@@ -305,6 +318,21 @@ def test_spline_meets_control_points_and_is_affine_exact(spark):
     assert np.allclose([(r.x, r.y) for r in moved], t, atol=1e-6) and moved[0].primalX == s[0, 0]
 
 
+def test_spline_of_many_copies_of_few_points(spark, monkeypatch):
+    monkeypatch.setattr(warp, "MOST_PAIRS", 30)
+    rng = np.random.default_rng(6)
+    s = np.repeat(rng.uniform(0, 100, (25, 2)).round(2), 4, axis=0)
+    s[1::4] += 1e-12  # computed in another way
+    pairs = spark.createDataFrame([tuple(map(float, (*a, *a[::-1] * 2))) for a in s], "sx double, sy double, tx double, ty double")
+    spline = warp.fit_spline(pairs)
+    assert len(spline.source) == 25 and np.allclose(spline(s), s[:, ::-1] * 2, atol=1e-6)
+    monkeypatch.setattr(warp, "AT_ONCE", 60)
+    assert np.allclose(spline(s), s[:, ::-1] * 2, atol=1e-6)
+    monkeypatch.setattr(warp, "MOST_PAIRS", 20)
+    with pytest.raises(ValueError):
+        warp.fit_spline(pairs)
+
+
 def test_curve_fit_recovers_parameters(spark):
     u = np.linspace(0, 1, 12)
     t, v = np.tile(u * 300, (3, 1)), np.stack([2 * np.e * u + 1, 3 * (np.e * u) ** 1.5 - 1, np.full(12, 4.0)])

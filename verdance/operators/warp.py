@@ -7,11 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdance.operators.graph import stored
 from verdance.operators.spatial import nearest
 from verdance.operators.vector import RINGS, centroid
 
-#: Control pairs that a spline is solved for at most: the system is dense, 8 * n * n bytes on the driver.
+#: Different control pairs that a spline is solved for at most: the system is dense, 8 * n * n bytes on the driver.
 MOST_PAIRS = 5000
+#: Decimals to which sources must differ: those computed twice are the same point.
+DIGITS = 7
+#: Distances that a task holds at a time.
+AT_ONCE = 2_000_000
 
 
 def _kernel(d2: np.ndarray) -> np.ndarray:
@@ -33,21 +38,33 @@ class Spline:
         p = np.hstack([np.ones((n, 1)), s])
         k = _kernel(((s[:, None, :] - s[None, :, :]) ** 2).sum(axis=2))
         system = np.block([[k, p], [p.T, np.zeros((3, 3))]])
-        self.weights = np.linalg.lstsq(system, np.vstack([target, np.zeros((3, 2))]), rcond=None)[0]
+        right = np.vstack([target, np.zeros((3, 2))])
+        # points on one line leave the plane open: the least solution then
+        flat = np.linalg.matrix_rank(p) < 3
+        self.weights = np.linalg.lstsq(system, right, rcond=None)[0] if flat else np.linalg.solve(system, right)
 
     def __call__(self, points: np.ndarray) -> np.ndarray:
-        s, q = (self.source - self.shift) / self.scale, (points - self.shift) / self.scale
-        d2 = ((q[:, None, :] - s[None, :, :]) ** 2).sum(axis=2)
-        return np.hstack([_kernel(d2), np.ones((len(q), 1)), q]) @ self.weights
+        s, every = (self.source - self.shift) / self.scale, (points - self.shift) / self.scale
+        step, out = max(1, AT_ONCE // len(s)), [np.empty((0, 2))]
+        for k in range(0, len(every), step):
+            q = every[k : k + step]
+            d2 = (q[:, None, 0] - s[None, :, 0]) ** 2 + (q[:, None, 1] - s[None, :, 1]) ** 2
+            out.append(_kernel(d2) @ self.weights[:-3] + np.hstack([np.ones((len(q), 1)), q]) @ self.weights[-3:])
+        return np.concatenate(out)
 
 
 def fit_spline(pairs: DataFrame, sample: int | None = None, seed: int = 0) -> Spline:
-    """From all ``pairs`` (sx, sy, tx, ty), at most MOST_PAIRS of them; with more, an error unless ``sample`` says how many to draw."""
-    order = [F.xxhash64(F.lit(seed), "sx", "sy", "tx", "ty"), "sx", "sy", "tx", "ty"]
+    """From all ``pairs`` (sx, sy, tx, ty) with different sources (to DIGITS decimals), of copies of a source the first by a hash.
+
+    At most MOST_PAIRS of them; with more, an error unless ``sample`` says how many to draw.
+    """
+    given = pairs.select(*[F.col(c).cast("double") for c in ("sx", "sy", "tx", "ty")]).dropna()
+    first = F.struct(F.xxhash64(F.lit(seed), "sx", "sy", "tx", "ty").alias("h"), "sx", "sy", "tx", "ty")
+    one = given.groupBy(F.round("sx", DIGITS), F.round("sy", DIGITS)).agg(F.min(first).alias("t")).select("t.*")
     most = MOST_PAIRS if sample is None else min(sample, MOST_PAIRS)
-    rows = pairs.select(*[F.col(c).cast("double") for c in ("sx", "sy", "tx", "ty")]).dropna().orderBy(*order).limit(most + (sample is None)).toPandas().to_numpy()
+    rows = one.orderBy("h", "sx", "sy").limit(most + (sample is None)).select("sx", "sy", "tx", "ty").toPandas().to_numpy()
     if len(rows) > most:
-        raise ValueError(f"more than {MOST_PAIRS} control pairs: name a sample")
+        raise ValueError(f"more than {MOST_PAIRS} control pairs with different sources: name a sample")
     return Spline(rows[:, :2], rows[:, 2:])
 
 
@@ -67,14 +84,10 @@ def warp_polygons(polygons: DataFrame, spline: Spline, first_ring_only: bool = F
 
     @F.pandas_udf(RINGS)
     def moved(rings: pd.Series) -> pd.Series:
-        def one(rs):
-            out = []
-            for r in rs[:1] if first_ring_only else rs:
-                to = spline(np.array([(q["x"], q["y"]) for q in r["pts"]]))
-                out.append({"part": r["part"], "hole": r["hole"], "pts": [{"x": float(x), "y": float(y)} for x, y in to]})
-            return out
-
-        return pd.Series([one(r) for r in rings])
+        kept = [list(rs[:1] if first_ring_only else rs) for rs in rings]
+        corners = [(q["x"], q["y"]) for rs in kept for r in rs for q in r["pts"]]
+        to = iter(spline(np.array(corners, float).reshape(-1, 2)).tolist())
+        return pd.Series([[{"part": r["part"], "hole": r["hole"], "pts": [dict(zip("xy", next(to), strict=True)) for _ in r["pts"]]} for r in rs] for rs in kept])
 
     return polygons.withColumn("rings", moved("rings"))
 
@@ -100,7 +113,8 @@ def shift_polygons_to_points(polygons: DataFrame, targets: DataFrame, sources: D
     if None; ``sample``: of the control pairs, all if None.
     """
     if sources is None:
-        sources = polygons.select(key, centroid(F.col("rings")).alias("c")).select(key, "c.x", "c.y")
+        # written, so that each centre is worked out once
+        sources = stored(polygons.select(key, centroid(F.col("rings")).alias("c")), "centres").select(key, "c.x", "c.y")
     if box:
         inside = lambda df: df.filter(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
         sources, targets = inside(sources), inside(targets)
