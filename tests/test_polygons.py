@@ -125,3 +125,21 @@ def test_overlay_of_slanted_polygons(spark):
     for k in range(7):
         assert (less.get(k, np.zeros(1500, bool)) == (held[k] & ~other)).all() and (common.get(k, np.zeros(1500, bool)) == (held[k] & other)).all()
     assert overlay.union(a.limit(0), "grp", 16.0).count() == 0 and overlay.combine(a, b.limit(0), "intersection", "fid", 16.0).count() == 0
+
+
+def test_many_polygons_in_one_place_leave_a_short_outline():
+    rng = np.random.default_rng(8)
+
+    def square(x, y, half):
+        p = np.array([(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half), (x - half, y - half)], float)
+        return np.hstack([p[:-1], p[1:]])
+
+    at = [(*rng.integers(0, 100, 2), int(rng.integers(5, 30))) for _ in range(300)]
+    sides = overlay.dissolved([square(*q) for q in at * 3], 7)
+    area = (sides[:, 0] * sides[:, 3] - sides[:, 2] * sides[:, 1]).sum() / 2
+    cells = {(i, j) for x, y, h in at for i in range(x - h, x + h) for j in range(y - h, y + h)}
+    assert area == len(cells) and len(sides) < 300
+    # drawn into a box, the same sides hold what lies inside it
+    part = overlay.within_box(sides, (10.5, 130.0, -20.0, 40.0), 7)
+    inside_box = sum((min(i + 1, 130) - max(i, 10.5)) * (min(j + 1, 40) - max(j, -20)) for i, j in cells if 10 <= i < 130 and -20 <= j < 40)
+    assert abs((part[:, 0] * part[:, 3] - part[:, 2] * part[:, 1]).sum() / 2 - inside_box) < 1e-6

@@ -99,15 +99,22 @@ def _inside(x: Column, y: Column) -> Column:
     return F.col("inner") | ((F.col("odd").cast("int") + turns + crossed) % 2 == 1)
 
 
-def points_in_polygons(points: DataFrame, cells: DataFrame, key: str = "fid", zone: str = "zone", x: str = "x", y: str = "y") -> DataFrame:
+def points_in_polygons(points: DataFrame, cells: DataFrame, key: str = "fid", zone: str = "zone", x: str = "x", y: str = "y", same: tuple[str, str] | None = None) -> DataFrame:
     """``points`` with the ``key`` of each polygon that they lie in as ``zone``; ``cells``: polygon_cover(), already written.
 
-    A point comes once for each polygon around it, and not at all where there is none. Points in many in one place are a hot key of
-    a join with few rows on the other side, which adaptive execution splits.
+    A point comes once for each polygon around it, and not at all where there is none. Places are looked up, not points: those in
+    one place share the test, and get its polygons by a join on the place, which adaptive execution splits where it is hot.
+    ``same``: a column of the points and a field of the polygons' key that must agree.
     """
     powers = sorted(r.power for r in cells.select("power").distinct().collect())  # as many as there are sizes of cells
-    at = [F.struct(F.lit(p).alias("power"), F.floor(F.col(x) * 2.0**-p).alias("ci"), F.floor(F.col(y) * 2.0**-p).alias("cj")) for p in powers]
-    placed = points.select(F.struct(*points.columns).alias("_point"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*at) if at else F.expr("cast(array() as array<struct<power:int,ci:long,cj:long>>)")).alias("_at"))
-    placed = placed.select("_point", "_x", "_y", F.col("_at.power").alias("power"), F.col("_at.ci").alias("ci"), F.col("_at.cj").alias("cj"))
-    met = placed.join(cells.withColumnRenamed(key, "_zone"), ["power", "ci", "cj"])
-    return met.filter(_inside(F.col("_x"), F.col("_y"))).select("_point.*", F.col("_zone").alias(zone))
+    at = [F.struct(F.lit(p).alias("power"), F.floor(F.col("_x") * 2.0**-p).alias("ci"), F.floor(F.col("_y") * 2.0**-p).alias("cj")) for p in powers]
+    place = ["_x", "_y", *(["_same"] if same else [])]
+    whole = points.select(F.struct(*points.columns).alias("_point"), F.col(x).alias("_x"), F.col(y).alias("_y"), *([F.col(same[0]).alias("_same")] if same else []))
+    placed = whole.select(*place).distinct().withColumn("_at", F.explode(F.array(*at) if at else F.expr("cast(array() as array<struct<power:int,ci:long,cj:long>>)")))
+    placed = placed.select(*place, F.col("_at.power").alias("power"), F.col("_at.ci").alias("ci"), F.col("_at.cj").alias("cj"))
+    named = cells.withColumnRenamed(key, "_zone")
+    meet = ["power", "ci", "cj"]
+    if same:
+        named, meet = named.withColumn("_same", F.col(f"_zone.{same[1]}")), [*meet, "_same"]
+    met = placed.join(named, meet).filter(_inside(F.col("_x"), F.col("_y"))).select(*place, "_zone")
+    return whole.join(met, place).select("_point.*", F.col("_zone").alias(zone))

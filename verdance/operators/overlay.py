@@ -6,6 +6,9 @@ operation wind around the points just left and right of it, and stays in the res
 borders the results of both tiles run in opposite directions and cancel. What is left is linked to rings as the outlines of cells are,
 over tiles and of any length.
 
+Of a tile's polygons on one side of the operation the union is formed first, by a few at a time, so that the other side meets its
+outline only, however many overlap.
+
 Coordinates are rounded to a fixed grid (``digits`` decimals), so that points computed twice are the same point.
 """
 
@@ -23,6 +26,10 @@ from verdance.operators.rings import linked_rings, polygons_of
 from verdance.operators.vector import clip_ring, with_bounds
 
 DIGITS = 7
+#: Polygons that are put together at once, and results for different polygons that a task remembers.
+BATCH, KNOWN = 16, 10_000
+#: Pairs of sides that are looked at together.
+PAIRS = 200_000
 OPERATIONS = {"union": lambda a, b: (a > 0) | (b > 0), "intersection": lambda a, b: (a > 0) & (b > 0), "difference": lambda a, b: (a > 0) & ~(b > 0)}
 SIDES = "x0 double, y0 double, x1 double, y1 double"
 
@@ -39,46 +46,55 @@ def split(p: np.ndarray, digits: int) -> np.ndarray:
     d = b - a
     low, high = np.minimum(a, b), np.maximum(a, b)
     near = 10.0**-digits
-    out = []
     order = np.argsort(low[:, 0], kind="stable")
-    ends = np.searchsorted(low[order, 0], high[:, 0] + near, side="right")
-    cuts: list[list[np.ndarray]] = [[] for _ in p]
+    ends = np.searchsorted(low[order, 0], high[order, 0] + near, side="right")
+    many = np.maximum(ends - np.arange(len(p)) - 1, 0)
+    which, where = [np.arange(0)], [np.empty((0, 2))]
 
     def on(k: np.ndarray, q: np.ndarray) -> None:
         """Points q that lie on sides k cut them."""
         length = np.einsum("ij,ij->i", d[k], d[k])
         t = np.clip(np.einsum("ij,ij->i", q - a[k], d[k]) / length, 0, 1)
         off = np.abs(q - a[k] - t[:, None] * d[k]).max(axis=1)
-        for m in np.flatnonzero((off <= near) & (t > 0) & (t < 1)):
-            cuts[k[m]].append(q[m])
-
-    place = np.empty(len(p), int)
-    place[order] = np.arange(len(p))
-    for k in order:
-        m = order[place[k] + 1 : ends[k]]
-        m = m[(low[m, 1] <= high[k, 1] + near) & (high[m, 1] >= low[k, 1] - near)]
-        if not len(m):
-            continue
-        own = np.full(len(m), k)
+        some = (off <= near) & (t > 0) & (t < 1)
+        which.append(k[some])
+        where.append(q[some])
+
+    # pairs of sides whose bounds meet, some at a time
+    begin, total = 0, np.concatenate([[0], np.cumsum(many)])
+    while begin < len(p):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
+        n = many[begin:end]
+        k = np.repeat(order[begin:end], n)
+        m = order[np.arange(len(k)) - np.repeat(total[begin:end] - total[begin], n) + np.repeat(np.arange(begin, end) + 1, n)]
+        begin = end
+        meet = (low[m, 1] <= high[k, 1] + near) & (high[m, 1] >= low[k, 1] - near)
+        k, m = k[meet], m[meet]
         for q in (a, b):
-            on(own, q[m])
-            on(m, np.broadcast_to(q[k], (len(m), 2)))
+            on(k, q[m])
+            on(m, q[k])
         cross = d[k, 0] * d[m, 1] - d[k, 1] * d[m, 0]
         slanted = cross != 0
-        m, cross, w = m[slanted], cross[slanted], (a[m] - a[k])[slanted]
+        k, m, cross = k[slanted], m[slanted], cross[slanted]
+        w = a[m] - a[k]
         t = (w[:, 0] * d[m, 1] - w[:, 1] * d[m, 0]) / cross
         u = (w[:, 0] * d[k, 1] - w[:, 1] * d[k, 0]) / cross
         meet = (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        for j, s in zip(m[meet], t[meet], strict=True):
-            q = np.round(a[k] + s * d[k], digits)
-            cuts[k].append(q)
-            cuts[j].append(q)
-    for k in range(len(p)):
-        pts = np.array([a[k], *sorted(cuts[k], key=lambda q: float((q - a[k]) @ d[k])), b[k]])
-        kept = np.concatenate([[True], (np.diff(pts, axis=0) != 0).any(axis=1)])
-        pts = pts[kept]
-        out.append(np.hstack([pts[:-1], pts[1:], np.repeat(p[k : k + 1, 4:], len(pts) - 1, axis=0)]))
-    return np.concatenate(out) if out else p
+        k, m = k[meet], m[meet]
+        q = np.round(a[k] + t[meet, None] * d[k], digits)
+        which += [k, m]
+        where += [q, q]
+    # each side's ends and cuts in order, copies left out
+    every = np.arange(len(p))
+    k, q = np.concatenate([every, *which, every]), np.concatenate([a, *where, b])
+    along = np.einsum("ij,ij->i", q - a[k], d[k])
+    along[: len(p)], along[len(k) - len(p) :] = -np.inf, np.inf
+    order = np.lexsort((along, k))
+    k, q = k[order], q[order]
+    kept = np.concatenate([[True], (k[1:] != k[:-1]) | (q[1:] != q[:-1]).any(axis=1)])[: len(k)]
+    k, q = k[kept], q[kept]
+    one = k[1:] == k[:-1]
+    return np.hstack([q[:-1][one], q[1:][one], p[k[:-1][one], 4:]])
 
 
 def windings(pieces: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +109,17 @@ def windings(pieces: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     for which, (px, py, ax, ay, bx, by) in ((steep, (mx, my, x0, y0, x1, y1)), (~steep, (my, -mx, y0, -x0, y1, -x1))):
         # for flat pieces the plane is turned by a right angle, so that a ray to the right crosses the piece
         up, down = (ay < by), (ay > by)
-        for k in np.flatnonzero(which):
-            hit = (ay > py[k]) != (by > py[k])
-            hit[k] = False
-            h = np.flatnonzero(hit)
-            x = ax[h] + (py[k] - ay[h]) * (bx[h] - ax[h]) / (by[h] - ay[h])
-            h = h[x > px[k]]
-            right_of = (weights[h] * (up[h].astype(int) - down[h].astype(int))[:, None]).sum(axis=0)
+        turn = weights * (up.astype(int) - down.astype(int))[:, None]
+        some = np.flatnonzero(which)
+        step = max(1, PAIRS // max(len(pieces), 1))
+        for k in (some[n : n + step] for n in range(0, len(some), step)):
+            own = py[k][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x = ax + (own - ay) * (bx - ax) / (by - ay)
+            hit = ((ay > own) != (by > own)) & (x > px[k][:, None])
+            hit[np.arange(len(k)), k] = False
             # going up, a piece has its left on the left: the ray from there crosses the piece as well
-            left[k] = right_of + (weights[k] if up[k] else 0)
+            left[k] = hit.astype(float) @ turn + np.where(up[k][:, None], weights[k], 0)
     return left, left - weights
 
 
@@ -123,8 +141,61 @@ def outline(sides: np.ndarray, operation: str, digits: int = DIGITS) -> np.ndarr
     return np.concatenate([which[a & ~b], which[b & ~a][:, [2, 3, 0, 1]]])
 
 
+def _net(a: np.ndarray, b: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(who, from, to): what is left of each one's directed intervals of a line where those that run both ways cancel."""
+    way = np.sign(b - a)
+    who, at, step = np.tile(who, 2), np.concatenate([np.minimum(a, b), np.maximum(a, b)]), np.concatenate([way, -way])
+    order = np.lexsort((at, who))
+    who, at, step = who[order], at[order], step[order]
+    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (at[1:] != at[:-1])])[: len(who)])
+    # each one's steps sum up to 0
+    who, at, way = who[first], at[first], np.cumsum(np.add.reduceat(step, first)) if len(first) else step
+    some = np.flatnonzero(way)
+    return who[some], np.where(way[some] > 0, at[some], at[some + 1]), np.where(way[some] > 0, at[some + 1], at[some])
+
+
+def within_box(sides: np.ndarray, box: tuple[float, float, float, float], digits: int) -> np.ndarray:
+    """Closed sides drawn into a box (xmin, xmax, ymin, ymax): what lies outside goes to its border, where it cancels.
+
+    Inside the box they wind around each point as before.
+    """
+    xmin, xmax, ymin, ymax = box
+    a, d = sides[:, :2], sides[:, 2:4] - sides[:, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.column_stack([(xmin - a[:, 0]) / d[:, 0], (xmax - a[:, 0]) / d[:, 0], (ymin - a[:, 1]) / d[:, 1], (ymax - a[:, 1]) / d[:, 1]])
+    t = np.sort(np.clip(np.nan_to_num(t, nan=0.0), 0, 1), axis=1)[:, :, None]
+    pts = np.round(np.concatenate([a[:, None], a[:, None] + t * d[:, None], sides[:, None, 2:4]], axis=1), digits)
+    pts = np.clip(pts, (xmin, ymin), (xmax, ymax))
+    p = np.concatenate([pts[:, :-1], pts[:, 1:]], axis=2).reshape(-1, 4)
+    p = p[(p[:, :2] != p[:, 2:4]).any(axis=1)]
+    out, left = [], np.ones(len(p), bool)
+    for axis, limit in ((0, xmin), (0, xmax), (1, ymin), (1, ymax)):
+        on = left & (p[:, axis] == limit) & (p[:, axis + 2] == limit)
+        left &= ~on
+        _, s, e = _net(p[on, 1 - axis], p[on, 3 - axis], np.zeros(on.sum(), int))
+        line = np.full(len(s), limit)
+        out.append(np.column_stack([line, s, line, e] if axis == 0 else [s, line, e, line]))
+    return np.concatenate([p[left], *out])
+
+
+def dissolved(polygons: list[np.ndarray], digits: int) -> np.ndarray:
+    """Directed sides of the union of polygons, each given by its sides.
+
+    A few that lie near each other are put together first, then the results two by two: where many overlap, what is left of
+    them is short, and sides that lie inside others meet few of them. Copies count once.
+    """
+    found = list({p.tobytes(): p for p in polygons if len(p)}.values())
+    found.sort(key=lambda p: (float(p[:, 0].min()), float(p[:, 1].min())))
+    size = BATCH
+    while True:
+        found = [outline(np.hstack([q, np.tile((1.0, 0.0), (len(q), 1))]), "union", digits) for q in (np.concatenate(found[k : k + size]) for k in range(0, len(found), size))]
+        size = 2
+        if len(found) <= 1:
+            return found[0] if found else np.empty((0, 4))
+
+
 def tiled(polygons: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
-    """(i, j, key, pts, hole): rings of ``polygons`` cut to the tiles that they touch."""
+    """(key, i, j, x, y): the rings of each polygon cut to the tiles that they touch."""
     cell = lambda c: F.floor(F.col(c) / tile)
     boxed = with_bounds(polygons.select(key, "rings")).filter("xmin is not null")
     spread = boxed.withColumn("i", F.explode(F.sequence(cell("xmin"), cell("xmax")))).withColumn("j", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
@@ -135,22 +206,34 @@ def tiled(polygons: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
             rows = []
             for k, (i, j, rings) in enumerate(zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)], strict=True)):
                 box = (i * tile, (i + 1) * tile, j * tile, (j + 1) * tile)
+                xs, ys = [], []
                 for r in rings:
                     pts = np.round(clip_ring([(round(q["x"], digits), round(q["y"], digits)) for q in r["pts"]], box), digits)
                     if len(pts) > 3:
                         pts = wound(pts, r["hole"])
-                        rows.append((k, i, j, pts[:, 0].tolist(), pts[:, 1].tolist()))
+                        xs.append(pts[:, 0].tolist())
+                        ys.append(pts[:, 1].tolist())
+                if xs:
+                    rows.append((k, i, j, xs, ys))
             k, i, j, x, y = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.record_batch([batch.column(0).take(pa.array(k, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], [key, "i", "j", "x", "y"])
+            yield pa.record_batch([batch.column(0).take(pa.array(k, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(x, pa.list_(pa.list_(pa.float64()))), pa.array(y, pa.list_(pa.list_(pa.float64())))], [key, "i", "j", "x", "y"])
 
-    return spread.select(key, "i", "j", "rings").mapInArrow(cut, f"`{key}` {kind}, i long, j long, x array<double>, y array<double>")
+    return spread.select(key, "i", "j", "rings").mapInArrow(cut, f"`{key}` {kind}, i long, j long, x array<array<double>>, y array<array<double>>")
 
 
-def _sides(pdf: pd.DataFrame, first: int, second: int) -> np.ndarray:
-    parts = [np.column_stack([x[:-1], y[:-1], x[1:], y[1:]]) for x, y in zip(map(np.asarray, pdf["x"]), map(np.asarray, pdf["y"]), strict=True)]
-    p = np.concatenate(parts) if parts else np.empty((0, 4))
-    p = p[(p[:, :2] != p[:, 2:4]).any(axis=1)]
-    return np.hstack([p, np.full((len(p), 1), first), np.full((len(p), 1), second)]).astype(float)
+def _spread(tiles: DataFrame, *by: str) -> DataFrame:
+    """Tiles over as many tasks as a shuffle has: a tile is few bytes and much work, so that adaptive execution would put all in one."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _sides(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """The sides of one polygon's rings."""
+    p = np.concatenate([np.column_stack([x[:-1], y[:-1], x[1:], y[1:]]) for x, y in zip(xs, ys, strict=True)])
+    return p[(p[:, :2] != p[:, 2:4]).any(axis=1)].astype(float)
+
+
+def _polygons(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [_sides(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
 
 
 def _merged(sides: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
@@ -163,22 +246,16 @@ def _merged(sides: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
     placed = border.withColumn("_line", F.when(F.col("_up"), x).otherwise(y)).withColumn("_tile", F.when(F.col("_up"), along((y + F.col("y1")) / 2)).otherwise(along((x + F.col("x1")) / 2)))
 
     def cancel(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One key's sides along one border of a tile: intervals that run one way only stay."""
-        up = bool(pdf["_up"].iloc[0])
-        a, b = (pdf["y0"], pdf["y1"]) if up else (pdf["x0"], pdf["x1"])
-        a, b = a.to_numpy(), b.to_numpy()
-        at = np.unique(np.concatenate([a, b]))
-        net = np.zeros(len(at))
-        np.add.at(net, np.searchsorted(at, np.minimum(a, b)), np.sign(b - a))
-        np.add.at(net, np.searchsorted(at, np.maximum(a, b)), -np.sign(b - a))
-        way = np.cumsum(net)[:-1]
-        some = np.flatnonzero(way)
-        s, e = np.where(way[some] > 0, at[some], at[some + 1]), np.where(way[some] > 0, at[some + 1], at[some])
-        line = np.full(len(some), pdf["_line"].iloc[0])
+        """All keys' sides along one border of a tile: of each key intervals that run one way only stay."""
+        up, line = bool(pdf["_up"].iloc[0]), float(pdf["_line"].iloc[0])
+        a, b = (pdf[c].to_numpy() for c in (("y0", "y1") if up else ("x0", "x1")))
+        codes, names = pd.factorize(pdf[key])
+        who, s, e = _net(a, b, codes)
+        line = np.full(len(s), line)
         ends = {"x0": line, "y0": s, "x1": line, "y1": e} if up else {"x0": s, "y0": line, "x1": e, "y1": line}
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(some), **ends})
+        return pd.DataFrame({key: names.take(who), **ends})
 
-    kept = placed.groupBy(key, "_up", "_line", "_tile").applyInPandas(cancel, f"`{key}` {kind}, {SIDES}")
+    kept = placed.groupBy("_up", "_line", "_tile").applyInPandas(cancel, f"`{key}` {kind}, {SIDES}")
     return polygons_of(linked_rings(sides.filter(~(upright | level)).unionByName(kept), key, tile), key)
 
 
@@ -190,10 +267,11 @@ def union(polygons: DataFrame, by: str, tile: float, digits: int = DIGITS) -> Da
     kind = polygons.schema[by].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = outline(_sides(pdf, 1, 0), "union", digits)
+        found = dissolved(_polygons(pdf), digits)
         return pd.DataFrame({by: [pdf[by].iloc[0]] * len(found), **dict(zip(("x0", "y0", "x1", "y1"), found.T, strict=True))})
 
-    sides = tiled(polygons.filter(F.col(by).isNotNull()), by, tile, digits).groupBy(by, "i", "j").applyInPandas(one, f"`{by}` {kind}, {SIDES}")
+    sides = tiled(polygons.filter(F.col(by).isNotNull()), by, tile, digits).dropDuplicates()
+    sides = _spread(sides, by, "i", "j").groupBy(by, "i", "j").applyInPandas(one, f"`{by}` {kind}, {SIDES}")
     return _merged(sides, by, tile, digits)
 
 
@@ -204,24 +282,26 @@ def combine(polygons: DataFrame, others: DataFrame, operation: str, key: str, ti
     """
     kind = polygons.schema[key].dataType.simpleString()
     cut = tiled(polygons.filter(F.col(key).isNotNull()), key, tile, digits)
-    against = tiled(others.select(F.lit(0).alias("_other"), "rings"), "_other", tile, digits).drop("_other")
+    against = tiled(others.select(F.lit(0).alias("_other"), "rings"), "_other", tile, digits).drop("_other").dropDuplicates()
 
     def one(place: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({c: [] for c in (key, "x0", "y0", "x1", "y1")})]
-        rings = [(np.asarray(x), np.asarray(y)) for x, y in zip(theirs["x"], theirs["y"], strict=True)]
-        bounds = np.array([(x.min(), x.max(), y.min(), y.max()) for x, y in rings]).reshape(-1, 4)
-        for name, rows in mine.groupby(key):
-            first = _sides(rows, 1, 0)
-            ends = np.concatenate([first[:, :2], first[:, 2:4]])
-            (x0, y0), (x1, y1) = ends.min(axis=0, initial=np.inf), ends.max(axis=0, initial=-np.inf)
-            # of the others only what lies within the polygon's own bounds
-            some = np.flatnonzero((bounds[:, 0] < x1) & (bounds[:, 1] > x0) & (bounds[:, 2] < y1) & (bounds[:, 3] > y0))
-            near = [np.round(clip_ring(list(zip(*rings[k], strict=True)), (x0, x1, y0, y1)), digits) for k in some]
-            near = [q for q in near if len(q) > 3]
-            second = _sides(pd.DataFrame({"x": [q[:, 0] for q in near], "y": [q[:, 1] for q in near]}), 0, 1)
-            p = outline(np.concatenate([first, second]), operation, digits)
-            found.append(pd.DataFrame({key: [name] * len(p), **dict(zip(("x0", "y0", "x1", "y1"), p.T, strict=True))}))
-        return pd.concat(found)
-
-    sides = cut.groupBy("i", "j").cogroup(against.groupBy("i", "j")).applyInPandas(one, f"`{key}` {kind}, {SIDES}")
+        cover, known = dissolved(_polygons(theirs), digits), {}
+        names, found = [], []
+        for name, some in mine.groupby(key).indices.items():
+            own = np.concatenate([_sides(mine["x"].iloc[k], mine["y"].iloc[k]) for k in some])
+            same = own.tobytes()
+            if same not in known:  # copies of a polygon have the same rest
+                if len(known) >= KNOWN:
+                    known.clear()
+                ends = np.concatenate([own[:, :2], own[:, 2:4]])
+                (x0, y0), (x1, y1) = ends.min(axis=0), ends.max(axis=0)
+                # of the others only what lies within the polygon's own bounds
+                near = within_box(cover, (x0, x1, y0, y1), digits)
+                known[same] = outline(np.concatenate([np.hstack([q, np.tile(w, (len(q), 1))]) for q, w in ((own, (1.0, 0.0)), (near, (0.0, 1.0)))]), operation, digits)
+            found.append(known[same])
+            names += [name] * len(known[same])
+        p = np.concatenate([np.empty((0, 4)), *found])
+        return pd.DataFrame({key: names, **dict(zip(("x0", "y0", "x1", "y1"), p.T, strict=True))})
+
+    sides = _spread(cut, "i", "j").groupBy("i", "j").cogroup(_spread(against, "i", "j").groupBy("i", "j")).applyInPandas(one, f"`{key}` {kind}, {SIDES}")
     return _merged(sides, key, tile, digits)

@@ -185,7 +185,7 @@ def polygons_of(rings: DataFrame, key: str) -> DataFrame:
         cells = stored(polygon_cover(with_holes.select(F.struct(F.col(key).alias("key"), "ring", "area").alias("shell"), shell.alias("rings")), "shell"), "shell-cover")
         a, b = F.element_at("pts", 1), F.element_at("pts", 2)
         inside = holes.select("ring", F.col(key).alias("key"), ((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
-        around = points_in_polygons(inside, cells, "shell").filter("zone.key = key")
+        around = points_in_polygons(inside, cells, "shell", same=("key", "key"))
         home = home.unionByName(around.groupBy("ring").agg(F.min_by("zone.ring", F.struct("zone.area", "zone.ring")).alias("home")))
     order = Window.partitionBy(key).orderBy("low", "ring")
     parts = outer.select(key, "ring", low.alias("low")).withColumn("part", F.row_number().over(order)).select(F.col("ring").alias("home"), "part")
