@@ -195,7 +195,7 @@ def dissolved(polygons: list[np.ndarray], digits: int) -> np.ndarray:
 
 
 def tiled(polygons: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
-    """(key, i, j, x, y): the rings of each polygon cut to the tiles that they touch."""
+    """(key, i, j, x, y, size): the rings of each polygon cut to the tiles that they touch, one after the other, and their sizes."""
     cell = lambda c: F.floor(F.col(c) / tile)
     boxed = with_bounds(polygons.select(key, "rings")).filter("xmin is not null")
     spread = boxed.withColumn("i", F.explode(F.sequence(cell("xmin"), cell("xmax")))).withColumn("j", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
@@ -206,19 +206,20 @@ def tiled(polygons: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
             rows = []
             for k, (i, j, rings) in enumerate(zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)], strict=True)):
                 box = (i * tile, (i + 1) * tile, j * tile, (j + 1) * tile)
-                xs, ys = [], []
+                xs, ys, size = [], [], []
                 for r in rings:
                     pts = np.round(clip_ring([(round(q["x"], digits), round(q["y"], digits)) for q in r["pts"]], box), digits)
                     if len(pts) > 3:
                         pts = wound(pts, r["hole"])
-                        xs.append(pts[:, 0].tolist())
-                        ys.append(pts[:, 1].tolist())
+                        xs += pts[:, 0].tolist()
+                        ys += pts[:, 1].tolist()
+                        size.append(len(pts))
                 if xs:
-                    rows.append((k, i, j, xs, ys))
-            k, i, j, x, y = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.record_batch([batch.column(0).take(pa.array(k, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(x, pa.list_(pa.list_(pa.float64()))), pa.array(y, pa.list_(pa.list_(pa.float64())))], [key, "i", "j", "x", "y"])
+                    rows.append((k, i, j, xs, ys, size))
+            k, i, j, x, y, size = zip(*rows, strict=True) if rows else ([],) * 6
+            yield pa.record_batch([batch.column(0).take(pa.array(k, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64())), pa.array(size, pa.list_(pa.int32()))], [key, "i", "j", "x", "y", "size"])
 
-    return spread.select(key, "i", "j", "rings").mapInArrow(cut, f"`{key}` {kind}, i long, j long, x array<array<double>>, y array<array<double>>")
+    return spread.select(key, "i", "j", "rings").mapInArrow(cut, f"`{key}` {kind}, i long, j long, x array<double>, y array<double>, size array<int>")
 
 
 def _spread(tiles: DataFrame, *by: str) -> DataFrame:
@@ -226,14 +227,16 @@ def _spread(tiles: DataFrame, *by: str) -> DataFrame:
     return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _sides(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+def _sides(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The sides of one polygon's rings."""
-    p = np.concatenate([np.column_stack([x[:-1], y[:-1], x[1:], y[1:]]) for x, y in zip(xs, ys, strict=True)])
-    return p[(p[:, :2] != p[:, 2:4]).any(axis=1)].astype(float)
+    p = np.column_stack([x[:-1], y[:-1], x[1:], y[1:]]).astype(float)
+    inner = np.ones(len(p), bool)
+    inner[np.cumsum(size)[:-1] - 1] = False  # from the end of a ring to the next one
+    return p[inner & (p[:, :2] != p[:, 2:4]).any(axis=1)]
 
 
 def _polygons(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [_sides(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+    return [_sides(*rings) for rings in zip(pdf["x"], pdf["y"], pdf["size"], strict=True)]
 
 
 def _merged(sides: DataFrame, key: str, tile: float, digits: int) -> DataFrame:
@@ -288,7 +291,7 @@ def combine(polygons: DataFrame, others: DataFrame, operation: str, key: str, ti
         cover, known = dissolved(_polygons(theirs), digits), {}
         names, found = [], []
         for name, some in mine.groupby(key).indices.items():
-            own = np.concatenate([_sides(mine["x"].iloc[k], mine["y"].iloc[k]) for k in some])
+            own = np.concatenate(_polygons(mine.iloc[some]))
             same = own.tobytes()
             if same not in known:  # copies of a polygon have the same rest
                 if len(known) >= KNOWN:
