@@ -51,3 +51,10 @@ def test_entry_points(spark):
 
     assert __spark_entry__.entry(spark).columns == ["fid", "b800", "b670", "ndvi"]
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+
+
+def test_neighbours8_keeps_every_pair(spark):
+    from verdance.plans import space_queries
+
+    pairs = space_queries.neighbours8(spark, "/root/testdata/sf0.001")
+    assert pairs.columns == ["cell", "neighbour", "v"] and pairs.count() == 48 * 48 * 8 + 4 * 48 * 5 + 4 * 3

@@ -36,19 +36,20 @@ def proximity(spark, sf_dir: str) -> DataFrame:
     return around.select("fid", "place", F.round("dist", 6).alias("dist"), (F.col("r") + F.col("i")).alias("row"), (F.col("c") + F.col("j")).alias("col")).join(cells, ["row", "col"]).select("fid", "place", "dist", "v")
 
 
-def _neighbour_sums(spark, sf_dir: str, diagonals: bool) -> DataFrame:
+def _neighbour_values(spark, sf_dir: str, diagonals: bool) -> DataFrame:
     cells = fixtures.grid(spark, sf_dir).select("cell", "v")
     values = cells.select(F.col("cell").alias("neighbour"), "v")
-    return grid.neighbours(cells.select("cell"), 50, 50, diagonals).join(values, "neighbour").groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    return grid.neighbours(cells.select("cell"), 50, 50, diagonals).join(values, "neighbour").select("cell", "neighbour", "v")
 
 
 def neighbours8(spark, sf_dir: str) -> DataFrame:
-    """Each cell's neighbours, corners included: their number and the sum of their values."""
-    return _neighbour_sums(spark, sf_dir, True)
+    """Each cell with each of its neighbours, corners included, and the neighbour's value."""
+    return _neighbour_values(spark, sf_dir, True)
 
 
 def neighbours4(spark, sf_dir: str) -> DataFrame:
-    return _neighbour_sums(spark, sf_dir, False)
+    """Each cell's neighbours that share a side: their number and the sum of their values."""
+    return _neighbour_values(spark, sf_dir, False).groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
 def odd_grid(spark, sf_dir: str) -> DataFrame:
@@ -322,8 +323,8 @@ c AS (SELECT i + 1 AS pixnr, i % 11 - 5 AS di, i // 11 - 4 AS dj, sqrt(CAST((i %
 w AS (SELECT *, row_number() OVER (ORDER BY dist, pixnr) AS place FROM c),
 p AS (SELECT fid, CAST(least(floor((1000 - y) / 20), 49) AS BIGINT) AS r, CAST(least(floor(x / 20), 49) AS BIGINT) AS c FROM b)
 SELECT fid, place, round(dist, 6) AS dist, v FROM p, w JOIN grid ON row = r + di AND col = p.c + dj""",
-    **{f"neighbours{n}": f"""WITH {GRID} SELECT p.cell, count(*) AS n, CAST(sum(q.v) AS BIGINT) AS v FROM grid p JOIN grid q ON abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1 AND p.cell <> q.cell AND {rule} GROUP BY p.cell"""
-       for n, rule in ((8, "true"), (4, "(p.row = q.row OR p.col = q.col)"))},
+    "neighbours8": f"""WITH {GRID} SELECT p.cell, q.cell AS neighbour, q.v FROM grid p JOIN grid q ON abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1 AND p.cell <> q.cell""",
+    "neighbours4": f"""WITH {GRID} SELECT p.cell, count(*) AS n, CAST(sum(q.v) AS BIGINT) AS v FROM grid p JOIN grid q ON abs(p.row - q.row) <= 1 AND abs(p.col - q.col) <= 1 AND p.cell <> q.cell AND (p.row = q.row OR p.col = q.col) GROUP BY p.cell""",
     "odd_grid": f"WITH {GRID} SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS v, CAST(55 AS BIGINT) AS w, CAST(55 AS BIGINT) AS h FROM grid WHERE row < 49 AND col < 49",
     "n_neighbours": f"""WITH {POINTS_B}, r AS (SELECT p.fid, q.fid AS other, row_number() OVER (PARTITION BY p.fid ORDER BY {_D}, q.fid) AS k FROM b p JOIN b q ON p.fid <> q.fid)
 SELECT b.fid, b.x, b.y, max(CASE WHEN k = 1 THEN other END) AS IDneighb_1, max(CASE WHEN k = 2 THEN other END) AS IDneighb_2, max(CASE WHEN k = 3 THEN other END) AS IDneighb_3
