@@ -215,3 +215,51 @@ def test_bodies_follow_the_response(spark):
     done = revisits.resolve(spark.createDataFrame(rows, CAPTURES))
     out = revisits.with_bodies(done, spark.createDataFrame([(1, "html")], "capture_id long, body string")).collect()
     assert {(r.capture_id, r.body) for r in out} == {(1, "html"), (2, "html")}
+
+
+def test_canonical_urls_with_aliases(spark):
+    urls = {
+        "http://www.A.example:80/x/?utm_source=f#top": ("a.example/x", "www"), "https://m.a.example/x?page=2&ref=y": ("a.example/x?page=2", "m"), "www.m.a.example": ("m.a.example", "www"), "a.example/www.b.c/": ("a.example/www.b.c", ""),
+        "http://m.com/a": ("m.com/a", ""), "http://www.com:8080/a.b": ("www.com:8080/a.b", ""), "m.co.uk": ("m.co.uk", ""), "m.co.uk:80/a": ("m.co.uk/a", ""), "www.m.co.uk": ("m.co.uk", "www"), "m.localhost#a.b": ("m.localhost", ""), "mail.a.example": ("mail.a.example", ""),
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = df.select(revisits.canonical_url(F.col("u"), ("www", "m")), revisits.host_alias(F.col("u"), ("www", "m"))).collect()
+    assert [tuple(r) for r in got] == list(urls.values())
+
+
+def test_revisits_of_sites_with_several_hosts(spark):
+    rng = np.random.default_rng(9)
+    rows, of = [], {}
+    for k in range(500):
+        host, page = ["", "www.", "m."][int(rng.integers(0, 3))], "hot" if k % 3 == 0 else int(rng.integers(0, 30))
+        headers = {"etag": "abcd"[int(rng.integers(0, 4))]} if rng.random() < 0.6 else {"last-modified": f"m{int(rng.integers(0, 3))}"}
+        rows.append((k, f"{host}site.example/{page}", int(rng.integers(0, 200)), bool(rng.random() < 0.6), headers))
+        of[k] = (host, page)
+    want = {}
+    for cid, _, ts, revisit, headers in rows:
+        last = {}
+        for r in sorted(rows, key=lambda r: (r[2], r[0])):
+            if not r[3] and of[r[0]][1] == of[cid][1] and (r[2], r[0]) < (ts, cid):
+                last[of[r[0]][0]] = r
+        same = [r for r in last.values() if any(headers.get(h) is not None and headers.get(h) == r[4].get(h) for h in ("etag", "last-modified"))]
+        best = max(same, key=lambda r: (of[r[0]][0] == of[cid][0], r[2], r[0]), default=None)
+        want[cid] = ("full", cid) if not revisit else ("resolved", best[0]) if best else ("mismatch" if last else "orphan", None)
+    got = revisits.resolve(spark.createDataFrame(rows, CAPTURES).repartition(5), revisits.ALIASES).collect()
+    assert {r.capture_id: (r.status, r.response_id) for r in got} == want
+    assert any(s == "resolved" and of[r][0] != of[c][0] for c, (s, r) in want.items())
+
+
+def test_op3_finds_responses_of_other_hosts(spark, tmp_path):
+    import duckdb
+
+    urls = {12: "http://m.shop.example/a", 20: "http://shop.example/a", 15: "https://www.shop.example/b", 21: "https://m.shop.example/b", 18: "http://m.com/a", 22: "http://www.com/a", 11: "http://www.shop.example/a#top"}
+    html = {11: "of its own host"}
+    spark.createDataFrame([(i, u, html.get(i, "same")) for i, u in urls.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in revisits.op3_revisits(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(revisits.ORACLE).fetchall())
+    found = {r[0]: (r[2], r[3]) for r in got}
+    # a page without a response takes that of another host of its site, one with a response its own; m.com is no www.com
+    assert found[12 * 4 + 1] == ("resolved", 20 * 4) and found[15 * 4 + 1] == ("resolved", 21 * 4) and found[18 * 4 + 1] == ("orphan", None)
+    assert found[11 * 4 + 1] == ("resolved", 11 * 4)

@@ -4,10 +4,14 @@ A revisit record says that a page had not changed since an earlier capture. Each
 earlier full response of its canonical URL; the match holds if the validators agree (weak comparison of the ETag, or else
 equality of Last-Modified), and then the stored response's headers are updated by those that the revisit may change.
 
+A site may answer under several host names. The caller names the first labels that don't make another site (``aliases``);
+a page then has the latest response of each of its hosts, and a revisit takes that of its own host if the validators agree,
+or else the latest one of the other hosts with which they agree. So sites with bodies of their own for each host lose nothing.
+
 The as-of join is a distributed "last value so far": captures are range-partitioned by (URL, time, id) and keep the number
-of their range, each (URL, range) finds its last full response, those summaries (at most one for each URL and range)
-carry it over to the ranges that follow, and inside a range a window fills in the rest. A URL with a third of all captures
-so spreads over as many tasks as it has ranges.
+of their range, each (URL, range) finds its last full response (of each alias), those summaries (at most one for each URL
+and range) carry it over to the ranges that follow, and inside a range a window fills in the rest. A URL with a third of
+all captures so spreads over as many tasks as it has ranges.
 
 Edge cases: captures with a null URL, time or id can't be placed: no revisit is resolved to them, revisits among them are
 orphans and full responses stay full, with their own headers; a null is_revisit is an orphan; a full response at the
@@ -18,6 +22,9 @@ names, but for those that the result adds, which are replaced; an empty table gi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +34,37 @@ from verdance.llm.common import held, released, stored, table
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that don't change a page.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
+#: First labels of hosts that the query takes as other names of the site without them.
+ALIASES = ("www", "m")
+#: Labels under which countries register names: ``co.uk`` is nobody's site, so that ``m.co.uk`` is one of its own.
+SECOND_LEVEL = "ac|co|com|edu|gob|gov|go|gub|mil|ne|net|nom|or|org"
+
+
+def bare_url(url: Column) -> Column:
+    """A URL without scheme and fragment, its host in lower case."""
+    bare = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    bare = F.concat(F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_replace(bare, r"^[^/?#]*", ""))
+    return F.regexp_replace(bare, r"#.*$", "")
+
+
+def alias_pattern(aliases: Sequence[str]) -> str:
+    """An alias that begins a bare URL and leaves a registered name: two labels, and not only a country's second level."""
+    return rf"^({'|'.join(map(re.escape, aliases))})\.(?!(?:{SECOND_LEVEL})\.[a-z]{{2}}\.?(?:[:/?]|$))(?=[^./?:]+\.[^./?:])"
 
 
-def canonical_url(url: Column) -> Column:
+def host_alias(url: Column, aliases: Sequence[str]) -> Column:
+    """The one of ``aliases`` that canonical_url(url, aliases) takes away; empty if it takes none."""
+    return F.regexp_extract(bare_url(url), alias_pattern(aliases), 1) if aliases else F.lit("")
+
+
+def canonical_url(url: Column, aliases: Sequence[str] = ()) -> Column:
     """Scheme, default ports, fragment, tracking parameters and a last slash don't make another page.
 
     The host is in lower case and otherwise as it was: that of another name is another site, even where only ``www.`` or
-    ``m.`` differs. Path and query are as they were, since case tells pages apart there.
+    ``m.`` differs, unless the caller names such labels as ``aliases`` and a registered name is left without them. Path and
+    query are as they were, since case tells pages apart there.
     """
-    bare = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    bare = F.concat(F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_replace(bare, r"^[^/?#]*", ""))
-    bare = F.regexp_replace(bare, r"#.*$", "")
+    bare = F.regexp_replace(bare_url(url), alias_pattern(aliases), "") if aliases else bare_url(url)
     bare = F.regexp_replace(bare, r"^([^/:?]+):(80|443)(?=/|\?|$)", "$1")
     bare = F.regexp_replace(bare, rf"(?<=[?&]){TRACKING}=[^&]*&?", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[?&]$", ""), r"/$", "")
@@ -56,35 +83,47 @@ def lowered(headers: Column) -> Column:
     return F.coalesce(F.map_from_entries(last), F.expr("cast(map() as map<string,string>)"))
 
 
-def resolve(captures: DataFrame) -> DataFrame:
+def agree(here: Column, there: Column) -> Column:
+    """Whether the validators of two header maps agree; false if they have none in common."""
+    tag, old_tag = opaque(here["etag"]), opaque(there["etag"])
+    return F.when(tag.isNotNull() & old_tag.isNotNull(), tag == old_tag).otherwise(F.coalesce(here["last-modified"] == there["last-modified"], F.lit(False)))
+
+
+def resolve(captures: DataFrame, aliases: Sequence[str] = ()) -> DataFrame:
     """``captures`` (capture_id, url, ts, is_revisit, headers) with status, response_id and merged_headers.
 
-    status: ``full`` for a full response, else ``resolved``, ``mismatch`` (an earlier full response, other validators) or
+    status: ``full`` for a full response, else ``resolved``, ``mismatch`` (earlier full responses, other validators) or
     ``orphan`` (none). response_id and merged_headers are those of full and resolved records; the id names the capture
-    with the body.
+    with the body. ``aliases``, in lower case, are first labels of hosts that don't make another site.
     """
     added = ("canonical", "status", "response_id", "merged_headers")
     used = ("capture_id", "url", "ts", "is_revisit", "headers")
     own = captures.drop(*added)
-    rows = held(own, *used).select("*", canonical_url(F.col("url")).alias("canonical"), lowered(F.col("headers")).alias("_r_headers"))
+    rows = held(own, *used).select("*", canonical_url(F.col("url"), aliases).alias("canonical"), host_alias(F.col("url"), aliases).alias("_r_alias"), lowered(F.col("headers")).alias("_r_headers"))
     usable = F.coalesce(F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("capture_id").isNotNull() & F.col("is_revisit").isNotNull(), F.lit(False))
     # Written before the ranges are sampled, so that URLs and headers are worked out once.
     ready = stored(rows.withColumn("_r_usable", usable), "captures-read")
     ranged = ready.filter("_r_usable").repartitionByRange("canonical", "ts", "capture_id").withColumn("_r_range", F.spark_partition_id())
     placed = stored(ranged, "captures")
-    full = F.when(~F.col("is_revisit"), F.struct("ts", "capture_id", F.col("_r_headers").alias("headers")))
+    full = F.when(~F.col("is_revisit"), F.struct("ts", "capture_id", "_r_alias", F.col("_r_headers").alias("headers")))
     when = F.struct("ts", "capture_id")
-    last = placed.filter("not is_revisit").groupBy("canonical", "_r_range").agg(F.max_by(full, when).alias("_r_last"))
+    names = {name: f"_r_last{i}" for i, name in enumerate(dict.fromkeys(("", *aliases)))}
+    of = lambda name, value: F.when(F.col("_r_alias") == name, value)
+    last = placed.filter("not is_revisit").groupBy("canonical", "_r_range").agg(*[F.max_by(full, of(name, when)).alias(c) for name, c in names.items()])
     ranges = placed.select("canonical", "_r_range").distinct().join(last, ["canonical", "_r_range"], "left")
     earlier = Window.partitionBy("canonical").orderBy("_r_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranges.select("canonical", "_r_range", F.last("_r_last", ignorenulls=True).over(earlier).alias("_r_carried"))
+    carried = ranges.select("canonical", "_r_range", *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in names.values()])
     inside = Window.partitionBy("canonical", "_r_range").orderBy("ts", "capture_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = placed.withColumn("_r_inside", F.last(full, ignorenulls=True).over(inside)).join(carried, ["canonical", "_r_range"])
-    base = F.coalesce("_r_inside", "_r_carried")
-    here, there = F.col("_r_headers"), base["headers"]
-    tag, old_tag = opaque(here["etag"]), opaque(there["etag"])
-    same = F.when(tag.isNotNull() & old_tag.isNotNull(), tag == old_tag).otherwise(F.coalesce(here["last-modified"] == there["last-modified"], F.lit(False)))
-    status = F.when(~F.col("is_revisit"), "full").when(base.isNull(), "orphan").when(same, "resolved").otherwise("mismatch")
+    seen = placed.withColumns({f"_r_inside{c}": F.last(of(name, full), ignorenulls=True).over(inside) for name, c in names.items()}).join(carried, ["canonical", "_r_range"])
+    here = F.col("_r_headers")
+    bases = F.array_compact(F.array(*[F.coalesce(f"_r_inside{c}", c) for c in names.values()]))
+    agreed = F.filter("_r_bases", lambda b: agree(here, b["headers"]))
+    rank = lambda b: F.struct(b["_r_alias"] == F.col("_r_alias"), b["ts"], b["capture_id"])
+    best = F.reduce(agreed, F.get(agreed, F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
+    seen = seen.withColumn("_r_bases", bases).withColumn("_r_base", best)
+    base = F.col("_r_base")
+    there = base["headers"]
+    status = F.when(~F.col("is_revisit"), "full").when(base.isNotNull(), "resolved").when(F.size("_r_bases") > 0, "mismatch").otherwise("orphan")
     changed = F.map_filter(here, lambda k, _: ~k.isin(*KEPT_HEADERS))
     merged = F.map_concat(F.map_filter(there, lambda k, _: ~F.map_contains_key(changed, k)), changed)
     out = seen.withColumn("status", status).select(
@@ -136,17 +175,20 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def op3_revisits(spark, sf_dir: str) -> DataFrame:
     """(capture_id, canonical, status, response_id, headers) of every capture derived from pages; headers as sorted text."""
-    done = resolve(page_captures(table(spark, sf_dir, "pages")))
+    done = resolve(page_captures(table(spark, sf_dir, "pages")), ALIASES)
     lines = F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return done.select("capture_id", "canonical", "status", "response_id", F.array_join(lines, "\n").alias("headers"))
 
 
 ORACLE = r"""
 WITH v AS (
-  SELECT page_id, url, html, visit FROM pages, range(4) r(visit) WHERE NOT (visit = 0 AND (page_id // 10) % 2 = 1 AND page_id % 3 = 0)),
+  SELECT page_id, url, html, visit, row_number() OVER () AS rid FROM pages, range(4) r(visit) WHERE NOT (visit = 0 AND (page_id // 10) % 2 = 1 AND page_id % 3 = 0)),
 c AS (
-  SELECT page_id * 4 + visit AS capture_id, visit * 1000000000 + page_id AS ts, visit > 0 AS is_revisit,
-         regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS w, regexp_extract(w, '^[^/?#]*') AS host, lower(host) || substr(w, length(host) + 1) AS u,
+  SELECT rid, page_id * 4 + visit AS capture_id, visit * 1000000000 + page_id AS ts, visit > 0 AS is_revisit,
+         regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS w, regexp_extract(w, '^[^/?#]*') AS host,
+         CASE WHEN regexp_matches(lower(host), '^(www|m)\.[^.:]+\.[^.:]') AND NOT regexp_matches(lower(host), '^(www|m)\.(ac|co|com|edu|gob|gov|go|gub|mil|ne|net|nom|or|org)\.[a-z][a-z]\.?(:|$)')
+              THEN regexp_extract(lower(host), '^(www|m)\.', 1) ELSE '' END AS alias,
+         CASE alias WHEN '' THEN lower(host) ELSE substr(lower(host), length(alias) + 2) END || substr(w, length(host) + 1) AS u,
          CASE WHEN visit IN (0, 1) THEN substr(md5(html), 1, 12)
               WHEN visit = 3 THEN CASE WHEN page_id % 5 = 0 THEN 'W/other' ELSE 'W/' || substr(md5(html), 1, 12) END END AS etag,
          CASE WHEN visit = 0 OR (visit = 2 AND page_id % 7 <> 0) THEN strftime(DATE '2020-01-01' + CAST(page_id % 300 AS INTEGER), '%Y-%m-%d')
@@ -159,15 +201,20 @@ n AS (
            regexp_replace(regexp_replace(u, '#.*$', ''), '^([^/:?]+):(80|443)(/|\?|$)', '\1\3'),
            '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') AS canonical
   FROM c),
+r AS (
+  SELECT *, CASE WHEN NOT is_revisit THEN struct_pack(ts := ts, id := capture_id, alias := alias, etag := etag, modified := modified, content_type := content_type, cache := cache, size := size) END AS own FROM n),
 b AS (
-  SELECT *, last_value(CASE WHEN NOT is_revisit THEN struct_pack(id := capture_id, etag := etag, modified := modified, content_type := content_type, cache := cache, size := size) END IGNORE NULLS)
-              OVER (PARTITION BY canonical ORDER BY ts, capture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base
-  FROM n),
+  SELECT *, last_value(CASE alias WHEN '' THEN own END IGNORE NULLS) OVER before AS b0, last_value(CASE alias WHEN 'www' THEN own END IGNORE NULLS) OVER before AS b1,
+         last_value(CASE alias WHEN 'm' THEN own END IGNORE NULLS) OVER before AS b2
+  FROM r WINDOW before AS (PARTITION BY canonical ORDER BY ts, capture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (
+  SELECT * EXCLUDE (b0, b1, b2), unnest([b0, b1, b2]) AS base, b0 IS NULL AND b1 IS NULL AND b2 IS NULL AS alone FROM b),
+a AS (
+  SELECT *, CASE WHEN base IS NULL THEN false WHEN etag IS NOT NULL AND base.etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = regexp_replace(base.etag, '^W/', '')
+                 ELSE coalesce(modified = base.modified, false) END AS agrees FROM p),
 s AS (
-  SELECT *, CASE WHEN NOT is_revisit THEN 'full' WHEN base IS NULL THEN 'orphan'
-                 WHEN CASE WHEN etag IS NOT NULL AND base.etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = regexp_replace(base.etag, '^W/', '')
-                           ELSE coalesce(modified = base.modified, false) END THEN 'resolved'
-                 ELSE 'mismatch' END AS status FROM b)
+  SELECT *, CASE WHEN NOT is_revisit THEN 'full' WHEN alone THEN 'orphan' WHEN agrees THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM a QUALIFY row_number() OVER (PARTITION BY rid ORDER BY agrees DESC, coalesce(base.alias = alias, false) DESC, base.ts DESC NULLS LAST, base.id DESC NULLS LAST) = 1)
 SELECT capture_id, canonical, status, CASE status WHEN 'full' THEN capture_id WHEN 'resolved' THEN base.id END AS response_id,
        CASE status
          WHEN 'full' THEN concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: ' || size, 'content-type: ' || content_type, 'etag: ' || etag, 'last-modified: ' || modified)
